@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe
+from sparkweave.llm import bpe, brown
 from sparkweave.llm.registry import query, table
 
 
@@ -14,3 +15,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def _fold(modulus: int) -> Column:
+    """crc32 of the id as text, by its remainder; a null id has remainder 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+@query()
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = brown.fit(docs.where(_fold(10) != 0))
+    scored = brown.score(docs, model, counts)
+    return scored.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
