@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, brown
+from sparkweave.llm import bpe, brown, langcnn
 from sparkweave.llm.registry import query, table
 
 
@@ -28,3 +28,11 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = brown.fit(docs.where(_fold(10) != 0))
     scored = brown.score(docs, model, counts)
     return scored.select("doc_id", (_fold(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query()
+def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = langcnn.fit(docs.where(_fold(5) != 0))
+    found = langcnn.predict(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
