@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, brown, langcnn
+from sparkweave.llm import bpe, brown, langcnn, quality, toxicity
 from sparkweave.llm.registry import query, table
 
 
@@ -36,3 +36,21 @@ def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = langcnn.fit(docs.where(_fold(5) != 0))
     found = langcnn.predict(docs.select("doc_id", "text"), network)
     return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _fold(4) == 2
+    weights = quality.fit(docs.where(~held_out), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score(docs, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _fold(5) == 0
+    fitted = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, fitted)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
