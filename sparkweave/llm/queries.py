@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, brown, langcnn, quality, toxicity
+from sparkweave.llm import bpe, brown, langcnn, licences, quality, toxicity
 from sparkweave.llm.registry import query, table
 
 
@@ -54,3 +54,8 @@ def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score(docs, fitted)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
