@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, brown, langcnn, licences, quality, toxicity
+from sparkweave.llm import bpe, brown, decontaminate, langcnn, licences, quality, toxicity
 from sparkweave.llm.registry import query, table
 
 
@@ -59,3 +59,9 @@ def op9_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query()
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.where("leak").drop("leak")
