@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, brown, decontaminate, langcnn, licences, quality, toxicity
+from sparkweave.llm import bpe, brown, decontaminate, langcnn, licences, quality, toxicity, warc
 from sparkweave.llm.registry import query, table
 
 
@@ -65,3 +65,9 @@ def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return found.where("leak").drop("leak")
+
+
+@query()
+def op3_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.roundtrip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
