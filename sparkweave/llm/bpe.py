@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from sparkweave.session import share_code
 
-#: Pieces whose encodings a worker keeps; the store is emptied when full.
+#: Pieces whose encodings a worker keeps, in each of two generations.
 CACHE = 200_000
 
 
@@ -40,10 +41,17 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int], cache: int = CACHE) -> None:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        #: Tokens by their bytes read backwards; the key -1 holds the token that begins here.
+        self.endings: dict = {}
+        for token, rank in ranks.items():
+            node = self.endings
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[-1] = rank
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.cache = cache
 
     def _split(self, token: int) -> tuple[int, int]:
@@ -93,18 +101,29 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Fill ``last`` (the last token of each prefix) from its length up to ``upto``."""
-        ranks, tokens = self.ranks, self.tokens
+        endings, pairs, compatible = self.endings, self.pairs, self.compatible
         for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
-            for size in range(min(self.longest, end), 0, -1):
-                token = ranks.get(data[end - size : end])
-                if token is None:
-                    continue
-                if size == end or self.compatible(last[end - size - 1], token):
+            # Tokens that end here, the shortest first.
+            node, at, found = endings, end, []
+            while at:
+                at -= 1
+                node = node.get(data[at])
+                if node is None:
+                    break
+                if -1 in node:
+                    found.append((node[-1], at))
+            while found:
+                token, at = found.pop()
+                if not at:
+                    last.append(token)
+                    break
+                key = (last[at - 1], token)
+                ok = pairs.get(key)
+                if compatible(*key) if ok is None else ok:
                     last.append(token)
                     break
             else:
                 raise ValueError(f"byte {data[end - 1]} is not in the vocabulary")
-        del tokens
         return last
 
     @staticmethod
@@ -120,11 +139,14 @@ class PrefixEncoder:
         """Little-endian 32-bit ids of one piece; a piece that is a token is that token."""
         got = self.seen.get(data)
         if got is None:
-            whole = self.ranks.get(data)
-            ids = [whole] if whole is not None else self.walk(self.extend(data, []), self.tokens)
-            got = np.array(ids, "<u4").tobytes()
+            got = self.older.get(data)
+            if got is None:
+                whole = self.ranks.get(data)
+                ids = [whole] if whole is not None else self.walk(self.extend(data, []), self.tokens)
+                got = struct.pack(f"<{len(ids)}I", *ids)
             if len(self.seen) >= self.cache:
-                self.seen.clear()
+                # Pieces not met again while the store filled are forgotten.
+                self.seen, self.older = {}, self.seen
             if len(data) <= 256:
                 self.seen[data] = got
         return got
@@ -169,12 +191,13 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         split = regex.compile(pattern).findall
-        piece, store = coder.piece, coder.seen
+        piece = coder.piece
         for batch in batches:
             counts, ids, digests, decoded = [], [], [], []
             for value in batch.column(batch.schema.get_field_index(text)):
                 parts = [p.encode() for p in split(value.as_py() or "")]
-                packed = b"".join([store.get(p) or piece(p) for p in parts])
+                seen = coder.seen
+                packed = b"".join([seen.get(p) or piece(p) for p in parts])
                 counts.append(len(packed) // 4)
                 if keep_ids:
                     ids.append(np.frombuffer(packed, "<i4"))
