@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, brown, decontaminate, langcnn, licences, nearest, quality, toxicity, warc
+from sparkweave.llm import bpe, brown, decontaminate, langcnn, licences, nearest, quality, similar, toxicity, warc
 from sparkweave.llm.registry import query, table
 
 
@@ -87,3 +87,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 def op8_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest.search(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+
+
+@query()
+def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar.join(docs, similar.Rule(width=4, num=85, den=100))
