@@ -326,9 +326,9 @@ def deduplicate(docs: DataFrame, rule: Rule | None = None, key: str = "doc_id",
     the kept key, one stays.
     """
     found = join(docs, rule, key, text)
-    gone = found.where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    null = kept.where(F.col(key).isNull())
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(null)
-
-
+    # Few keys need a look: those that are not their component's smallest, and those that repeat.
+    looked = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min("component_id").alias("__low"), F.count("*").alias("__n")).where("__low <> __key or __n > 1")
+    marked = docs.join(looked, F.col(key) == F.col("__key"), "left").where("__key is null or __low = __key")
+    once = marked.where("__n is null").drop("__key", "__low", "__n")
+    again = marked.where("__n > 1").drop("__key", "__low", "__n").dropDuplicates([key])
+    return once.unionByName(again)
