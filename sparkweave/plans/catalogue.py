@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from sparkweave.model import Declared
+from sparkweave.sources.tables import Source
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+#: Modules that register queries when they are imported.
+MODULES = ("structural", "travel")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Add a query under ``name``, with the SQL that gives the same rows."""
 
     def keep(query: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
         _QUERIES[name] = query
         if sql is not None:
             _SQL[name] = sql
@@ -24,40 +32,26 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def queries() -> dict[str, Query]:
-    return _QUERIES
-
-
-def oracle_sql() -> dict[str, str]:
-    return _SQL
+def declare(name: str, operator: Declared, source: Source, **values: object) -> None:
+    """Register a declared operator over a derived graph; its SQL is the same plan over the graph's tables."""
+    register(name, f"WITH {source.sql()} SELECT * FROM ({operator.sql(**values)}) AS result")(lambda spark, sf_dir: operator(source.graph(spark, sf_dir), **values))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_PURCHASES = """
-purchases AS (
-  SELECT DISTINCT CAST(o.o_custkey AS BIGINT) AS customer, CAST(l.l_suppkey AS BIGINT) AS supplier
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
-degrees AS (SELECT customer, count(*) AS k FROM purchases GROUP BY customer)
-"""
-
-
-@register(
-    "bipartiteprojection_ties",
-    f"""WITH {_PURCHASES}
-SELECT a.supplier AS a, b.supplier AS b, round(sum(1.0 / (d.k - 1)), 6) AS w
-FROM purchases a JOIN purchases b ON a.customer = b.customer AND a.supplier < b.supplier
-JOIN degrees d ON d.customer = a.customer
-GROUP BY a.supplier, b.supplier ORDER BY w DESC, a, b LIMIT 10""",
-)
-def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top-ten report: the feature is the limit."""
-    lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    purchases = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier")).distinct()
-    share = purchases.groupBy("customer").agg((1.0 / (F.count("*") - 1)).alias("share")).where("share is not null")
-    left = purchases.join(share, "customer").withColumnRenamed("supplier", "a")
-    right = purchases.withColumnRenamed("supplier", "b")
-    pairs = left.join(right, "customer").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.round(F.sum("share"), 6).alias("w")).orderBy(F.desc("w"), "a", "b").limit(10)
+@cache
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"sparkweave.plans.{module}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return _QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return _SQL
