@@ -100,16 +100,19 @@ class Graph:
 class Declared:
     """An operator that is one declarative plan over ``nodes``, ``edges`` and ``arcs``.
 
-    ``directed`` restricts the graphs that it takes; ``most`` is the cap of an
-    exact enumeration.
+    ``directed`` restricts the graphs that it takes; ``most`` and ``most_edges``
+    are the caps of an exact enumeration, beyond which it refuses.
     """
 
     text: str
     directed: bool | None = None
     most: int | None = None
+    most_edges: int | None = None
 
     def __call__(self, graph: Graph, **values: Any) -> DataFrame:
         graph.need(directed=self.directed, most=self.most)
+        if self.most_edges is not None and graph.edges.count() > self.most_edges:
+            raise Invalid(f"this operator is exact and stops at {self.most_edges} edges")
         frames = graph.frames()
         used = {k: v for k, v in frames.items() if "{" + k + "}" in self.text}
         return graph.spark.sql(self.text, **used, **values)

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("structural", "travel", "loops")
+MODULES = ("structural", "travel", "loops", "derived")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def declare(name: str, operator: Declared, source: Source, **values: object) -> None:
+def declare(name: str, operator: Declared, source: Source, /, **values: object) -> None:
     """Register a declared operator over a derived graph; its SQL is the same plan over the graph's tables."""
     register(name, f"WITH {source.sql()} SELECT * FROM ({operator.sql(**values)}) AS result")(lambda spark, sf_dir: operator(source.graph(spark, sf_dir), **values))
 
