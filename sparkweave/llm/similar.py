@@ -4,13 +4,15 @@ A text's set is its distinct word shingles.  Hashing every member to one bit
 and toggling it gives a parity sketch; the Hamming distance of two sketches is
 at most the size of the symmetric difference of their sets.  Two sets of sizes
 a and b with Jaccard similarity t differ in at most (1-t)(a+b)/(1+t) members,
-so of a sketch cut into more 64-bit blocks than that some blocks must agree.
+so of a sketch cut into more blocks than that some blocks must agree.
 Sizes are cut into bands; within a band all sketches have as many blocks as
 its largest pair needs, and texts are joined on (band, block, value).  Pairs
 are then held against whole sketches, and those left are verified on the sets.
 
-``SPARE`` further blocks are added: as many blocks as that may agree and be
-left out, which is used for blocks with hardly a bit, as they agree by chance.
+``SPARE`` further blocks are added, and every text leaves out as many of its
+own: those with the fewest bits, which agree by chance.  Of the blocks on which
+two similar texts agree the fullest comes after all others in the order of
+both, so neither leaves it out.
 
 Texts with equal sets are one class; only classes are joined.  The result is
 the components of the links, so a pair whose classes are already connected
@@ -33,8 +35,9 @@ from sparkweave.llm import bytesnp
 from sparkweave.plans.components import star_components
 from sparkweave.session import discard, materialise, share_code
 
-#: Ratio of a band's largest size to its smallest; share of spare blocks; bits of a block that count as hardly any.
-BAND, SPARE, FEW = 1.6, 0.1, 1
+#: Ratio of a band's largest size to its smallest; share of spare blocks; 64-bit words of a block.
+BAND, SPARE, WORDS = 1.2, 0.1, 8
+_FOLD = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 #: Classes that a task remembers having sent, so that copies are not sent again.
 REMEMBER = 1_000_000
 
@@ -119,17 +122,17 @@ def _keys(h: np.ndarray, first: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.
         member = np.repeat(np.arange(len(picked)), n[picked])
         at = np.repeat(first[:-1][picked], n[picked]) + np.arange(n[picked].sum()) - np.repeat(np.concatenate([[0], np.cumsum(n[picked])])[:-1], n[picked])
         x = h[at]
-        place = start[:-1][member] + ((x >> np.uint64(8)) % m[member].astype(np.uint64)).astype(np.int64)
-        words = np.zeros(start[-1], np.uint64)
-        np.bitwise_xor.at(words, place, np.uint64(1) << (x & np.uint64(63)))
+        place = start[:-1][member] + ((x >> np.uint64(16)) % m[member].astype(np.uint64)).astype(np.int64)
+        words = np.zeros(start[-1] * WORDS, np.uint64)
+        np.bitwise_xor.at(words, place * WORDS + ((x >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+        words = words.reshape(-1, WORDS)
         owner = np.repeat(np.arange(len(picked)), m)
-        few = np.bitwise_count(words) <= FEW
-        drop = few & (np.bincount(owner, few, len(picked)) <= spare[own[picked]])[owner]
-        index = np.arange(start[-1]) - start[:-1][owner]
-        name = (own[picked][owner].astype(np.uint64) << np.uint64(32)) + index.astype(np.uint64)
-        key = bytesnp.mix(words ^ bytesnp.mix(name + np.uint64(0x9E3779B9)))
-        keys.append(key[~drop])
-        rows.append(picked[owner[~drop]])
+        name = bytesnp.mix((own[picked][owner].astype(np.uint64) << np.uint64(32)) + (np.arange(start[-1]) - start[:-1][owner]).astype(np.uint64) + np.uint64(0x9E3779B9))
+        # Blocks with the fewest bits are left out; the order depends on a block's place and value only.
+        order = np.lexsort((name, np.bitwise_count(words).sum(1), owner))
+        keep = order[np.arange(start[-1]) - start[:-1][owner] >= spare[own[picked]][owner]]
+        keys.append(bytesnp.mix((words[keep] * _FOLD).sum(1, dtype=np.uint64) ^ name[keep]))
+        rows.append(picked[owner[keep]])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(rows)
