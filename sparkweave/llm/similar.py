@@ -16,8 +16,9 @@ both, so neither leaves it out.
 
 Texts with equal sets are one class; only classes are joined.  The result is
 the components of the links, so a pair whose classes are already connected
-needs no check: every bucket is first tried against its smallest class, then
-against its largest, and only pairs that are still unconnected are all tried.
+needs no check: the classes of a bucket are first tried against its smallest
+and largest one, and only where components still meet in a bucket are its
+sketches compared among themselves, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from sparkweave.session import discard, materialise, share_code
 #: Ratio of a band's largest size to its smallest; share of spare blocks; 64-bit words of a block.
 BAND, SPARE, WORDS = 1.2, 0.1, 8
 _FOLD = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
+#: Rows of a part of a bucket; a tile holds two parts.
+TILE = 2048
 #: Classes that a task remembers having sent, so that copies are not sent again.
 REMEMBER = 1_000_000
 
@@ -157,7 +160,7 @@ def hamming(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _read(docs: DataFrame, text: str, rule: Rule, what: str, kept: np.ndarray | None = None) -> DataFrame:
-    """``keys``: (cls, keys); ``sets``: (cls, n, sketch, members) — once for each class and task.
+    """``keys``: (cls, key); ``light``: (cls, n, sketch); ``sets``: (cls, n, members) — once for each class and task.
 
     ``kept`` is a bit filter (of fixed size) of the keys, or of the classes, that are wanted.
     """
@@ -189,15 +192,12 @@ def _read(docs: DataFrame, text: str, rule: Rule, what: str, kept: np.ndarray |
                     yield pa.RecordBatch.from_arrays([pa.array(cls[row].view(np.int64)), pa.array(keys.view(np.int64))], names=["cls", "key"])
                 else:
                     rows = np.flatnonzero(new & passes(cls))
-                    sets = [h[first[i] : first[i + 1]] for i in rows]
                     for i in range(0, len(rows), 200):
-                        part = sets[i : i + 200]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(cls[rows[i : i + 200]].view(np.int64)), pa.array([len(s) for s in part], pa.int64()), pa.array([sketch(s).tobytes() for s in part], pa.binary()), pa.array([s.tobytes() for s in part], pa.binary())],
-                            names=["cls", "n", "sketch", "members"],
-                        )
+                        part = [h[first[j] : first[j + 1]] for j in rows[i : i + 200]]
+                        body = [(sketch(x) if what == "light" else x).tobytes() for x in part]
+                        yield pa.RecordBatch.from_arrays([pa.array(cls[rows[i : i + 200]].view(np.int64)), pa.array([len(x) for x in part], pa.int64()), pa.array(body, pa.binary())], names=["cls", "n", "body"])
 
-    schema = "cls bigint, key bigint" if what == "keys" else "cls bigint, n bigint, sketch binary, members binary"
+    schema = "cls bigint, key bigint" if what == "keys" else "cls bigint, n bigint, body binary"
     return docs.select(text).mapInArrow(run, schema)
 
 
@@ -227,26 +227,24 @@ def classes(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text"
     return docs.select(key, text).mapInArrow(run, f"k {dict(docs.dtypes)[key]}, n_shingles bigint, cls bigint").withColumnRenamed("k", key)
 
 
-def _near(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) of classes whose sketches are close enough."""
-    light = sets.select("cls", "n", "sketch")
+def _near(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
+    """Rows (a, b, shared) of classes whose sketches are close enough."""
     both = pairs.join(light.toDF("a", "na", "sa"), "a").join(light.toDF("b", "nb", "sb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            most = rule.apart(na + nb)
-            fine = [hamming(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= d for x, y, d in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine)), batch.column(1).filter(pa.array(fine))], names=["a", "b"])
+            most = rule.apart(batch.column(3).to_numpy() + batch.column(4).to_numpy())
+            fine = pa.array([hamming(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= d for x, y, d in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), most.tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(fine) for i in range(3)], names=["a", "b", "shared"])
 
     sized = both.where((F.least("na", "nb") * rule.den) >= F.greatest("na", "nb") * rule.num)
-    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return sized.select("a", "b", "shared", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint, shared bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of classes that are linked by the exact rule."""
-    full = sets.select("cls", "members")
-    both = pairs.join(full.toDF("a", "ma"), "a").join(full.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
+    full = sets.select("cls", "body")
+    both = pairs.select("a", "b").join(full.toDF("a", "ma"), "a").join(full.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,51 +253,104 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 same = len(np.intersect1d(p, q, assume_unique=True))
                 fine.append(rule.den * same >= rule.num * (len(p) + len(q) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(fine)), batch.column(1).filter(pa.array(fine))], names=["a", "b"])
+            fine = pa.array(fine, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fine), batch.column(1).filter(fine)], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _tiles(held: DataFrame, sizes: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
+    """Close pairs (a, b) across components within buckets (key, cls, component).
+
+    A bucket of more than ``TILE`` rows is cut into parts, and every two parts
+    meet in a tile of their own; a task holds one tile.  Pairs are compared
+    where they meet and only close ones leave.
+    """
+    parts = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    rows = held.join(sizes.select("key", "size"), "key").join(light.toDF("cls", "n", "sketch"), "cls").withColumn("parts", parts).withColumn("own", own)
+    placed = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "component", "n", "sketch")
+    dealt = placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def compare(t: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        raw = [np.frombuffer(v, np.uint64) for v in t["sketch"]]
+        # Folding never makes a distance larger than the sets' difference.
+        words = min(map(len, raw))
+        arr = np.stack([np.bitwise_xor.reduce(v.reshape(-1, words), 0) for v in raw])
+        n, cls, comp, own = (np.array(t[k]) for k in ("n", "cls", "component", "own"))
+        left, right = np.flatnonzero(own == t["x"][0]), np.flatnonzero(own == t["y"][0])
+        for i in range(0, len(left), 32):
+            rows_ = left[i : i + 32]
+            apart = np.bitwise_count(arr[rows_][:, None, :] ^ arr[right][None, :, :]).sum(2, dtype=np.int64)
+            a, b = np.nonzero((apart <= rule.apart(n[rows_][:, None] + n[right][None, :])) & (comp[rows_][:, None] != comp[right][None, :]) & (cls[rows_][:, None] != cls[right][None, :]))
+            p, q = cls[rows_][a], cls[right][b]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "x", "y", "own", "cls", "component", "n", "sketch"]
+        now, held_rows = None, {k: [] for k in names}
+        for batch in batches:
+            columns = {k: batch.column(i).to_pylist() for i, k in enumerate(names)}
+            for i in range(batch.num_rows):
+                tile = (columns["key"][i], columns["x"][i], columns["y"][i])
+                if tile != now:
+                    if now is not None and len(held_rows["key"]) > 1:
+                        yield from compare(held_rows)
+                    now, held_rows = tile, {k: [] for k in names}
+                for k in names:
+                    held_rows[k].append(columns[k][i])
+        if len(held_rows["key"]) > 1:
+            yield from compare(held_rows)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def links(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
-    """``cls``, ``component`` for every class that is linked to another one."""
+    """``id``, ``component`` for every class that is linked to another one."""
     spark = docs.sparkSession
     share_code(spark)
-    none = spark.createDataFrame([], "id bigint, component bigint")
     ends = _read(docs, text, rule, "keys").groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
     ends = materialise(ends, "buckets")
     count = ends.count()
     if not count:
-        return none
-    wanted = _bit_filter(ends, "key", count)
-    members = materialise(_read(docs, text, rule, "keys", wanted).join(ends, "key"), "members")
+        return spark.createDataFrame([], "id bigint, component bigint")
+    members = materialise(_read(docs, text, rule, "keys", _bit_filter(ends, "key", count)).join(ends, "key").distinct(), "members")
     involved = members.select("cls").distinct()
-    sets = materialise(_read(docs, text, rule, "sets", _bit_filter(involved, "cls", involved.count())).dropDuplicates(["cls"]).join(involved, "cls", "left_semi"), "sets")
 
-    def pair(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    def read(what: str, classes_: DataFrame) -> DataFrame:
+        kept = _read(docs, text, rule, what, _bit_filter(classes_, "cls", classes_.count()))
+        return materialise(kept.join(classes_, "cls", "left_semi").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("body").alias("body")), what)
+
+    light = read("light", involved)
+    # Every class with the smallest and the largest class of its buckets.
+    ended = members.select("cls", F.explode(F.array("lo", "hi")).alias("end")).where("cls <> end")
+    near = materialise(_near(ended.groupBy(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).agg(F.count("*").alias("shared")), light, rule), "near")
+    ids = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+    sets = read("sets", ids)
+    # First the end that a class shares the most blocks with, then the ends that are still in other components.
+    sided = near.select(F.col("a").alias("x"), "a", "b", "shared").union(near.select("b", "a", "b", "shared"))
+    best = sided.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    found = materialise(_verified(best, sets, rule), "links")
+    component = star_components(found, "a", "b")
+
+    def named(column: str) -> DataFrame:
+        return component.toDF(column, f"c_{column}")
 
-    # Every class against the smallest class of the bucket that it shares the most blocks with.
-    shared = members.where("cls <> lo").groupBy("cls", "lo").agg(F.count("*").alias("n"))
-    best = shared.groupBy("cls").agg(F.max_by("lo", F.struct("n", "lo")).alias("lo"))
-    found = materialise(_verified(_near(best.select(*pair("cls", "lo")), sets, rule), sets, rule), "links")
-    tried = []
-    for step in ("lo", "hi", "all"):
-        component = star_components(found, "a", "b")
-        # Components of classes that no link reached are the classes themselves.
-        held = materialise(members.join(component.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "held")
-        if step == "all":
-            open_keys = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            rest = held.join(open_keys, "key", "left_semi").select("key", "cls", "component")
-            other = rest.toDF("key", "cls2", "component2")
-            more = rest.join(other, "key").where("cls < cls2 and component <> component2").select(*pair("cls", "cls2"))
-        else:
-            head = component.toDF("head", "head_component")
-            more = held.where(f"cls <> {step}").join(head, F.col(step) == F.col("head"), "left").where(f"component <> coalesce(head_component, {step})").select(*pair("cls", step))
-        new = materialise(_verified(_near(more.distinct(), sets, rule), sets, rule), "links")
-        tried.append(held)
-        found = found.unionByName(new)
+    rest = near.join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
+    found = found.unionByName(materialise(_verified(rest, sets, rule), "links"))
     component = star_components(found, "a", "b")
-    for used in (*tried, members, ends, sets):
+    # What remains: classes in one bucket and in different components.
+    held = materialise(members.select("key", "cls").join(component.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "held")
+    discard(spark, members)
+    sizes = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y")
+    more = materialise(_tiles(held, sizes, light, rule).join(near.select("a", "b"), ["a", "b"], "left_anti"), "near")
+    if not more.isEmpty():
+        new = more.select(F.col("a").alias("cls")).union(more.select("b")).distinct().join(ids, "cls", "left_anti")
+        full = sets.unionByName(read("sets", new)) if not new.isEmpty() else sets
+        found = found.unionByName(materialise(_verified(more, full, rule), "links"))
+        component = star_components(found, "a", "b")
+    for used in (held, ends, light, near, more):
         discard(spark, used)
     return component
 
