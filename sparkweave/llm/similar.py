@@ -18,8 +18,7 @@ Texts with equal sets are one class; only classes are joined.  The result is
 the components of the links, so a pair whose classes are already connected
 needs no check: the classes of a bucket are first tried against its smallest
 and largest one, and only where components still meet in a bucket are its
-sketches compared among themselves, in tiles of bounded size that verify what
-they find and give links that join components only.
+sketches compared among themselves, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -40,8 +39,8 @@ from sparkweave.session import discard, materialise, share_code
 #: Ratio of a band's largest size to its smallest; share of spare blocks; 64-bit words of a block.
 BAND, SPARE, WORDS = 1.2, 0.1, 8
 _FOLD = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
-#: Rows, and bytes of the sets, of a part of a bucket; a tile holds two parts.
-TILE, TILE_BYTES = 2048, 16_000_000
+#: Rows of a part of a bucket; a tile holds two parts.
+TILE = 2048
 #: Classes that a task remembers having sent, so that copies are not sent again.
 REMEMBER = 1_000_000
 
@@ -242,12 +241,6 @@ def _near(pairs: DataFrame, light: DataFrame, rule: Rule) -> DataFrame:
     return sized.select("a", "b", "shared", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint, shared bigint")
 
 
-def linked(p: np.ndarray, q: np.ndarray, rule: Rule) -> bool:
-    """Whether two sets, each in order and without repeats, are linked by the exact rule."""
-    same = len(np.intersect1d(p, q, assume_unique=True))
-    return rule.den * same >= rule.num * (len(p) + len(q) - same)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of classes that are linked by the exact rule."""
     full = sets.select("cls", "body")
@@ -255,51 +248,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = pa.array([linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), rule) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            fine = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                same = len(np.intersect1d(p, q, assume_unique=True))
+                fine.append(rule.den * same >= rule.num * (len(p) + len(q) - same))
+            fine = pa.array(fine, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(fine), batch.column(1).filter(fine)], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _tiles(held: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) that join components within buckets ``held(key, cls, component)``.
+def _open(held: DataFrame) -> DataFrame:
+    """``key``, ``size`` of the buckets in which components meet."""
+    met = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+    return met.where("x <> y").select("key", "size")
+
 
-    A bucket is cut into parts of bounded rows and bytes, and every two parts
-    meet in a tile of their own; a task holds one tile.  Close pairs are
-    verified where they meet, nearest first, and a pair whose components a
-    link of the tile has already joined is passed over: a tile gives fewer
-    links than it has rows, and they join all that its links can join.
+def _tiles(held: DataFrame, light: DataFrame, rule: Rule, forest: bool) -> DataFrame:
+    """Close pairs (a, b) across components within buckets (key, cls, component).
+
+    A bucket of more than ``TILE`` rows is cut into parts, and every two parts
+    meet in a tile of their own; a task holds one tile.  Pairs are compared
+    where they meet and only close ones leave; with ``forest`` only the nearest
+    ones that would join a tile's components, fewer than it has rows.
     """
-    size = held.join(sets.select("cls", "n"), "cls").groupBy("key").agg(F.count("*").alias("rows"), F.max("n").alias("most"))
-    parts = size.select("key", F.ceil(F.col("rows") * F.greatest(F.lit(1.0 / TILE), F.col("most") * 8.0 / TILE_BYTES)).cast("int").alias("parts"))
-    rows = held.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).join(sets.select("cls", "n", "body"), "cls")
-    placed = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "component", "n", "body")
+    sizes = _open(held)
+    parts = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    rows = held.join(sizes, "key").join(light.toDF("cls", "n", "sketch"), "cls").withColumn("parts", parts).withColumn("own", own)
+    placed = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cls", "component", "n", "sketch")
     dealt = placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def compare(t: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        full = [np.frombuffer(v, np.uint64) for v in t["body"]]
-        raw = [sketch(v) for v in full]
+        raw = [np.frombuffer(v, np.uint64) for v in t["sketch"]]
         # Folding never makes a distance larger than the sets' difference.
         words = min(map(len, raw))
         arr = np.stack([np.bitwise_xor.reduce(v.reshape(-1, words), 0) for v in raw])
-        n, cls, own = (np.array(t[k]) for k in ("n", "cls", "own"))
-        label = np.unique(np.array(t["component"]), return_inverse=True)[1]
+        n, cls, comp, own = (np.array(t[k]) for k in ("n", "cls", "component", "own"))
         left, right = np.flatnonzero(own == t["x"][0]), np.flatnonzero(own == t["y"][0])
+        label = np.unique(comp, return_inverse=True)[1]
         for i in range(0, len(left), 32):
             rows_ = left[i : i + 32]
             apart = np.bitwise_count(arr[rows_][:, None, :] ^ arr[right][None, :, :]).sum(2, dtype=np.int64)
             a, b = np.nonzero((apart <= rule.apart(n[rows_][:, None] + n[right][None, :])) & (label[rows_][:, None] != label[right][None, :]))
-            found = []
-            for k in np.argsort(apart[a, b], kind="stable").tolist():
-                p, q = rows_[a[k]], right[b[k]]
-                if label[p] != label[q] and linked(full[p], full[q], rule):
-                    label[label == label[q]] = label[p]
-                    found.append((min(cls[p], cls[q]), max(cls[p], cls[q])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            if forest:
+                joins = []
+                for k in np.argsort(apart[a, b], kind="stable").tolist():
+                    one, other = label[rows_[a[k]]], label[right[b[k]]]
+                    if one != other:
+                        label[label == other] = one
+                        joins.append(k)
+                a, b = a[joins], b[joins]
+            p, q = cls[rows_][a], cls[right][b]
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "x", "y", "own", "cls", "component", "n", "body"]
+        names = ["key", "x", "y", "own", "cls", "component", "n", "sketch"]
         now, held_rows = None, {k: [] for k in names}
         for batch in batches:
             columns = {k: batch.column(i).to_pylist() for i, k in enumerate(names)}
@@ -351,17 +357,24 @@ def links(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     rest = near.join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
     found = found.unionByName(materialise(_verified(rest, sets, rule), "links"))
     component = star_components(found, "a", "b")
-    # What remains: classes in one bucket and in different components.
-    held = materialise(members.select("key", "cls").join(component.withColumnRenamed("id", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "held")
-    discard(spark, members)
-    open_ = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = materialise(held.join(open_, "key", "left_semi"), "open")
-    if not open_.isEmpty():
-        full = read("sets", open_.select("cls").distinct())
-        found = found.unionByName(materialise(_tiles(open_, full, rule), "links"))
+    # What remains: classes in one bucket and in different components.  First the pairs that would join
+    # components, so that a large group of near copies is one component before all its pairs are looked at.
+    tried = near.select("a", "b")
+    for forest in (True, False):
+        named_ = component.withColumnRenamed("id", "cls")
+        held = materialise(members.select("key", "cls").join(named_, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "held")
+        more = materialise(_tiles(held, light, rule, forest).join(tried, ["a", "b"], "left_anti"), "near")
+        discard(spark, held)
+        if more.isEmpty():
+            continue
+        new = more.select(F.col("a").alias("cls")).union(more.select("b")).distinct().join(ids, "cls", "left_anti")
+        if not new.isEmpty():
+            new = materialise(new, "new")
+            sets, ids = sets.unionByName(read("sets", new)), ids.unionByName(new)
+        found = found.unionByName(materialise(_verified(more, sets, rule), "links"))
+        tried = tried.unionByName(more)
         component = star_components(found, "a", "b")
-        discard(spark, full)
-    for used in (held, open_, ends, light, near):
+    for used in (members, ends, light, near):
         discard(spark, used)
     return component
 
