@@ -109,12 +109,14 @@ def _keys(h: np.ndarray, first: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.
     blocks, spare = rule.blocks(edges)
     band = np.searchsorted(edges, n, "right") - 1
     keys, rows = [], []
-    for lower in (0, 1):
-        # A set also joins the band below if a set of that band may be similar.
+    for lower in range(len(edges) - 1):
+        # A set also joins every band below of which a set may be similar; small sizes have narrow bands.
         own = band - lower
         take = (n > 0) & (own >= 0)
         if lower:
-            take &= (edges[np.maximum(band, 0)] - 1) * rule.den >= rule.num * n
+            take &= (edges[np.maximum(own, 0) + 1] - 1) * rule.den >= rule.num * n
+            if not take.any():
+                break
         own = np.where(take, own, 0)
         take &= blocks[own] > 0
         picked = np.flatnonzero(take)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sparkweave.llm import similar
@@ -75,3 +76,22 @@ def test_deduplicate_keeps_one_of_each_group_and_all_columns(spark):
 
 def test_empty_table(spark):
     assert similar.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("rule", [similar.Rule(4, 85, 100), similar.Rule(5, 80, 100), similar.Rule(3, 1, 2)])
+def test_linked_sets_of_any_two_sizes_share_a_key(rule):
+    members = similar.bytesnp.mix(np.arange(1, 61, dtype=np.uint64))
+    first = np.concatenate([[0], np.cumsum(np.arange(1, 61))])
+    # The set of size n holds the first n members.
+    keys, row = similar._keys(np.concatenate([members[:n] for n in range(1, 61)]), first, rule)
+    own = [set(keys[row == i].tolist()) for i in range(60)]
+    lost = [(a, b) for b in range(1, 61) for a in range(1, b) if rule.den * a >= rule.num * b and not own[a - 1] & own[b - 1]]
+    assert lost == []
+
+
+def test_two_more_words_on_a_short_text(spark):
+    rows = [(1, " ".join(WORDS[:16])), (2, " ".join(WORDS[:18])), (3, " ".join(WORDS[100:112])), (4, " ".join(WORDS[100:114]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in (similar.Rule(4, 85, 100), similar.Rule(5, 80, 100)):
+        got = similar.join(docs, rule).collect()
+        assert sorted(((r[0] is None, r[0] or 0), r[1], r[2]) for r in got) == components(rows, rule)
