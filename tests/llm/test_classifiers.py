@@ -83,6 +83,26 @@ def test_deobfuscation():
     assert out.tobytes()[: offs[1]] == b"you idiot! moron stupid cat" and out.tobytes()[offs[1] :] == out.tobytes()[: offs[1]]
 
 
+def small_decoder():
+    words = " you are a worthless idiot and a loser while we wait here for the trash man and the scum of a clown who sat on the cat " * 50
+    kind = toxicity._KIND[np.frombuffer(words.encode(), np.uint8)]
+    k = toxicity.KINDS
+    counts = np.bincount((kind[:-2] * k + kind[1:-1]) * k + kind[2:], minlength=k**3).reshape(k, k, k).astype(float)
+    return toxicity.Decoder(toxicity.character_model(counts))
+
+
+def restored(text):
+    raw = text.encode()
+    return toxicity.restore(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), small_decoder())[0].tobytes().decode()
+
+
+def test_long_spans_are_decoded():
+    sentence = "you are a worthless idiot and a loser while we wait here for the trash man and the scum"
+    assert {"worthless", "idiot", "loser", "trash", "scum"} <= set(restored(" ".join(sentence.replace(" ", ""))).split())
+    assert restored("  ".join(" ".join(w) for w in sentence.split())) == sentence
+    assert restored("-".join(["1d1ot", "l0ser"] * 20)).count("idiot") == 20
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     plain = [f"{a}{b}" for a in ["ter", "mon", "lin", "sar", "pol"] for b in ["ona", "ity", "and", "est", "ole"]]
