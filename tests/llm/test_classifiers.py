@@ -103,6 +103,11 @@ def test_long_spans_are_decoded():
     assert restored("-".join(["1d1ot", "l0ser"] * 20)).count("idiot") == 20
 
 
+def test_signs_at_the_ends_of_words():
+    assert restored("an !diot, |oser and +rash; worthle$$ idio7") == "an idiot, loser and trash; worthless idiot"
+    assert restored("the cat! (sat on) the *man* | while!!! we+ wait") == "the cat! (sat on) the *man* | while!!! we+ wait"
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     plain = [f"{a}{b}" for a in ["ter", "mon", "lin", "sar", "pol"] for b in ["ona", "ity", "and", "est", "ole"]]
