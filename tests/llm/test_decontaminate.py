@@ -40,3 +40,26 @@ def test_clean_and_empty_tables(spark):
     assert sorted((r[0] or -1) for r in d.clean(docs, items).collect()) == [-1, 2]
     assert d.matches(docs.limit(0), items).count() == 0
     assert d.matches(docs, items.limit(0)).count() == 0
+
+
+def test_items_short_of_literals(spark):
+    items = [(1, "Add 12 15 18 21 24 together"), (2, "12 + 7 = ?"), (3, "Add up now 1 2 3 4 5 6 7 8 9 10")]
+    docs = [(1, "x add 12 15 18 21 24 together y"), (2, "add 31 32 33 34 35 together"), (3, "so 12 + 7 = 19"), (4, "so 13 + 8 = 21"), (5, "Add up now 11 12 13 14 15 16 17 18 19 20"), (6, "add 12 15 18 together")]
+    got = found(spark, docs, items)
+    assert {k for k, r in got.items() if r["leak"]} == {(1, 1), (2, 1), (3, 2), (5, 3)}
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Walter ran home. Harriet ate lunch. Oswald sang songs. Miriam read books."
+    other = "Petra ran home. Conrad ate lunch. Ludwig sang songs. Sophie read books."
+    got = found(spark, [(1, other), (2, item), (3, other.replace("Conrad", "Petra"))], [(7, item)])
+    assert got[1, 7]["leak"] and got[1, 7]["changed_slots"] == 4
+    assert got[2, 7]["leak"] and got[2, 7]["changed_slots"] == 0
+    assert (3, 7) not in got
+
+
+def test_items_that_share_an_id(spark):
+    docs = [(1, "the old grey cat sat on a mat"), (2, "seven small boats went out to sea")]
+    for i in (5, None):
+        got = found(spark, docs, [(i, docs[0][1]), (i, docs[1][1])])
+        assert set(got) == {(1, i), (2, i)} and all(r["leak"] for r in got.values())
