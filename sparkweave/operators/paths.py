@@ -274,18 +274,30 @@ def vitality(graph: Graph) -> DataFrame:
     return graph.nodes.join(left, "id", "left").select("id", F.when(F.col("n") == (n - 1) ** 2, F.round((F.lit(whole) - F.col("total")) / 2, 6)).alias("vitality"))
 
 
-def yen(graph: Graph, source: str, target: str, k: int, most: int = 8) -> DataFrame:
-    """The k cheapest loopless routes of at most ``most`` arcs, ordered by cost and nodes: routes grow by joins."""
+def yen(graph: Graph, source: str, target: str, k: int, most: int = 1_000_000) -> DataFrame:
+    """The k cheapest loopless routes, ordered by cost and nodes: routes grow by joins.
+
+    Without negative weights an unfinished route goes once k finished ones cost
+    less.  More than ``most`` unfinished routes are refused.
+    """
     graph.need(nodes=(source, target))
     arcs = graph.arcs.select("src", "dst", "w")
+    bounded = arcs.where("w < 0").isEmpty()
     grown = graph.spark.createDataFrame([(source, [source], 0.0)], "at string, path array<string>, cost double")
     done = None
-    for _ in range(most):
+    while True:
         grown = materialise(grown.join(arcs, F.col("at") == F.col("src")).where("not array_contains(path, dst)").select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), (F.col("cost") + F.col("w")).alias("cost")), "routes")
         hit = grown.where(F.col("at") == target)
         done = hit if done is None else done.unionByName(hit)
         grown = grown.where(F.col("at") != target)
-        if grown.isEmpty():
+        best = done.orderBy("cost").select("cost").take(k) if bounded else []
+        if bounded and len(best) == k:
+            # Equal costs are ordered by nodes, so equal routes stay.
+            grown = grown.where(F.col("cost") <= (best[-1]["cost"] if k else float("-inf")))
+        left = grown.count()
+        if not left:
             break
+        if left > most:
+            raise Invalid(f"more than {most} unfinished routes")
     ranked = done.withColumn("rank", F.row_number().over(Window.orderBy("cost", "path")))
     return ranked.where(F.col("rank") <= k).select("rank", "path", F.round("cost", 6).alias("cost"))

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 from sparkweave.errors import Invalid, Missing
 from sparkweave.model import Graph
-from sparkweave.operators import search, structure
+from sparkweave.operators import paths, search, structure
 from sparkweave.plans import catalogue
 from sparkweave.sources import files
 
@@ -70,3 +70,13 @@ def test_edge_list_round_trip(spark):
     assert back.directed
     assert sorted(map(tuple, back.edges.select("src", "dst", "w").collect())) == [("a", "b", 2.5), ("b", "c", 1.0)]
     assert sorted(r["id"] for r in back.nodes.collect()) == ["a", "b", "c", "lonely"]
+
+
+def test_yen_keeps_long_routes_and_refuses_too_many(spark):
+    line = [(f"n{i}", f"n{i + 1}", 1.0) for i in range(11)]
+    graph = Graph.of(spark.createDataFrame([*line, ("n0", "n11", 20.0), ("n0", "n5", 9.0)], "src string, dst string, w double"), True)
+    got = sorted((r["rank"], len(r["path"]), r["cost"]) for r in paths.yen(graph, "n0", "n11", 2).collect())
+    assert got == [(1, 12, 11.0), (2, 8, 15.0)]
+    assert [r["cost"] for r in paths.yen(graph, "n0", "n11", 5).orderBy("rank").collect()] == [11.0, 15.0, 20.0]
+    with pytest.raises(Invalid):
+        paths.yen(graph, "n0", "n11", 2, most=1)
