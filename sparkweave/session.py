@@ -9,16 +9,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests, one machine), a fresh folder is made and set.
+    Where a session on one machine names none, as in tests, a fresh folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sparkweave-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -30,11 +33,23 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
+    """Write a table to the shared folder and read it back: lineage is cut and a lost executor loses nothing.
+
+    What the write shuffled is deleted with its end, not when the driver next collects garbage.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
