@@ -1,24 +1,26 @@
 """N-gram Jaccard join by parity sketches.
 
-A text's set is its distinct word shingles.  Hashing every member to one bit
-and toggling it gives a parity sketch; the Hamming distance of two sketches is
-at most the size of the symmetric difference of their sets.  Two sets of sizes
-a and b with Jaccard similarity t differ in at most (1-t)(a+b)/(1+t) members,
-so of a sketch cut into more blocks than that some blocks must agree.
-Sizes are cut into bands; within a band all sketches have as many blocks as
-its largest pair needs, and texts are joined on (band, block, value).  Pairs
-are then held against whole sketches, and those left are verified on the sets.
+A text's set is its distinct word shingles.  XOR-ing the hash of every member
+into one block of a sketch gives its parity blocks: a member changes one block,
+so the blocks in which two sketches differ are at most as many as the symmetric
+difference of their sets.  Two sets of sizes a and b with Jaccard similarity t
+differ in at most (1-t)(a+b)/(1+t) members, so of more blocks than that some
+must agree.  Sizes are cut into bands; within a band all sketches have as many
+blocks as its largest pair needs, and texts are joined on (band, block, value).
+Pairs are then held against bit sketches, in which every member toggles one
+bit and whose Hamming distance bounds the symmetric difference from below, and
+those left are verified on the sets.
 
 ``SPARE`` further blocks are added, and every text leaves out as many of its
-own: those with the fewest bits, which agree by chance.  Of the blocks on which
+own: those with the fewest members, which agree most easily.  Of the blocks on which
 two similar texts agree the fullest comes after all others in the order of
 both, so neither leaves it out.
 
 Texts with equal sets are one class; only classes are joined.  The result is
 the components of the links, so a pair whose classes are already connected
 needs no check: the classes of a bucket are first tried against its smallest
-and largest one, and only where components still meet in a bucket are its
-sketches compared among themselves, in tiles of bounded size.
+and largest one, and only where components still meet among the others of a
+bucket are these compared among themselves, in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -36,9 +38,8 @@ from sparkweave.llm import bytesnp
 from sparkweave.plans.components import star_components
 from sparkweave.session import discard, materialise, share_code
 
-#: Ratio of a band's largest size to its smallest; share of spare blocks; 64-bit words of a block.
-BAND, SPARE, WORDS = 1.2, 0.1, 8
-_FOLD = np.random.default_rng(5).integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
+#: Ratio of a band's largest size to its smallest; share of spare blocks.
+BAND, SPARE = 1.2, 0.1
 #: Rows of a part of a bucket; a tile holds two parts.
 TILE = 2048
 #: Classes that a task remembers having sent, so that copies are not sent again.
@@ -79,10 +80,15 @@ def _sets(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np
     starts, ends, first = bytesnp.words(lower, offs, bytesnp.NOT_SPACE)
     hashes, first = bytesnp.shingle_hash(bytesnp.span_hash(lower, starts, ends), first, width)
     rows = len(offs) - 1
-    row = np.repeat(np.arange(rows, dtype=np.uint32), np.diff(first))
-    order = np.argsort(hashes)
-    order = order[np.argsort(row[order].astype(np.uint16) if rows < 65536 else row[order], kind="stable")]
-    h, r = hashes[order], row[order]
+    row = np.repeat(np.arange(rows, dtype=np.uint64), np.diff(first))
+    # One sort by the row and the high bits of the hash; members of one row that share those are put in order after it.
+    bits = np.uint64(max(rows - 1, 1).bit_length())
+    order = np.argsort(row << (np.uint64(64) - bits) | hashes >> bits)
+    h, r = hashes[order], row[order].astype(np.int64)
+    for i in np.flatnonzero((h[1:] < h[:-1]) & (r[1:] == r[:-1])).tolist():
+        while i >= 0 and r[i] == r[i + 1] and h[i] > h[i + 1]:
+            h[i], h[i + 1] = h[i + 1], h[i]
+            i -= 1
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     h, r = h[new], r[new]
@@ -128,15 +134,16 @@ def _keys(h: np.ndarray, first: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.
         at = np.repeat(first[:-1][picked], n[picked]) + np.arange(n[picked].sum()) - np.repeat(np.concatenate([[0], np.cumsum(n[picked])])[:-1], n[picked])
         x = h[at]
         place = start[:-1][member] + ((x >> np.uint64(16)) % m[member].astype(np.uint64)).astype(np.int64)
-        words = np.zeros(start[-1] * WORDS, np.uint64)
-        np.bitwise_xor.at(words, place * WORDS + ((x >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
-        words = words.reshape(-1, WORDS)
+        value = np.zeros(start[-1], np.uint64)
+        np.bitwise_xor.at(value, place, x)
         owner = np.repeat(np.arange(len(picked)), m)
-        name = bytesnp.mix((own[picked][owner].astype(np.uint64) << np.uint64(32)) + (np.arange(start[-1]) - start[:-1][owner]).astype(np.uint64) + np.uint64(0x9E3779B9))
-        # Blocks with the fewest bits are left out; the order depends on a block's place and value only.
-        order = np.lexsort((name, np.bitwise_count(words).sum(1), owner))
-        keep = order[np.arange(start[-1]) - start[:-1][owner] >= spare[own[picked]][owner]]
-        keys.append(bytesnp.mix((words[keep] * _FOLD).sum(1, dtype=np.uint64) ^ name[keep]))
+        nth = np.arange(start[-1]) - start[:-1][owner]
+        name = bytesnp.mix((own[picked][owner].astype(np.uint64) << np.uint64(32)) + nth.astype(np.uint64) + np.uint64(0x9E3779B9))
+        # Blocks with the fewest members are left out; the order depends on a block's place and members only.
+        held = np.minimum(np.bincount(place, minlength=start[-1]), 255).astype(np.uint64)
+        order = np.argsort(owner.astype(np.uint64) << np.uint64(40) | held << np.uint64(32) | nth.astype(np.uint64))
+        keep = order[nth >= spare[own[picked]][owner]]
+        keys.append(bytesnp.mix(value[keep] ^ name[keep]))
         rows.append(picked[owner[keep]])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -262,7 +269,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _open(held: DataFrame) -> DataFrame:
-    """``key``, ``size`` of the buckets in which components meet."""
+    """``key``, ``size`` of the buckets of ``held`` in which components meet."""
     met = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
     return met.where("x <> y").select("key", "size")
 
@@ -325,59 +332,81 @@ def _tiles(held: DataFrame, light: DataFrame, rule: Rule, forest: bool) -> DataF
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+class _Tables:
+    """Written tables, to be deleted together after their last reader."""
+
+    def __init__(self) -> None:
+        self.written: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.written.append(materialise(df, name))
+        return self.written[-1]
+
+    def discard(self) -> None:
+        for df in self.written:
+            discard(df.sparkSession, df)
+
+
 def links(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
     """``id``, ``component`` for every class that is linked to another one."""
     spark = docs.sparkSession
     share_code(spark)
-    ends = _read(docs, text, rule, "keys").groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
-    ends = materialise(ends, "buckets")
+    kept = _Tables()
+    ends = kept(_read(docs, text, rule, "keys").groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi"), "buckets")
     count = ends.count()
     if not count:
+        kept.discard()
         return spark.createDataFrame([], "id bigint, component bigint")
-    members = materialise(_read(docs, text, rule, "keys", _bit_filter(ends, "key", count)).join(ends, "key").distinct(), "members")
+    members = kept(_read(docs, text, rule, "keys", _bit_filter(ends, "key", count)).join(ends, "key").distinct(), "members")
     involved = members.select("cls").distinct()
 
     def read(what: str, classes_: DataFrame) -> DataFrame:
-        kept = _read(docs, text, rule, what, _bit_filter(classes_, "cls", classes_.count()))
-        return materialise(kept.join(classes_, "cls", "left_semi").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("body").alias("body")), what)
+        found = _read(docs, text, rule, what, _bit_filter(classes_, "cls", classes_.count()))
+        return kept(found.join(classes_, "cls", "left_semi").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("body").alias("body")), what)
+
+    def grown(component: DataFrame | None, links_: DataFrame) -> DataFrame:
+        """The components with further links."""
+        more = materialise(links_, "links")
+        new = star_components(more if component is None else more.unionByName(component.toDF("a", "b")), "a", "b")
+        for used in (more, component):
+            if used is not None:
+                discard(spark, used)
+        return new
 
     light = read("light", involved)
     # Every class with the smallest and the largest class of its buckets.
     ended = members.select("cls", F.explode(F.array("lo", "hi")).alias("end")).where("cls <> end")
-    near = materialise(_near(ended.groupBy(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).agg(F.count("*").alias("shared")), light, rule), "near")
+    near = kept(_near(ended.groupBy(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).agg(F.count("*").alias("shared")), light, rule), "near")
     ids = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
     sets = read("sets", ids)
     # First the end that a class shares the most blocks with, then the ends that are still in other components.
     sided = near.select(F.col("a").alias("x"), "a", "b", "shared").union(near.select("b", "a", "b", "shared"))
     best = sided.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    found = materialise(_verified(best, sets, rule), "links")
-    component = star_components(found, "a", "b")
+    component = grown(None, _verified(best, sets, rule))
 
     def named(column: str) -> DataFrame:
         return component.toDF(column, f"c_{column}")
 
     rest = near.join(best, ["a", "b"], "left_anti").join(named("a"), "a", "left").join(named("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
-    found = found.unionByName(materialise(_verified(rest, sets, rule), "links"))
-    component = star_components(found, "a", "b")
-    # What remains: classes in one bucket and in different components.  First the pairs that would join
-    # components, so that a large group of near copies is one component before all its pairs are looked at.
+    component = grown(component, _verified(rest, sets, rule))
+    # What remains: classes in one bucket, neither its smallest nor its largest, and in different components.
+    # First the pairs that would join components, so that a large group of near copies is one component
+    # before all its pairs are looked at.
     tried = near.select("a", "b")
     for forest in (True, False):
         named_ = component.withColumnRenamed("id", "cls")
-        held = materialise(members.select("key", "cls").join(named_, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "held")
-        more = materialise(_tiles(held, light, rule, forest).join(tried, ["a", "b"], "left_anti"), "near")
-        discard(spark, held)
+        inner = members.where("cls <> lo and cls <> hi").select("key", "cls")
+        held = kept(inner.join(named_, "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("component")), "held")
+        more = kept(_tiles(held, light, rule, forest).join(tried, ["a", "b"], "left_anti"), "near")
         if more.isEmpty():
             continue
         new = more.select(F.col("a").alias("cls")).union(more.select("b")).distinct().join(ids, "cls", "left_anti")
         if not new.isEmpty():
-            new = materialise(new, "new")
+            new = kept(new, "new")
             sets, ids = sets.unionByName(read("sets", new)), ids.unionByName(new)
-        found = found.unionByName(materialise(_verified(more, sets, rule), "links"))
+        component = grown(component, _verified(more, sets, rule))
         tried = tried.unionByName(more)
-        component = star_components(found, "a", "b")
-    for used in (members, ends, light, near):
-        discard(spark, used)
+    kept.discard()
     return component
 
 
@@ -403,12 +432,17 @@ def deduplicate(docs: DataFrame, rule: Rule | None = None, key: str = "doc_id",
     """One row of each component: that of the smallest key; all columns of ``docs``.
 
     Rows without shingles and rows with a null key stay.  Of rows that repeat
-    the kept key, one stays.
+    the kept key, one with the smallest text stays (null last).
+    An empty table gives an empty one; columns may have any name.
     """
     found = join(docs, rule, key, text)
     # Few keys need a look: those that are not their component's smallest, and those that repeat.
-    looked = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min("component_id").alias("__low"), F.count("*").alias("__n")).where("__low <> __key or __n > 1")
-    marked = docs.join(looked, F.col(key) == F.col("__key"), "left").where("__key is null or __low = __key")
-    once = marked.where("__n is null").drop("__key", "__low", "__n")
-    again = marked.where("__n > 1").drop("__key", "__low", "__n").dropDuplicates([key])
-    return once.unionByName(again)
+    looked = found.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min("component_id").alias("low"), F.count("*").alias("n")).where("low <> k or n > 1")
+    looked = materialise(looked, "looked")
+    discard(docs.sparkSession, found)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = docs.select(F.col(f"`{key}`").alias("k"), row).join(looked, "k", "left").where("low is null or low = k")
+    once = marked.where("n is null").select("row")
+    body = F.col(f"row.`{text}`")
+    again = marked.where("n > 1").groupBy("k").agg(F.min_by("row", F.struct(body.isNull(), body)).alias("row")).select("row")
+    return once.unionByName(again).select("row.*")
