@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkweave.llm.sampling import per_value
 from sparkweave.session import share_code
@@ -71,15 +72,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, extract: Extract, size:
     """Weights fitted on about ``most`` labelled documents of each class, weighed back to the classes' shares.
 
     A document with several label rows takes their mean, 0.5 counting as 1;
-    null ids, null labels and labels of no document are left out.
+    null ids, null labels and labels of no document of ``docs`` are left out,
+    so that the labels of documents kept from ``docs`` decide nothing.  Of
+    documents with one id the smallest text is used.
     """
     share_code(docs.sparkSession)
+    docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
+    known = known.join(docs.select("__key"), "__key", "left_semi")
     shares = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
     if not shares:
         return np.zeros(size + 1, dtype=np.float32)
-    picked = per_value(known, "__label", most, F.col("__key").cast("string"), 2)
-    got = features_of(docs.join(F.broadcast(picked), F.col(key) == F.col("__key")).select("__key", "__label", text), extract, text, ["__key", "__label"]).toPandas()
+    picked = per_value(known, "__label", most, F.col("__key").cast("string"))
+    texts = docs.join(F.broadcast(picked), "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text"))
+    got = features_of(texts, extract, "__text", ["__key", "__label"]).toPandas()
     got = got.sort_values("__key", kind="stable").reset_index(drop=True)
     y = got["__label"].to_numpy(float)
     seen = np.array([max((y == c).sum(), 1) for c in (0, 1)], dtype=float)
@@ -111,5 +117,4 @@ def score(docs: DataFrame, weights: np.ndarray, extract: Extract, text: str = "t
                     z[a:b] += np.bincount(np.repeat(np.arange(b - a), np.diff(first)), w[at] * value, b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(z))], names=[*batch.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, score double")
+    return kept.mapInArrow(run, StructType([*kept.schema, StructField("score", DoubleType())]))

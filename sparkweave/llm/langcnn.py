@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sparkweave.llm import bytesnp
 from sparkweave.llm.sampling import per_value
@@ -134,7 +135,10 @@ def train(texts: list[str], languages: list[str], epochs: int = 12, rate: float
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
     """Train on about ``TEXTS_PER_LANGUAGE`` texts of each language, of each up to ``WINDOWS_PER_TEXT`` windows spread over it."""
-    picked = per_value(docs.where(F.length(text) > 0), lang, TEXTS_PER_LANGUAGE, F.coalesce(F.col(key).cast("string"), F.lit("")))
+    labelled = docs.where(F.length(text) > 0).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    # Rows that repeat count once, those without an id are told apart by their texts.
+    picked = per_value(labelled, "lang", TEXTS_PER_LANGUAGE, F.coalesce("id", "text")).distinct()
+    text, lang = "text", "lang"
     cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_TEXT - 1)), lambda i: F.floor(i * F.greatest(F.length(text) - 200, F.lit(0)) / max(WINDOWS_PER_TEXT - 1, 1)).cast("int")))
     rows = picked.select(F.col(lang), F.explode(cuts).alias("at"), text).select(lang, F.substring(F.col(text), F.col("at") + 1, F.lit(200)).alias("t")).toPandas()
     rows = rows.sort_values([lang, "t"])
@@ -153,8 +157,10 @@ def predict(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
     """
     share_code(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)
-    kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")], has_letter(F.col(text)).alias("__letter"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__letter")
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    letter = max(columns, key=len) + "_letter"
+    kept = docs.select(*[f"`{c}`" for c in columns], has_letter(F.col(text)).alias(letter))
+    schema = StructType([*list(kept.schema)[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Network = sent.value
@@ -175,4 +181,4 @@ def predict(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
             columns = [*batch.columns[:-1], pa.array(pred.tolist(), pa.string()), pa.array(np.where(letter, score, 0.0))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(run, schema)

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkweave.session import materialise
+
 
-def per_value(rows: DataFrame, label: str, most: int, salt: Column, values: int = 256) -> DataFrame:
+def per_value(rows: DataFrame, label: str, most: int, salt: Column, total: int = 100_000) -> DataFrame:
     """About ``most`` rows of each label value, chosen by the hash ``salt`` and not by order.
 
-    Rows with a null label are left out.  Values beyond the ``values`` most
-    frequent ones (ties by value) are left out too: the bound on what the
-    caller holds is ``most`` times ``values``, whatever the input's size.
+    Rows with a null label are left out.  ``total`` bounds the rows of all
+    values: with more values each gets fewer rows, one at least on average, and
+    with more values than that the less frequent ones get theirs by chance.
     """
     labelled = rows.where(F.col(label).isNotNull())
-    counts = labelled.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(values).collect()
-    if not counts:
-        return labelled.limit(0)
+    counts = materialise(labelled.groupBy(F.col(label).alias("v")).agg(F.count("*").alias("n")), "values")
+    share = F.lit(float(min(most, total / max(counts.count(), 1))))
     space = 1 << 30
     chance = F.pmod(F.xxhash64(salt), F.lit(space))
-    keep = [(F.col(label) == r[label]) & (chance < F.lit(min(space, int(most / r["n"] * space) + 1))) for r in counts]
-    return labelled.where(reduce(lambda a, b: a | b, keep))
+    rates = counts.select("v", (share / F.col("n") * space + 1).cast("bigint").alias("below"))
+    sampled = labelled.alias("r").join(rates.alias("c"), F.col(f"r.`{label}`") == F.col("c.v")).where(chance < F.col("below"))
+    return sampled.select("r.*")

@@ -122,3 +122,89 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert np.mean([(got[i] >= 0.5) == (y == 1) for i, _, y in rows if i % 4 == 0]) > 0.97
     assert got[900] == got[901] < 0.5 <= got[902]
+
+
+def test_labels_of_documents_kept_out_decide_nothing(spark):
+    rows = [(i, f"good word{i % 5} house" if i % 2 else f"bad thing{i % 5} ###") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where("doc_id % 3 <> 0")
+
+    def labels(flip):
+        return spark.createDataFrame([(i, i % 2 if i % 3 or not flip else 1) for i in range(60)], "doc_id long, quality int")
+
+    assert (quality.fit(train, labels(False)) == quality.fit(train, labels(True))).all()
+    one, two = (toxicity.fit(train, labels(f), "quality")[0] for f in (False, True))
+    assert (one == two).all()
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(6, 3, replace=False)), rng.random(3)) for _ in range(20)]
+    y, weights = rng.integers(0, 2, 20).astype(float), rng.random(20) + 0.5
+    alpha, l1, l2 = 0.3, 0.1, 0.2
+    z, n = [0.0] * 7, [0.0] * 7
+
+    def w(i):
+        small = abs(z[i]) <= l1 and i < 6
+        return 0.0 if small else -(z[i] - (l1 if z[i] > 0 else -l1 if z[i] < 0 else 0) * (i < 6)) / ((1 + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for r in order.permutation(20):
+            x = [*zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True), (6, 1.0)]
+            p = 1 / (1 + np.exp(-sum(w(i) * v for i, v in x)))
+            now = {i: w(i) for i, _ in x}
+            for i, v in x:
+                g = (p - y[r]) * weights[r] * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * now[i]
+                n[i] += g * g
+    assert np.allclose(ftrl.train(rows, y, weights, 6, alpha, l1, l2, epochs=2), [w(i) for i in range(7)], atol=1e-5)
+
+
+def test_viterbi_equals_all_readings():
+    from itertools import product
+
+    model = toxicity.character_model(np.random.default_rng(4).random((toxicity.KINDS,) * 3) * 50)
+    decoder = toxicity.Decoder(model)
+    for span in (b"s7up1d", b"i.d.i.o.t", b"h a t e", b"looo5er", b"cla55", b"!d10t", b"a$$"):
+
+        def cost(parts):
+            x = y = 0
+            total = sum(c for _, c in parts)
+            for byte in b"".join(s for s, _ in parts) + b" ":
+                k = int(toxicity._KIND[byte])
+                total += model[x, y, k]
+                x, y = y, k
+            return total
+
+        every = list(product(*decoder.lattice(span)))
+        got = decoder.restore(span)
+        best = min(map(cost, every))
+        assert any(b"".join(s for s, _ in p) == got and abs(cost(p) - best) < 1e-9 for p in every)
+
+
+def test_character_counts_do_not_depend_on_partitions(spark):
+    rows = [(f"text {i} of words" if i % 4 else None,) for i in range(40)]
+    one, many = (toxicity.character_counts(spark.createDataFrame(rows, "text string").repartition(n)) for n in (1, 7))
+    assert (one == many).all()
+
+
+def test_columns_of_any_name_pass(spark):
+    odd = spark.createDataFrame([(1, "alpha beta", "xx")], "doc_id long, text string, lang string").selectExpr("*", "1 as __letter", "named_struct('content-type', 2) as s")
+    from sparkweave.llm import bpe, licences  # noqa: F401
+
+    net = langcnn.train(["abc def", "ghi"], ["a", "b"], epochs=1)
+    assert langcnn.predict(odd, net).select("s.`content-type`", "__letter").first() == (2, 1)
+    assert licences.scan(odd).select("s.`content-type`").first() == (2,)
+    assert ftrl.score(odd, np.zeros((1 << quality.BITS) + 1, np.float32), quality.extract).select("s.`content-type`").first() == (2,)
+
+
+def test_a_language_of_rows_without_ids_is_sampled(spark):
+    rows = [(None, f"alpha beta {i}", "xx") for i in range(3000)] + [(None, "same", "yy")] * 3000
+    from pyspark.sql import functions as F
+
+    from sparkweave.llm.sampling import per_value
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = per_value(docs, "lang", 100, F.coalesce(F.col("doc_id").cast("string"), "text")).distinct().groupBy("lang").count().collect()
+    assert all(r["count"] < 200 for r in got)
