@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are dealt to shards by ranges of their id, whose bounds come from a
-histogram of bytes over fixed id intervals, sorted within a shard, and written
-as one gzip member each.  A file is closed once its compressed size passes a
+Records are dealt to shards by ranges of their id and digest, cut where the
+bytes before them pass multiples of a shard's size, sorted within a shard, and
+written as one gzip member each.  A file is closed once its compressed size passes a
 bound and the next one begins.  Every task writes under temporary names that
 no other attempt uses and returns manifest rows; a second job renames what the
 winning attempts wrote, and the manifest table is written last.  The same
@@ -19,20 +19,21 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkweave.session import scratch, share_code
+from sparkweave.session import discard, materialise, scratch, share_code
 
 #: A file is closed when its compressed size passes this.
 ROLL = 8 << 20
-#: Payload bytes aimed at for a shard, and id intervals of the histogram.
-SHARD, INTERVALS = 32 << 20, 4096
+#: Payload bytes aimed at for a shard, shards at most, and bytes that a record counts beside its payload.
+SHARD, SHARDS, HEADERS = 32 << 20, 20_000, 512
 #: Date of every record, so that files do not depend on when they are made.
 DATE = "2000-01-01T00:00:00Z"
 _MANIFEST = "temporary string, final string, shard bigint, roll bigint, records bigint, bytes bigint, sha256 string"
@@ -74,21 +75,50 @@ def member(data: bytes) -> bytes:
     return out.getvalue()
 
 
-def _bounds(pages: DataFrame, key: str, size: str) -> tuple[int, int, list[int]]:
-    """Lowest id, interval width, and the intervals at which a new shard begins."""
-    low, high = pages.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return 0, 1, []
-    width = max(1, -(-(high - low + 1) // INTERVALS))
-    cell = F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("int")
-    got = pages.where(F.col(key).isNotNull()).groupBy(cell.alias("cell")).agg(F.sum(size).alias("bytes")).orderBy("cell").collect()
-    starts, held = [], 0
-    for r in got:
-        if held and held + r["bytes"] > SHARD:
-            starts.append(r["cell"])
-            held = 0
-        held += r["bytes"]
-    return low, width, starts
+def _bounds(ids: DataFrame) -> list[tuple[int, str]]:
+    """The (page, digest) at which each shard but the first begins, by bytes up to it in that order.
+
+    Shards of ``SHARD`` bytes, larger only where there would be more than
+    ``SHARDS``.  Sums over ranges of the order are put together, so the bounds
+    are exact and do not depend on how the ranges were chosen.
+    """
+    spark = ids.sparkSession
+    cost = ids.groupBy("place", "sha").agg(F.sum(F.col("size") + HEADERS).alias("bytes"))
+    ranged = materialise(cost.repartitionByRange("place", "sha").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("part").agg(F.sum("bytes").alias("bytes"), F.min(F.struct("place", "sha")).alias("head")).orderBy("head").collect()
+    total = sum(r["bytes"] for r in sums)
+    bytes_ = max(SHARD, -(-total // SHARDS))
+    before, rows = 0, []
+    for r in sums:
+        rows.append((r["part"], before))
+        before += r["bytes"]
+    if total <= bytes_:
+        discard(spark, ranged)
+        return []
+    offsets = spark.createDataFrame(rows, "part int, before bigint")
+    upto = F.sum("bytes").over(Window.partitionBy("part").orderBy("place", "sha").rowsBetween(Window.unboundedPreceding, -1))
+    at = ranged.withColumn("upto", F.coalesce(upto, F.lit(0))).join(offsets, "part").withColumn("shard", F.floor((F.col("before") + F.col("upto")) / F.lit(bytes_)))
+    heads = at.groupBy("shard").agg(F.min(F.struct("place", "sha")).alias("head")).orderBy("shard").select("head.*").collect()
+    discard(spark, ranged)
+    return [(r["place"], r["sha"]) for r in heads[1:]]
+
+
+def _shard(bounds: list[tuple[int, str]]) -> Column:
+    """The shard of a row by its ``place`` and ``sha``: bounds are looked up in blocks, then within one block."""
+
+    def begun(array: Column) -> Column:
+        return F.size(F.filter(array, lambda b: (b["place"] < F.col("place")) | ((b["place"] == F.col("place")) & (b["sha"] <= F.col("sha")))))
+
+    def literal(rows: list[tuple[int, str]]) -> Column:
+        return F.array(*[F.struct(F.lit(p).cast("bigint").alias("place"), F.lit(x).alias("sha")) for p, x in rows])
+
+    if not bounds:
+        return F.lit(0).cast("bigint")
+    width = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    block = begun(literal([x[0] for x in blocks]))
+    inner = F.element_at(F.array(*[literal(x) for x in blocks]), F.greatest(block, F.lit(1)))
+    return F.when(block == 0, 0).otherwise((block - 1) * width + begun(inner)).cast("bigint")
 
 
 def _writer(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -105,24 +135,20 @@ def _writer(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 done.append([state[k] for k in ("temporary", "final", "shard", "roll", "records", "bytes")] + [state["sha"].hexdigest()])
                 out = None
 
-        refers, heads = (None, None), {}
+        decided, written = None, False
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
-                shard, page, kind, url, html, sha, resp, least = (c[i].as_py() for c in columns)
+                shard, page, kind, url, html, sha, resp = (c[i].as_py() for c in columns)
                 if kind == 0:
-                    # The decision about the payloads of this id comes before its pages.
-                    if refers[0] != (shard, page):
-                        refers, heads = ((shard, page), {}), set()
-                    refers[1][sha] = (resp, least)
+                    # The decision about this id's payload comes before its pages.
+                    decided, written = (shard, page, sha, resp), False
                     continue
                 payload = (html or "").encode()
-                told = refers[1].get(sha) if refers[0] == (shard, page) else None
-                first = sha not in heads if told else True
-                revisit = bool(told) and (told[0] != page or not first)
-                if told:
-                    heads.add(sha)
-                data = member(record(page, url, payload, told[0] if revisit else None, revisit))
+                told = decided is not None and decided[:3] == (shard, page, sha)
+                revisit = told and (decided[3] != page or written)
+                written = told
+                data = member(record(page, url, payload, decided[3] if revisit else None, revisit))
                 if out is not None and (state["shard"] != shard or state["bytes"] >= ROLL):
                     roll = state["roll"] + 1 if state["shard"] == shard else 0
                     close()
@@ -149,29 +175,31 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     Of equal payloads of ``least`` bytes or more, the record with the largest
     id is the response; among rows that repeat that id the first.  Null html is
     an empty payload; a null id sorts first, keeps its record, and never beats
-    another id.  An empty table gives an empty manifest.
+    another id.  Ids may be any 64-bit numbers.  An empty table gives an empty
+    manifest.
     """
     spark = pages.sparkSession
     share_code(spark)
     rows = pages.select(F.col(key).cast("bigint").alias("page"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    ids = rows.select("page", F.sha1(payload).alias("sha"), F.octet_length(payload).cast("bigint").alias("size"))
-    low, width, starts = _bounds(ids, "page", "size")
-    cell = F.floor((F.col("page") - F.lit(low)) / F.lit(width)).cast("int")
-    shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= cell)), F.lit(0)).cast("bigint") if starts else F.lit(0).cast("bigint")
+    # Null ids stand with the smallest one.
+    rows = rows.withColumn("place", F.coalesce("page", F.lit(-1 << 63))).withColumn("sha", F.sha1(payload))
+    ids = materialise(rows.select("page", "place", "sha", F.octet_length(payload).cast("bigint").alias("size")), "ids")
+    bounds = _bounds(ids)
+    shard = _shard(bounds).alias("shard")
     groups = ids.where(F.col("size") >= least).groupBy("sha").agg(F.max("page").alias("resp"), F.count("*").alias("n")).where("n > 1")
-    decided = ids.join(groups, "sha").select("page", "sha", "resp").distinct()
+    decided = ids.join(groups, "sha").select("page", "place", "sha", "resp").distinct()
     null = F.lit(None)
-    both = decided.select(shard.alias("shard"), "page", F.lit(0).alias("kind"), null.cast("string").alias("url"), null.cast("string").alias("html"), "sha", "resp", F.lit(least).alias("least")).unionByName(
-        rows.select(shard.alias("shard"), "page", F.lit(1).alias("kind"), "url", "html", F.sha1(payload).alias("sha"), null.cast("bigint").alias("resp"), F.lit(least).alias("least"))
+    both = decided.select(shard, "page", F.lit(0).alias("kind"), null.cast("string").alias("url"), null.cast("string").alias("html"), "sha", "resp").unionByName(
+        rows.select(shard, "page", F.lit(1).alias("kind"), "url", "html", "sha", null.cast("bigint").alias("resp"))
     )
-    n = len(starts) + 1
-    dealt = both.repartitionByRange(n, "shard").sortWithinPartitions("shard", "page", "kind", "sha", "url")
+    dealt = both.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page", "sha", "kind", "url")
     root = path if "://" in path else f"file://{path}"
     fs, base = pafs.FileSystem.from_uri(root)
     fs.create_dir(base, recursive=True)
     staged = f"{path}/_staged"
     dealt.mapInArrow(_writer(root), _MANIFEST).write.parquet(staged)
+    discard(spark, ids)
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(root)
@@ -243,5 +271,3 @@ def roundtrip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write to a fresh place in the shared folder and read back."""
     path = scratch(pages.sparkSession, "warc")
     return read(pages.sparkSession, write(pages, path, least=least), path, payloads=False)
-
-

@@ -54,3 +54,30 @@ def test_same_files_every_time_and_payloads_back(spark, tmp_path, monkeypatch):
 
 def test_empty_table(spark):
     assert warc.roundtrip(made(spark, [])).count() == 0
+
+
+def test_ids_far_apart_and_one_hot_id_are_cut_into_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARD", 20_000)
+    rows = [(i, None, f"<p>{i}</p>" * 100) for i in range(30)] + [(2**62, None, "far"), (-(2**63) + 1, None, "low"), (2**63 - 1, None, "top"), (None, None, "none")]
+    rows += [(12, f"u{i}", f"<q>{i}</q>" * 200) for i in range(40)]
+    path = str(tmp_path / "w")
+    manifest = warc.write(made(spark, rows), path)
+    shards = manifest.groupBy("shard").sum("records").collect()
+    assert len(shards) >= 5 and max(r[1] for r in shards) <= 30
+    got = [tuple(r) for r in warc.read(spark, manifest, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    assert sorted(got, key=str) == expected(rows)
+
+
+def test_a_shard_rolls_by_compressed_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ROLL", 2000)
+    rows = [(i, f"http://x/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 10) for i in range(60)]
+    manifest = warc.write(made(spark, rows), str(tmp_path / "r")).orderBy("roll").collect()
+    assert {r["shard"] for r in manifest} == {0} and [r["roll"] for r in manifest] == list(range(len(manifest))) and len(manifest) > 3
+    assert all(r["bytes"] >= 2000 for r in manifest[:-1]) and sum(r["records"] for r in manifest) == 60
+
+
+def test_bounds_are_looked_up_in_order(spark):
+    bounds = [(i * 10, "m") for i in range(23)]
+    rows = [(p, x) for p in range(-5, 260, 5) for x in ("a", "m", "z")]
+    got = spark.createDataFrame(rows, "place long, sha string").select("place", "sha", warc._shard(bounds).alias("shard")).collect()
+    assert all(r["shard"] == sum(b <= (r["place"], r["sha"]) for b in bounds) for r in got)
