@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from sparkweave.session import share_code
 
@@ -48,6 +49,7 @@ class PrefixEncoder:
             for byte in reversed(token):
                 node = node.setdefault(byte, {})
             node[-1] = rank
+        self.longest = max(map(len, ranks), default=0)
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.seen: dict[bytes, bytes] = {}
@@ -157,9 +159,21 @@ class PrefixEncoder:
         return data, self.extend(data, last)
 
     def edit(self, data: bytes, last: list[int], start: int, stop: int, new: bytes) -> tuple[bytes, list[int]]:
-        """Replace bytes ``start:stop``; only prefixes that reach the edit are computed again."""
-        data = data[:start] + new + data[stop:]
-        return data, self.extend(data, last[:start])
+        """Replace bytes ``start:stop``; prefixes are computed again from there until the table agrees with the old one.
+
+        A prefix's token depends on the tokens of the prefixes that are shorter
+        by up to the longest token.  Where so many neighbouring prefixes beyond
+        the edit agree, all that follow agree.
+        """
+        data, old, shift = data[:start] + new + data[stop:], last, start + len(new) - stop
+        last, end = last[:start], start + len(new)
+        self.extend(data, last, end)
+        same = 0
+        while end < len(data) and same < self.longest:
+            end += 1
+            self.extend(data, last, end)
+            same = same + 1 if last[end - 1] == old[end - 1 - shift] else 0
+        return data, last + old[end - shift :]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -186,7 +200,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
     added = [("bpe_ids", "array<int>")] * keep_ids + [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     names = {name for name, _ in added}
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"`{n}` {t}" for n, t in added)])
+    schema = StructType([*kept.schema, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in added))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
@@ -210,4 +224,4 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", k
             columns += [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *(n for n, _ in added)])
 
-    return kept.mapInArrow(run, fields)
+    return kept.mapInArrow(run, schema)

@@ -242,5 +242,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose id holds a leak; rows with a null id stay."""
-    leaks = matches(docs.where(F.col(key).isNotNull()), benchmark, key, text).where("leak").select(F.col(key).alias("__leak")).distinct()
-    return docs.join(leaks, F.col(key) == F.col("__leak"), "left_anti")
+    leaks = matches(docs.where(F.col(key).isNotNull()), benchmark, key, text).where("leak").select(F.col(key).alias("id")).distinct()
+    return docs.alias("d").join(leaks.alias("l"), F.col(f"d.`{key}`") == F.col("l.id"), "left_anti")

@@ -11,6 +11,7 @@ Beside the rules, a list of base phrases is counted as runs of whole words.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -19,6 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from sparkweave.llm import bytesnp
 from sparkweave.session import share_code
@@ -142,7 +144,7 @@ _SENTENCES = [
     ("public-domain", "released into the public domain", b"public domain", 2),
     ("all-rights-reserved", "all rights reserved", b"rights reserved", 1),
     ("proprietary", "proprietary and confidential", b"proprietary", 2),
-    ("proprietary", "unauthorized (?:copying|use|distribution)[a-z ,]{0,40} is strictly prohibited", b"strictly prohibited", 2),
+    ("proprietary", r"unauthorized (?:copying|use|distribution)[a-z\s,]{0,40} is strictly prohibited", b"strictly prohibited", 2),
     ("license-notice", "licen[cs]ed under", b"licen", 1),
 ]
 
@@ -200,9 +202,16 @@ def detect(data: bytes, tried: list[Rule]) -> list[tuple[int, int, Rule]]:
     found = [(m.start(), m.end(), rule) for rule in tried for m in rule.pattern.finditer(data)]
     found.sort(key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label))
     kept: list[tuple[int, int, Rule]] = []
+    # The intervals kept that lie in no other one: with their starts their ends rise too.
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in found:
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and end <= ends[at - 1]:
+            continue
+        kept.append((start, end, rule))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)
+        starts[low : max(low, high)], ends[low : max(low, high)] = [start], [end]
     return sorted(kept, key=lambda d: (d[0], d[1]))
 
 
@@ -270,5 +279,4 @@ def scan(docs: DataFrame, text: str = "text", spans: bool = False) -> DataFrame:
                 values.append(pa.array(places, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("label", pa.string()), ("priority", pa.int32())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *values], names=[*batch.schema.names, *(n for n, _ in added)])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{n} {t}" for n, t in added)])
-    return kept.mapInArrow(run, fields)
+    return kept.mapInArrow(run, StructType([*kept.schema, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in added))]))

@@ -114,7 +114,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "v
     Ties go to the smaller id.  Unusable vectors (see ``usable``) and null ids
     take no part; vectors of another length than the query's are no candidates.
     Repeated ids are separate candidates; a query never finds its own id unless
-    ``self_too``; of query rows that share an id one is searched.  Fewer candidates than k give fewer rows.
+    ``self_too``; of query rows that share an id the smallest vector is searched.  Fewer candidates than k give fewer rows.
     """
     spark = queries.sparkSession
     share_code(spark)
@@ -127,7 +127,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10, key: str = "v
     blocks = c.count()
     groups = max(1, -(-blocks // GROUP_BLOCKS))
     # Queries come together first, so that their blocks are full.
-    fine = queries.where(usable(F.col(vector))).dropDuplicates([key])
+    fine = queries.where(usable(F.col(vector))).groupBy(key).agg(F.min(vector).alias(vector))
     parts = max(1, fine.count() // (4 * QUERY_BLOCK))
     q = materialise(packed(fine.repartition(parts), QUERY_BLOCK).withColumn("qblock", F.monotonically_increasing_id()), "queries")
     left = q.select(*[F.col(x).alias(f"q_{x}") for x in ("ids", "vectors", "codes", "scale", "norm", "rest", "n")], "dim", "qblock", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))

@@ -52,3 +52,18 @@ def test_append_and_edit_are_exact():
         edited, again = coder.edit(data, table, a, b, more)
         assert edited == data[:a] + more + data[b:] and again == coder.extend(edited, [])
         assert coder.decode(struct.pack(f"<{len(coder.walk(again, coder.tokens))}I", *coder.walk(again, coder.tokens))) == edited
+
+
+def test_edit_stops_where_the_tables_agree():
+    import random
+
+    ranks = {bytes([b]): b for b in range(256)} | {p: 256 + i for i, p in enumerate([b"ab", b"abab", b"ba", b"bab", b"aa", b"aaa"])}
+    coder = bpe.PrefixEncoder(ranks)
+    rng = random.Random(2)
+    for _ in range(200):
+        data = bytes(rng.choice(b"abc") for _ in range(60))
+        last = coder.extend(data, [])
+        a = rng.randrange(60)
+        b, new = min(60, a + rng.randrange(5)), bytes(rng.choice(b"abc") for _ in range(rng.randrange(5)))
+        changed, table = coder.edit(data, list(last), a, b, new)
+        assert changed == data[:a] + new + data[b:] and table == coder.extend(changed, [])

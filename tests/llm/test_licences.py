@@ -53,3 +53,55 @@ def test_gates_lose_nothing(spark):
 
 def test_empty_table(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+POSITIVE = {
+    "unauthorized": "Unauthorized copying of this file, via any medium is strictly prohibited",
+    "neither": "Neither the name of the copyright holder nor the names of its contributors",
+}
+
+
+def plain(pattern):
+    """A text that a written rule stands for: optional parts left out, the first of alternatives taken."""
+    import re
+
+    text = pattern.replace("licen[cs]e", "license").replace("[^.]{1,80}?", "acme").replace(".{1,80}?", "acme").replace("f[a-z*]+", "f***")
+    text = re.sub(r"\((?:\?:)?[^()]*\)\?", "", text)
+    text = re.sub(r"\(\?:([^()|]*)\|?[^()]*\)", r"\1", text)
+    return text.replace("d?", "d").replace("-?", "-").replace("beer-ware", "beer-ware")
+
+
+def test_every_written_rule_has_a_text_that_it_finds():
+    for label, text, _, _ in licences._SENTENCES:
+        sample = next((v for k, v in POSITIVE.items() if text.startswith(k)), plain(text)).lower().encode()
+        tried = [r for r in licences.rules() if r.keyword in sample]
+        assert any(r.label == label and r.pattern.search(sample) for r in tried), (label, sample)
+    for label, title in licences._PLAIN.items():
+        sample = ("the " + plain(title) + ", see").encode()
+        assert any(r.label == label and r.pattern.search(sample) for r in licences.rules() if r.keyword in sample), (label, sample)
+    for rules in (licences._GNU, licences._VERSIONED):
+        for label, (title, _, versions) in rules.items():
+            for v in versions:
+                sample = f"under the {plain(title)}, version {v}.".encode()
+                assert any(r.label == f"{label}-{v}" and r.pattern.search(sample) for r in licences.rules() if r.keyword in sample), (label, v, sample)
+
+
+def test_suppression_equals_a_scan_of_all_pairs():
+    import random
+    import re
+
+    rng = random.Random(6)
+    data = bytes(rng.choice(b"ab ") for _ in range(400))
+    rules = [licences.Rule(f"r{i}", re.compile(p), b"a", 1 + i % 3) for i, p in enumerate([b"a+", b"ab", b"b a", b"[ab]+", b"a.{3}", b"b+ "])]
+    found = [(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(data)]
+    kept = []
+    for s, e, r in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
+        if not any(a <= s and e <= b for a, b, _ in kept):
+            kept.append((s, e, r))
+    assert licences.detect(data, rules) == sorted(kept, key=lambda d: (d[0], d[1]))
+
+
+def test_many_notices_in_one_text(spark):
+    text = "released under the mit license, all rights reserved. " * 30_000
+    got = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_base"] == 30_000 and got["last_word"] > got["first_word"]
