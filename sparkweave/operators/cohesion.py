@@ -136,41 +136,6 @@ def spanning_forest(graph: Graph) -> DataFrame:
     return taken if taken is not None else edges.limit(0)
 
 
-def bridges(graph: Graph) -> DataFrame:
-    """``src``, ``dst``: edges whose loss parts their ends; all losses are tried together, each on its own copy of the forest's edges.
-
-    Only edges of a spanning forest can be bridges, so there are fewer scenarios than nodes.
-    """
-    graph.need(directed=False)
-    forest = materialise(spanning_forest(graph).select(F.col("src").alias("a"), F.col("dst").alias("b")), "forest")
-    tag = F.concat("a", F.lit("\x00"), "b", F.lit("\x00"))
-    copies = graph.edges.where("src <> dst").crossJoin(forest).where("not (src = a and dst = b)").select(F.concat(tag, "src").alias("src"), F.concat(tag, "dst").alias("dst"))
-    found = star_components(copies, "src", "dst")
-    ends = forest.select("a", "b", F.concat(tag, "a").alias("ia"), F.concat(tag, "b").alias("ib"))
-    joined = ends.join(found.toDF("ia", "ca"), "ia", "left").join(found.toDF("ib", "cb"), "ib", "left")
-    return joined.where("ca is null or cb is null or ca <> cb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
-def cut_nodes(graph: Graph) -> DataFrame:
-    """``id``: nodes whose loss parts their component, all losses tried together."""
-    graph.need(directed=False)
-    gone = graph.nodes.select(F.col("id").alias("gone"))
-    tag = F.concat("gone", F.lit("\x00"))
-    kept = gone.crossJoin(graph.nodes).where("id <> gone").select("gone", "id", F.concat(tag, "id").alias("tid"))
-    copies = graph.edges.where("src <> dst").crossJoin(gone).where("src <> gone and dst <> gone").select(F.concat(tag, "src").alias("src"), F.concat(tag, "dst").alias("dst"))
-    found = star_components(copies, "src", "dst")
-    own = components(graph)
-    pieces = kept.join(found.toDF("tid", "piece"), "tid", "left").withColumn("piece", F.coalesce("piece", "tid")).join(own, "id")
-    per = pieces.groupBy("gone", "component").agg(F.countDistinct("piece").alias("n"))
-    return per.join(own.toDF("gone", "component"), ["gone", "component"]).where("n > 1").select(F.col("gone").alias("id"))
-
-
-def two_edge_components(graph: Graph) -> DataFrame:
-    """``id``, ``component`` after all bridges are taken away."""
-    rest = graph.edges.join(bridges(graph), ["src", "dst"], "left_anti")
-    return components(Graph(graph.nodes, rest.select("src", "dst", "w"), False))
-
-
 def cyclomatic(graph: Graph) -> DataFrame:
     """``n_nodes``, ``n_edges``, ``n_components``, ``cyclomatic``: m - n + c."""
     n, m, c = graph.nodes.count(), graph.edges.count(), components(graph.shadow).select("component").distinct().count()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from sparkweave.operators import blocks as b
 from sparkweave.operators import cohesion as c
 from sparkweave.operators import ranking as r
 from sparkweave.plans.catalogue import register
 from sparkweave.plans.travel import hops_sql
-from sparkweave.sources.tables import MARKETS, PURCHASES, TRADE, TRADE_TIES, TREE, TURNS, USERS, Source
+from sparkweave.sources.tables import CHAINS, MARKETS, PURCHASES, TRADE, TRADE_TIES, TREE, TURNS, USERS, Source
 
 
 def rank_sql(source: Source, home: str, rounds: int) -> str:
@@ -20,6 +21,7 @@ SELECT n.id, round(coalesce(w.x, 0e0), 6) AS rank FROM nodes n LEFT JOIN walk w
 
 
 _SPREAD = ", low(id, component) AS (SELECT id, id FROM nodes UNION SELECT a.dst, low.component FROM low JOIN (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) a ON a.src = low.id)"
+_OFF = ", off(gs, gd, id) AS (SELECT src, dst, src FROM edges UNION SELECT o.gs, o.gd, a.dst FROM off o JOIN arcs a ON a.src = o.id WHERE NOT (least(a.src, a.dst) = o.gs AND greatest(a.src, a.dst) = o.gd)), ring AS (SELECT DISTINCT gs AS src, gd AS dst FROM off WHERE id = gd)"
 _REACH = ", reach(src, dst) AS (SELECT id, id FROM nodes UNION SELECT reach.src, a.dst FROM reach JOIN arcs a ON a.src = reach.dst), strong AS (SELECT x.src AS id, min(x.dst) AS component FROM reach x JOIN reach y ON y.src = x.dst AND y.dst = x.src GROUP BY x.src)"
 
 register("pagerank_users", rank_sql(USERS, "SELECT id, 1e0 / (SELECT count(*) FROM nodes) AS h FROM nodes", 20))(lambda s, d: r.pagerank(USERS.graph(s, d), rounds=20))
@@ -36,7 +38,8 @@ walk(k, a, b, s) AS (SELECT 0, id, id, 1e0 FROM nodes UNION ALL SELECT y.k, y.a,
 SELECT a, b, round(s, 6) AS simrank FROM walk WHERE k = 4 AND a < b""")(lambda s, d: r.simrank(TRADE.graph(s, d), rounds=4))
 register("walkcount_three", f"WITH {USERS.sql()} SELECT x.src, z.dst, CAST(count(*) AS BIGINT) AS walks FROM arcs x JOIN arcs y ON y.src = x.dst JOIN arcs z ON z.src = y.dst GROUP BY x.src, z.dst")(lambda s, d: r.walk_counts(USERS.graph(s, d), 3))
 register("walkkernel_trade")(lambda s, d: s.createDataFrame([(round(r.walk_kernel(TREE.graph(s, d), MARKETS.graph(s, d), depth=4), 6),)], "kernel double"))
-register("connectedcomponents_purchases", f"WITH RECURSIVE {PURCHASES.sql()} SELECT id, (SELECT min(id) FROM nodes) AS component FROM nodes")(lambda s, d: c.components(PURCHASES.graph(s, d)))
+register("connectedcomponents_purchases", f"WITH RECURSIVE {PURCHASES.sql()}, first(id) AS (SELECT min(id) FROM nodes UNION SELECT a.dst FROM first f JOIN arcs a ON a.src = f.id) SELECT n.id, CASE WHEN f.id IS NOT NULL THEN (SELECT min(id) FROM first) END AS component FROM nodes n LEFT JOIN first f ON f.id = n.id")(lambda s, d: c.components(PURCHASES.graph(s, d)))
+register("connectedcomponents_chains", f"WITH RECURSIVE {CHAINS.sql()}{_SPREAD} SELECT id, min(component) AS component FROM low GROUP BY id")(lambda s, d: c.components(CHAINS.graph(s, d)))
 register("weaklyconnected_turns", f"WITH RECURSIVE {TURNS.sql()}{_SPREAD} SELECT id, min(component) AS component FROM low GROUP BY id")(lambda s, d: c.components(TURNS.graph(s, d)))
 register("tarjanscc_trade", f"WITH RECURSIVE {TRADE.sql()}{_REACH} SELECT id, component FROM strong")(lambda s, d: c.strong_components(TRADE.graph(s, d)))
 register("kosarajuscc_turns", f"WITH RECURSIVE {TURNS.sql()}{_REACH} SELECT id, component FROM strong")(lambda s, d: c.strong_components(TURNS.graph(s, d)))
@@ -45,12 +48,16 @@ register("bipartite_tree", hops_sql(TREE) + ", root AS (SELECT min(id) AS id FRO
 register("kcore_trade")(lambda s, d: c.core_numbers(TRADE_TIES.graph(s, d)))
 register("kcore_purchases")(lambda s, d: c.core_numbers(PURCHASES.graph(s, d)))
 register("ktruss_trade")(lambda s, d: c.truss_numbers(TRADE_TIES.graph(s, d)))
+register("bipartite_chains", f"WITH RECURSIVE {CHAINS.sql()}{_SPREAD}, root AS (SELECT id, min(component) AS component FROM low GROUP BY id), par(id, p) AS (SELECT id, 0 FROM root WHERE id = component UNION SELECT a.dst, 1 - par.p FROM par JOIN arcs a ON a.src = par.id), met AS (SELECT r.component FROM par JOIN root r ON r.id = par.id GROUP BY r.component, r.id HAVING count(*) > 1) SELECT id, component, component IN (SELECT component FROM met) AS odd FROM root")(lambda s, d: c.two_colouring(CHAINS.graph(s, d)).select("id", "component", "odd"))
 register("boruvka_tree", f"WITH {TREE.sql()} SELECT src, dst, w FROM edges")(lambda s, d: c.spanning_forest(TREE.graph(s, d)))
+_HEAVIEST = f"WITH RECURSIVE {CHAINS.sql()}{_OFF}{_SPREAD}, name AS (SELECT id, min(component) AS component FROM low GROUP BY id), heavy AS (SELECT n.component, max(row(e.w, e.src, e.dst)) AS e, max(e.w) AS top, list_sort(list(e.w), 'DESC')[2] AS next FROM ring r JOIN edges e ON e.src = r.src AND e.dst = r.dst JOIN name n ON n.id = r.src GROUP BY n.component)"
+register("kruskal_chains", f"{_HEAVIEST} SELECT src, dst, w FROM edges WHERE row(w, src, dst) NOT IN (SELECT e FROM heavy)")(lambda s, d: c.spanning_forest(CHAINS.graph(s, d)))
+register("reversedelete_chains", f"{_HEAVIEST} SELECT src, dst, w FROM edges WHERE row(w, src, dst) IN (SELECT e FROM heavy)")(lambda s, d: (lambda g: g.edges.join(c.spanning_forest(g), ["src", "dst"], "left_anti").select("src", "dst", "w"))(CHAINS.graph(s, d)))
+register("secondbestmst_chains", f"{_HEAVIEST}, first AS (SELECT (SELECT sum(w) FROM edges) - (SELECT sum(top) FROM heavy) AS f) SELECT round(f, 6) AS first, round(f + (SELECT min(top - next) FROM heavy), 6) AS second FROM first")(lambda s, d: b.second_tree(CHAINS.graph(s, d)))
 register("kruskal_trade")(lambda s, d: c.spanning_forest(TRADE_TIES.graph(s, d)))
-register("articulation_bridges", f"WITH RECURSIVE {TREE.sql()} SELECT src, dst FROM edges")(lambda s, d: c.bridges(TREE.graph(s, d)))
 _LOST = ", walk(gone, id, low) AS (SELECT g.id, n.id, n.id FROM nodes g JOIN nodes n ON n.id <> g.id UNION SELECT w.gone, a.dst, w.low FROM walk w JOIN arcs a ON a.src = w.id WHERE a.dst <> w.gone), piece AS (SELECT gone, id, min(low) AS low FROM walk GROUP BY gone, id)"
-register("articulation_nodes", f"WITH RECURSIVE {TREE.sql()}{_LOST} SELECT gone AS id FROM piece GROUP BY gone HAVING count(DISTINCT low) > 1")(lambda s, d: c.cut_nodes(TREE.graph(s, d)))
-register("twoedgeconnected_trade")(lambda s, d: c.two_edge_components(TRADE_TIES.graph(s, d)))
+register("articulation_nodes", f"WITH RECURSIVE {TREE.sql()}{_LOST} SELECT gone AS id FROM piece GROUP BY gone HAVING count(DISTINCT low) > 1")(lambda s, d: b.cut_nodes(TREE.graph(s, d)))
+register("twoedgeconnected_trade", f"WITH RECURSIVE {TRADE_TIES.sql()}{_OFF}, low(id, component) AS (SELECT id, id FROM nodes UNION SELECT a.dst, low.component FROM low JOIN (SELECT src, dst FROM ring UNION SELECT dst, src FROM ring) a ON a.src = low.id) SELECT id, min(component) AS component FROM low GROUP BY id")(lambda s, d: b.two_edge_components(TRADE_TIES.graph(s, d)))
 register("cyclebasis_number", f"WITH RECURSIVE {TRADE_TIES.sql()}{_SPREAD}, n AS (SELECT count(*) AS n FROM nodes), m AS (SELECT count(*) AS m FROM edges), k AS (SELECT count(DISTINCT c) AS k FROM (SELECT id, min(component) AS c FROM low GROUP BY id)) SELECT CAST(n AS BIGINT) AS n_nodes, CAST(m AS BIGINT) AS n_edges, CAST(k AS BIGINT) AS n_components, CAST(m - n + k AS BIGINT) AS cyclomatic FROM n, m, k")(lambda s, d: c.cyclomatic(TRADE_TIES.graph(s, d)))
 register("eulerian_tree", f"WITH {TREE.sql()}, g AS (SELECT src, count(*) AS d FROM arcs GROUP BY src) SELECT CAST(count(CASE WHEN d % 2 = 1 THEN 1 END) AS BIGINT) AS odd_nodes, count(CASE WHEN d % 2 = 1 THEN 1 END) = 0 AS circuit, count(CASE WHEN d % 2 = 1 THEN 1 END) IN (0, 2) AS trail FROM g")(lambda s, d: c.eulerian(TREE.graph(s, d)))
 register("eulerdirected_trade")(lambda s, d: c.eulerian(TRADE.graph(s, d)))

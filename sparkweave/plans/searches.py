@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sparkweave.model import Graph
 from sparkweave.operators import chance as c
 from sparkweave.operators import cohesion as co
-from sparkweave.operators import ranking as rk
 from sparkweave.operators import search as s
 from sparkweave.plans.catalogue import register
 from sparkweave.plans.travel import hops_sql
@@ -28,7 +27,7 @@ SELECT x.id AS a, y.id AS b, arg_min(x.ancestor, x.up + y.up) AS lca, CAST(min(x
 register("eulertour_subtrees")(lambda k, d: s.subtree_sizes(TREE.graph(k, d), "world"))
 register("treehash_shapes")(lambda k, d: s.tree_hash(TREE.graph(k, d), "world"))
 register("hld_pathmaxima")(lambda k, d: s.tree_path_maxima(TREE.graph(k, d), "world", TREE.graph(k, d).nodes.select("id", F.length("id").alias("value"))))
-register("dominators_trade")(lambda k, d: s.dominators(TRADE_DAG.graph(k, d), "0"))
+register("dominators_trade")(lambda k, d: (lambda g: s.dominators(g, g.nodes.agg(F.min("id")).first()[0]))(TRADE_DAG.graph(k, d)))
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> Graph:
@@ -76,22 +75,15 @@ def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_edge_list(files.edge_lines(g)).edges.select("src", "dst", "w")
 
 
-@register("spectral_sides")
-def _fiedler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _regions(spark, sf_dir)
-    v = rk.fiedler(g, rounds=60)
-    return spark.createDataFrame([(round(rk.algebraic_connectivity(g, v), 3),)], "algebraic_connectivity double")
-
-
-@register("louvain_modularity")
+@register("labelpropagation_modularity")
 def _modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = MARKETS.graph(spark, sf_dir)
     return spark.createDataFrame([(round(co.modularity(g, co.label_propagation(g)), 6),)], "modularity double")
 
 
 register("percolation_trade")(lambda k, d: c.percolation(TRADE_TIES.graph(k, d), [0.0, 0.3, 1.0], trials=5))
-register("randomwalk_shares")(lambda k, d: (lambda g: c.walk_shares(g, c.random_walks(g, "1", 20, 50)))(TRADE_TIES.graph(k, d).cache()))
+register("randomwalk_shares")(lambda k, d: (lambda g: c.walk_shares(g, c.random_walks(g, g.nodes.agg(F.min("id")).first()[0], 20, 50)))(TRADE_TIES.graph(k, d).cache()))
 register("covertime_walks")(lambda k, d: (lambda g: c.cover_times(g, c.random_walks(g, "r0", 30, 20)))(MARKETS.graph(k, d).cache()))
-register("epidemic_trials")(lambda k, d: c.epidemic(TRADE_TIES.graph(k, d), "1", 0.3, 0.5, trials=5))
+register("epidemic_trials")(lambda k, d: (lambda g: c.epidemic(g, g.nodes.agg(F.min("id")).first()[0], 0.3, 0.5, trials=5))(TRADE_TIES.graph(k, d)))
 register("edgeswap_degrees", f"WITH {TRADE_TIES.sql()} SELECT src AS id, CAST(count(*) AS BIGINT) AS degree FROM arcs GROUP BY src")(lambda k, d: c.edge_swaps(TRADE_TIES.graph(k, d), 4).arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")))
 register("generators_sizes")(lambda k, d: k.createDataFrame([("erdos_renyi", c.erdos_renyi(k, 60, 0.1).edges.count()), ("watts_strogatz", c.watts_strogatz(k, 60, 4, 0.1).edges.count()), ("barabasi_albert", c.barabasi_albert(k, 60, 2).edges.count())], "model string, n_edges long"))

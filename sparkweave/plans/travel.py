@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkweave.model import Graph
 from sparkweave.operators import paths as p
 from sparkweave.plans.catalogue import register
 from sparkweave.sources.tables import TRADE, TRADE_DAG, TRADE_TIES, TREE, USERS, Source
@@ -22,15 +23,22 @@ walk(k, id, d) AS ({start} UNION ALL SELECT walk.k + 1, s.dst, {pick}({new}) FRO
 done AS (SELECT id, d FROM walk WHERE k = {rounds})"""
 
 
-_AT = "SELECT 0, '{0}', CAST({1} AS DOUBLE)"
+_AT = "SELECT 0, (SELECT min(id) FROM nodes), CAST({0} AS DOUBLE)"
+
+
+def _first(graph: Graph) -> str:
+    """The start of a query: the graph's smallest name."""
+    return graph.nodes.agg(F.min("id")).first()[0] or ""
+
+
 _MIN = ("min", "walk.d + s.w", "0e0")
 
-register("bfs_hops", hops_sql(USERS, 7) + " SELECT id, CAST(d AS BIGINT) AS hops FROM hops WHERE origin = '1'")(lambda s, d: p.bfs(USERS.graph(s, d), "1").select("id", "hops"))
-register("dijkstra_distances", relax_sql(TRADE, _AT.format("1", 0), *_MIN) + " SELECT id, d AS dist FROM done")(lambda s, d: p.distances(TRADE.graph(s, d), "1").select("id", "dist"))
-register("bellmanford_distances", relax_sql(TRADE_TIES, _AT.format("1", 0), *_MIN) + " SELECT id, d AS dist FROM done")(lambda s, d: p.distances(TRADE_TIES.graph(s, d), "1", allow_negative=True).select("id", "dist"))
-register("widestpath_widths", relax_sql(TRADE, _AT.format("1", "'Infinity'"), "max", "least(walk.d, s.w)", "CAST('Infinity' AS DOUBLE)") + " SELECT id, d AS width FROM done WHERE id <> '1'")(lambda s, d: p.widest(TRADE.graph(s, d), "1").select("id", "width").where("id <> '1'"))
+register("bfs_hops", hops_sql(USERS, 7) + " SELECT id, CAST(d AS BIGINT) AS hops FROM hops WHERE origin = (SELECT min(id) FROM nodes)")(lambda s, d: (lambda g: p.bfs(g, _first(g)))(USERS.graph(s, d)).select("id", "hops"))
+register("dijkstra_distances", relax_sql(TRADE, _AT.format(0), *_MIN) + " SELECT id, d AS dist FROM done")(lambda s, d: (lambda g: p.distances(g, _first(g)))(TRADE.graph(s, d)).select("id", "dist"))
+register("bellmanford_distances", relax_sql(TRADE_TIES, _AT.format(0), *_MIN) + " SELECT id, d AS dist FROM done")(lambda s, d: (lambda g: p.distances(g, _first(g), allow_negative=True))(TRADE_TIES.graph(s, d)).select("id", "dist"))
+register("widestpath_widths", relax_sql(TRADE, _AT.format("'Infinity'"), "max", "least(walk.d, s.w)", "CAST('Infinity' AS DOUBLE)") + " SELECT id, d AS width FROM done WHERE id <> (SELECT min(id) FROM nodes)")(lambda s, d: (lambda g: p.widest(g, _first(g)).select("id", "width").where(F.col("id") != _first(g)))(TRADE.graph(s, d)))
 register("floydwarshall_pairs", relax_sql(TRADE, "SELECT 0, struct_pack(o := id, i := id), 0e0 FROM nodes", "min", "walk.d + s.w", "0e0").replace("s.dst, min", "struct_pack(o := walk.id.o, i := s.dst), min").replace("ON s.src = walk.id", "ON s.src = walk.id.i").replace("GROUP BY walk.k + 1, s.dst", "GROUP BY walk.k + 1, struct_pack(o := walk.id.o, i := s.dst)") + " SELECT id.o AS src, id.i AS dst, d AS dist FROM done")(lambda s, d: p.all_pairs(TRADE.graph(s, d), True))
-register("dagpaths_longest", relax_sql(TRADE_DAG, _AT.format("0", 0), "max", "walk.d + s.w", "0e0") + ", least AS (SELECT 1) SELECT id, d AS longest FROM done")(lambda s, d: p.dag_paths(TRADE_DAG.graph(s, d), "0").select("id", "longest"))
+register("dagpaths_longest", relax_sql(TRADE_DAG, _AT.format(0), "max", "walk.d + s.w", "0e0") + " SELECT id, d AS longest FROM done")(lambda s, d: (lambda g: p.dag_paths(g, _first(g)))(TRADE_DAG.graph(s, d)).select("id", "longest"))
 register("toposort_layers", f"""WITH RECURSIVE {TRADE_DAG.sql()}, walk(id, d) AS (SELECT id, 0 FROM nodes WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, walk.d + 1 FROM walk JOIN edges e ON e.src = walk.id)
 SELECT id, CAST(max(d) AS BIGINT) AS layer FROM walk GROUP BY id""")(lambda s, d: p.topological_layers(TRADE_DAG.graph(s, d)))
 _REACH = ", reach(src, dst) AS (SELECT src, dst FROM arcs UNION SELECT reach.src, a.dst FROM reach JOIN arcs a ON a.src = reach.dst)"
@@ -49,7 +57,7 @@ _SIGMA = """, counted(origin, id, d, sigma) AS (SELECT id, id, 0e0, 1e0 FROM nod
 SELECT n.id, round({half} * coalesce(sum(x.sigma * y.sigma / z.sigma), 0e0), 6) AS betweenness, round({half} * coalesce(sum(x.sigma * y.sigma), 0e0), 6) AS stress
 FROM nodes n LEFT JOIN counted x ON x.id = n.id AND x.origin <> n.id LEFT JOIN counted y ON y.origin = n.id AND y.id <> n.id LEFT JOIN counted z ON z.origin = x.origin AND z.id = y.id
 WHERE x.origin IS NULL OR (x.origin <> y.id AND x.d + y.d = z.d) GROUP BY n.id"""
-register("betweenness_shares", "WITH RECURSIVE base AS (SELECT 1)" and (hops_sql(TREE) + _SIGMA.format(half="0.5e0") + " UNION ALL SELECT id, 0e0, 0e0 FROM nodes WHERE id NOT IN (SELECT src FROM arcs GROUP BY src HAVING count(*) > 1)").replace("GROUP BY n.id UNION ALL", "GROUP BY n.id HAVING count(z.id) > 0 UNION ALL"))(lambda s, d: p.betweenness(TREE.graph(s, d)))
+register("betweenness_shares", hops_sql(TREE) + _SIGMA.format(half="0.5e0") + " HAVING count(z.id) > 0 UNION ALL SELECT id, 0e0, 0e0 FROM nodes WHERE id NOT IN (SELECT src FROM arcs GROUP BY src HAVING count(*) > 1)")(lambda s, d: p.betweenness(TREE.graph(s, d)))
 register("stresscentrality_trade")(lambda s, d: p.betweenness(TRADE_TIES.graph(s, d)))
 register("girth_trade", hops_sql(TRADE_TIES) + " SELECT CAST(CASE WHEN EXISTS (SELECT 1 FROM arcs x JOIN arcs y ON y.src = x.dst JOIN arcs z ON z.src = y.dst AND z.dst = x.src WHERE x.src <> x.dst AND y.src <> y.dst AND z.src <> z.dst) THEN 3 END AS BIGINT) AS girth")(lambda s, d: p.girth(TRADE_TIES.graph(s, d)))
 register("kcenter_trade")(lambda s, d: p.k_center(TRADE_TIES.graph(s, d), 3))
