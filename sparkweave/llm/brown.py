@@ -1,18 +1,21 @@
 """Brown class-based n-grams: exchange clustering and smoothed class perplexity.
 
-Three passes over the corpus, all on Spark:
+Passes over the corpus, all on Spark:
 
 1. counts of every word (and of the end token) of the training documents;
-2. bigram counts over the ``vocab`` most frequent words, one symbol for all
-   other words and one for the end, from which words change classes;
-3. scores: frequent words are looked up in a table of bounded size that goes
-   to every task, all other words by a join on the word.
-
-Words are known by a 64-bit hash.  Every word and every document counts; the
-two sizes (``vocab`` words that exchange classes, ``hot`` words looked up in
-the task) bound what the driver and a task hold and do not grow with the
-corpus.  Words outside ``vocab`` form one class, with emissions by their own
-counts, so the model is a distribution over all words and one unseen word.
+2. bigram counts over the ``vocab`` most frequent words, among which words are
+   exchanged between classes until the likelihood stands still;
+3. contexts of all other words that occur twice or more: each goes to the class
+   that raises the likelihood of its neighbours' classes most, so classes cover
+   the whole vocabulary, and the table of classes grows with it;
+4. class bigrams of the whole corpus, words outside the ``hot`` most frequent
+   ones getting their classes by a join;
+5. scores, the same way.
+
+Words are known by a 64-bit hash.  Every word and every document counts;
+``vocab`` and ``hot`` bound what the driver and a task hold, not what is learnt.
+Words that occur once form one class with one unseen word, with emissions by
+their own counts, so the model is a distribution over all words and that one.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sparkweave.llm import bytesnp
 from sparkweave.session import discard, materialise, share_code
@@ -51,6 +55,7 @@ class Model:
 
     @property
     def rare(self) -> int:
+        """The class of words that occur once and of unseen ones."""
         return len(self.size) - 2
 
     @property
@@ -125,6 +130,13 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
+def likelihood(right: np.ndarray, classes: np.ndarray) -> float:
+    """The part of the class bigrams' log likelihood that depends on the classes."""
+    table = np.zeros((right.shape[1], right.shape[1]))
+    np.add.at(table, classes, right)
+    return float(_xlogx(table).sum() - _xlogx(table.sum(1)).sum() - _xlogx(table.sum(0)).sum())
+
+
 def exchange(right: np.ndarray, left: np.ndarray, classes: np.ndarray, movable: np.ndarray, rest: float = 0.5, seed: int = 0) -> np.ndarray:
     """One round: every movable word may go to the class that raises the likelihood of the class bigrams most.
 
@@ -157,47 +169,194 @@ def exchange(right: np.ndarray, left: np.ndarray, classes: np.ndarray, movable:
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", classes: int = 48, vocab: int = 4096, hot: int = 65536, rounds: int = 4) -> tuple[Model, DataFrame]:
-    """Cluster and count on all of ``docs``; also the written table of word counts.
+def _cluster(pairs: DataFrame, start: np.ndarray, movable: np.ndarray, least: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Exchange rounds until one gains less than ``least`` of what all have gained; the classes and their bigram table.
+
+    A round that lowers the likelihood is undone and fewer words move in the next.
+    """
+    now, (right, left) = start, _contexts(pairs, start)
+    first = value = likelihood(right, now)
+    rest, seed = 0.5, 0
+    while rest > 0.05:
+        new = exchange(right, left, now, movable, rest, seed)
+        seed += 1
+        if (new == now).all():
+            break
+        r, l = _contexts(pairs, new)
+        got = likelihood(r, new)
+        if got < value:
+            rest /= 2
+            continue
+        small = got - value < least * (got - first)
+        now, right, left, value = new, r, l, got
+        if small:
+            break
+    table = np.zeros((right.shape[1], right.shape[1]))
+    np.add.at(table, now, right)
+    return now, table
+
+
+def _neighbours(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of every token and of the ones before and after it, -1 where it is not known; rows begin and stop with an end."""
+    place = np.searchsorted(known, hashes)
+    place[place == len(known)] = 0
+    own = np.where(known[place] == hashes, classes[place], -1) if len(known) else np.full(len(hashes), -1)
+    path = np.concatenate([[end], np.insert(own, first[1:], end)])
+    at = 1 + np.arange(len(own)) + np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return own, path[at - 1], path[at + 1]
+
+
+def _tally(word: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (word, cell) and how often each occurs."""
+    order = np.lexsort((cell, word))
+    w, c = word[order], cell[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+    heads = np.flatnonzero(new)
+    return w[heads], c[heads], np.diff(np.append(heads, len(w)))
+
+
+def contexts(docs: DataFrame, known: np.ndarray, classes: np.ndarray, k: int, text: str = "text") -> DataFrame:
+    """``word``, ``cell`` (class before times k + 2, plus class after; k where not known), ``n`` of every word outside ``known``."""
+    sent = docs.sparkSession.sparkContext.broadcast((known, classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, hashes, first in _tokens(batch, text):
+                own, before, after = _neighbours(hashes, first, *sent.value, k + 1)
+                new = own < 0
+                before, after = (np.where(x < 0, k, x)[new] for x in (before, after))
+                word, cell, n = _tally(hashes[new], before * (k + 2) + after)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "cell", "n"])
+
+    return docs.select(text).mapInArrow(run, "word bigint, cell int, n bigint")
+
+
+def assign(found: DataFrame, table: np.ndarray, k: int) -> DataFrame:
+    """``word``, ``cls`` of every word of ``contexts`` that occurs twice or more: the class in which its neighbours are likeliest.
+
+    This is the exchange gain of a word that enters a class, its own counts being
+    small against the class's.  Ties go to the first class.
+    """
+    smooth = table[:k] + MOVE * (table[:k].sum(0) + 1) / (table.sum() + 1)
+    after = np.log(smooth / smooth.sum(1, keepdims=True))
+    smooth = table[:, :k].T + MOVE * (table[:, :k].sum(1) + 1) / (table.sum() + 1)
+    before = np.log(smooth / smooth.sum(1, keepdims=True))
+    sent = found.sparkSession.sparkContext.broadcast((before.T, after.T))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = sent.value
+        held = [np.zeros(0, np.int64)] * 3
+
+        def close(word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(word):
+                heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+                total = np.add.reduceat(n, heads)
+                gain = np.add.reduceat((gains[0][cell // (k + 2)] + gains[1][cell % (k + 2)]) * n[:, None], heads)
+                often = total > 1
+                yield pa.RecordBatch.from_arrays([pa.array(word[heads][often]), pa.array(gain.argmax(1)[often].astype(np.int32))], names=["word", "cls"])
+
+        for batch in batches:
+            rows = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)]
+            # The last word may go on in the next batch.
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            held = [r[cut:] for r in rows]
+            yield from close(*(r[:cut] for r in rows))
+        yield from close(*held)
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word bigint, cls int")
+
+
+_TOKEN = "array<struct<word:bigint,before:int,after:int,n:int>>"
+_PAIR = "array<struct<word:bigint,next:bigint>>"
+
+
+def class_bigrams(docs: DataFrame, known: np.ndarray, of: np.ndarray, classes: DataFrame, k: int, text: str = "text") -> np.ndarray:
+    """Counts of class bigrams over all of ``docs``; words outside ``known`` get their classes from ``classes(word, cls)``, others are of class k."""
+    sent = docs.sparkSession.sparkContext.broadcast((known, of))
+    size = k + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        names = ["word", "next", "cell", "n"]
+        for batch in batches:
+            for _, _, hashes, first in _tokens(batch, text):
+                own, before, after = _neighbours(hashes, first, *sent.value, k + 1)
+                fine = own >= 0
+                # Every bigram is taken with its second token; the end's with the token before it.
+                both = fine & (before >= 0)
+                total += np.bincount(before[both] * size + own[both], minlength=size * size)
+                last = fine & (after == k + 1)
+                total += np.bincount(own[last] * size + k + 1, minlength=size * size)
+                empty = int((np.diff(first) == 0).sum())
+                total[(k + 1) * size + k + 1] += empty
+                new = ~fine
+                # A token that is not known, beside known ones: cells before, then cells after.
+                ahead, behind = new & (before >= 0), new & (after >= 0)
+                word, cell, n = _tally(np.concatenate([hashes[ahead], hashes[behind]]), np.concatenate([before[ahead], size + after[behind]]))
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.nulls(len(word), pa.int64()), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=names)
+                two = np.flatnonzero(new & (after < 0))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[two].view(np.int64)), pa.array(hashes[two + 1].view(np.int64)), pa.nulls(len(two), pa.int32()), pa.array(np.ones(len(two), np.int64))], names=names)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
+
+    found = materialise(docs.select(text).mapInArrow(run, "word bigint, next bigint, cell int, n bigint"), "steps")
+    rest = F.lit(k)
+    one = found.where("word is not null and next is null").groupBy("word", "cell").agg(F.sum("n").alias("n")).join(classes, "word", "left").withColumn("cls", F.coalesce("cls", rest))
+    one = one.select(F.when(F.col("cell") < size, F.col("cell") * size + F.col("cls")).otherwise(F.col("cls") * size + F.col("cell") - size).alias("cell"), "n")
+    two = found.where("next is not null").groupBy("word", "next").agg(F.sum("n").alias("n")).join(classes, "word", "left").join(classes.toDF("next", "then"), "next", "left")
+    two = two.select((F.coalesce("cls", rest) * size + F.coalesce("then", rest)).alias("cell"), "n")
+    known_ = found.where("word is null").select("cell", "n")
+    got = known_.unionByName(one).unionByName(two).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    discard(docs.sparkSession, found)
+    out = np.zeros(size * size)
+    out[got["cell"]] = got["n"]
+    return out.reshape(size, size)
+
+
+def fit(docs: DataFrame, text: str = "text", classes: int = 48, vocab: int = 4096, hot: int = 65536) -> tuple[Model, DataFrame]:
+    """Cluster and count on all of ``docs``; also the written table ``word, n, cls`` (null for words that occur once).
 
     No documents, or only empty ones, give a model that knows no word.
     """
     share_code(docs.sparkSession)
+    spark = docs.sparkSession
     counts = materialise(word_counts(docs, text), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(hot).toPandas()
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     n = top["n"].to_numpy(np.int64)
-    inner = np.sort(words[:vocab])
-    rank = np.argsort(np.argsort(words[:vocab]))
+    often = int((n[:vocab] > 1).sum())
+    inner = np.sort(words[:often])
+    rank = np.argsort(np.argsort(words[:often]))
     # Words of like frequency start together.
     start = np.zeros(len(inner) + 2, dtype=np.int64)
     start[rank] = np.arange(len(inner)) * classes // max(len(inner), 1)
     start[-2:] = classes, classes + 1
     pairs = materialise(bigrams(docs, inner, text), "bigrams")
-    movable = np.arange(len(start)) < len(inner)
-    now = start
-    for i in range(rounds):
-        now = exchange(*_contexts(pairs, now), now, movable, seed=i)
-    right, _ = _contexts(pairs, now)
-    discard(docs.sparkSession, pairs)
-    member = np.zeros((len(now), classes + 2))
-    member[np.arange(len(now)), now] = 1
-    moves = member.T @ right
+    now, table = _cluster(pairs, start, np.arange(len(start)) < len(inner))
+    discard(spark, pairs)
+    placed = spark.createDataFrame(pd.DataFrame({"word": inner.view(np.int64), "cls": now[: len(inner)].astype(np.int32)}), "word bigint, cls int")
+    placed = placed.unionByName(assign(contexts(docs, inner, now[: len(inner)], classes, text), table, classes))
+    known = materialise(counts.join(placed, "word", "left"), "classes")
+    discard(spark, counts)
+    top = known.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(hot).toPandas()
+    words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(words)
+    at = top["cls"].fillna(classes).to_numpy().astype(np.int64)
+    moves = class_bigrams(docs, words[order], at[order], known.where("cls is not null").select("word", "cls"), classes, text)
     arrive = moves.sum(0)
     prior = (arrive + MOVE) / (arrive.sum() + MOVE * len(arrive))
     move = np.log10((moves + MOVE * len(arrive) * prior) / (moves.sum(1, keepdims=True) + MOVE * len(arrive)))
-    order = np.argsort(words)
-    at = np.full(len(words), classes, dtype=np.int64)
-    at[: len(inner)] = now[rank]
-    ends = int(counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     size = np.zeros(classes + 2, dtype=np.int64)
-    np.add.at(size, at[: len(inner)], n[: len(inner)])
-    size[classes], size[classes + 1] = total - n[: len(inner)].sum() - ends, ends
-    return Model(words[order], n[order], at[order], move, size, int(total), int(distinct), int(size[classes]), int(distinct) - len(inner) - (ends > 0)), counts
+    rare = 0
+    for r in known.groupBy(F.when(F.col("word") == END, classes + 1).otherwise(F.coalesce("cls", F.lit(classes))).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        size[r["c"]] = r["n"]
+        rare = r["words"] if r["c"] == classes else rare
+    return Model(words[order], n[order], at[order], move, size, int(total), int(distinct), int(size[classes]), int(rare)), known
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row``, ``key``, ``n_tokens``, ``n_known``, ``base_score``, ``score`` of every row of ``docs``.
 
     A null or empty text is the end alone.  Rows that repeat, null keys
@@ -207,12 +366,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
     share_code(spark)
     sent = spark.sparkContext.broadcast(model)
     unit = np.log10(model.total + EMIT * (model.distinct + 1))
+    # Words of the rare class share its mass with one unseen word.
+    rare_unit = float(np.log10(model.rare_total + EMIT * (model.rare_distinct + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        emit_hot = np.log10(m.count + EMIT)
-        # Emissions: exact within a class; words of the rare class share its mass with one unseen word.
-        rare_unit = np.log10(m.rare_total + EMIT * (m.rare_distinct + 1))
         class_unit = np.log10(np.maximum(m.size, 1).astype(float))
         for batch in batches:
             keys = batch.column(0)
@@ -220,47 +378,65 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
                 rows, per = b - a, np.diff(first)
                 place = np.searchsorted(m.hot, hashes)
                 place[place == len(m.hot)] = 0
-                known = m.hot[place] == hashes if len(m.hot) else np.zeros(len(hashes), bool)
-                cls = np.where(known, m.word_class[place] if len(m.hot) else 0, m.rare)
+                own, before, after = _neighbours(hashes, first, m.hot, m.word_class, m.end)
+                fine = own >= 0
                 row = np.repeat(np.arange(rows), per)
-                emit = np.where(known, emit_hot[place] if len(m.hot) else 0.0, 0.0)
-                inner = cls != m.rare
-                own = np.where(inner, np.log10(m.count[place]) if len(m.hot) else 0.0, emit) - np.where(inner, class_unit[cls], rare_unit)
-                path = np.concatenate([[m.end], np.insert(cls, first[1:], m.end)])
-                steps = m.move[path[:-1], path[1:]]
-                # The end's own step is the last of each row.
-                bounds = np.concatenate([[0], np.cumsum(per + 1)])
-                moved = np.add.reduceat(np.append(steps, 0.0), bounds[:-1]) if rows else np.zeros(0)
-                base = np.bincount(row, emit, rows) if len(row) else np.zeros(rows)
-                full = np.bincount(row, own, rows) if len(row) else np.zeros(rows)
-                hot_n = np.bincount(row, known, rows).astype(np.int64) if len(row) else np.zeros(rows, np.int64)
-                # Words that the table lacks, with how often each row has them.
-                pair = np.stack([row[~known].astype(np.uint64), hashes[~known]])
-                order = np.lexsort(pair)
-                r, h = pair[0][order].astype(np.int64), pair[1][order]
-                new = np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])]) if len(r) else np.zeros(0, bool)
-                heads = np.flatnonzero(new)
+                n = m.count[place] if len(m.hot) else np.zeros(len(hashes))
+                emit = np.where(fine, np.log10(n + EMIT), 0.0)
+                full = np.where(fine, np.where(own == m.rare, emit - rare_unit, np.log10(np.maximum(n, 1)) - class_unit[own]), 0.0)
+                full += np.where(fine & (before >= 0), m.move[before, own], 0.0) + np.where(fine & (after == m.end), m.move[own, m.end], 0.0)
+                base, total, hot_n = (np.bincount(row, x, rows) if len(row) else np.zeros(rows) for x in (emit, full, fine))
+                total += np.where(per == 0, m.move[m.end, m.end], 0.0)
+                # Words that the table lacks, with the classes beside them (-1: not known either), and pairs of such words.
+                new = ~fine
+                cell = (before[new] + 1) * (len(m.size) + 1) + after[new] + 1
+                r, h = row[new], hashes[new]
+                order = np.lexsort((cell, h, r))
+                r, h, cell = r[order], h[order], cell[order]
+                head = np.ones(len(r), bool)
+                head[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])
+                heads = np.flatnonzero(head)
                 times = np.diff(np.append(heads, len(r)))
-                n_of = np.bincount(r[heads], minlength=rows)
-                offsets = np.concatenate([[0], np.cumsum(n_of)]).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h[heads].view(np.int64)), pa.array(times.astype(np.int32))], ["word", "times"]))
-                yield pa.RecordBatch.from_arrays([keys[a:b], pa.array(per + 1, pa.int64()), pa.array(hot_n), pa.array(base), pa.array(full + moved), rare], names=["k", "n_tokens", "hot_known", "base", "full", "rare"])
-
-    kind = dict(docs.dtypes)[key]
-    first = materialise(docs.select(key, text).mapInArrow(run, f"k {kind}, n_tokens bigint, hot_known bigint, base double, full double, rare array<struct<word:bigint,times:int>>").withColumn("row", F.monotonically_increasing_id()), "scored")
-    asked = first.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.times")
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(r[heads], minlength=rows))]).astype(np.int32)
+                parts = [pa.array(h[heads].view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (cell[heads] // (len(m.size) + 1) - 1, cell[heads] % (len(m.size) + 1) - 1, times))]
+                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["word", "before", "after", "n"]))
+                two = np.flatnonzero(new & (after < 0))
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[two], minlength=rows))]).astype(np.int32)
+                couple = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(hashes[two].view(np.int64)), pa.array(hashes[two + 1].view(np.int64))], ["word", "next"]))
+                yield pa.RecordBatch.from_arrays([keys[a:b], pa.array(per + 1, pa.int64()), pa.array(hot_n.astype(np.int64)), pa.array(base), pa.array(total), rare, couple], names=["k", "n_tokens", "hot_known", "base", "full", "rare", "couple"])
+
+    kind = docs.select(key).schema[0].dataType
+    schema = StructType([StructField("k", kind), *StructType.fromDDL(f"n_tokens bigint, hot_known bigint, base double, full double, rare {_TOKEN}, couple {_PAIR}")])
+    first = materialise(docs.select(key, text).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rest, width = model.rare, len(model.size)
+    table = F.array(*[F.lit(float(x)) for x in model.move.reshape(-1)])
+    units = F.array(*[F.lit(float(np.log10(max(x, 1)))) for x in model.size])
+
+    def step(x: Column, y: Column) -> Column:
+        return F.when((x >= 0) & (y >= 0), F.element_at(table, x * width + y + 1)).otherwise(0.0)
+
+    asked = first.select("row", F.explode("rare").alias("w")).select("row", "w.*")
+    cold = known.where(F.col("word") != END).withColumnRenamed("n", "seen")
+    cls = F.coalesce("cls", F.lit(rest))
+    log = F.log10(F.coalesce("seen", F.lit(0)) + F.lit(EMIT))
+    own = F.when(F.col("cls").isNull(), log - rare_unit).otherwise(F.log10("seen") - F.element_at(units, cls + 1))
     # One partial sum for each row and task, then one for each row.
-    cold = counts.where(F.col("word") != END)
-    met = asked.join(cold, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(EMIT))).alias("rare_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"))
-    end_log = float(np.log10(model.size[-1] + EMIT))
+    met = asked.join(cold, "word", "left").groupBy("row").agg(
+        F.sum(F.col("n") * log).alias("rare_log"),
+        F.sum(F.col("n") * (own + step(F.col("before"), cls) + step(cls, F.col("after")))).alias("rare_full"),
+        F.sum(F.when(F.col("seen").isNotNull(), F.col("n")).otherwise(0)).alias("rare_known"),
+    )
+    pairs = first.select("row", F.explode("couple").alias("w")).select("row", "w.*")
+    of = known.where("cls is not null").select("word", "cls")
+    linked = pairs.join(of, "word", "left").join(of.toDF("next", "then"), "next", "left").groupBy("row").agg(F.sum(step(cls, F.coalesce("then", F.lit(rest)))).alias("couples"))
     zero = F.lit(0.0)
-    logs: Column = F.coalesce("rare_log", zero)
-    return first.drop("rare").join(met, "row", "left").select(
+    end_log = float(np.log10(model.size[-1] + EMIT))
+    return first.drop("rare", "couple").join(met, "row", "left").join(linked, "row", "left").select(
         "row",
         F.col("k").alias(key),
         "n_tokens",
         (F.col("hot_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(model.size[-1] > 0))).cast("bigint").alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + logs + F.lit(end_log) - F.col("n_tokens") * F.lit(float(unit))).alias("base_score"),
-        (F.col("full") + logs).alias("score"),
+        (F.col("base") + F.coalesce("rare_log", zero) + F.lit(end_log) - F.col("n_tokens") * F.lit(float(unit))).alias("base_score"),
+        (F.col("full") + F.coalesce("rare_full", zero) + F.coalesce("couples", zero)).alias("score"),
     )
