@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, and further columns that ``docs`` has,
+whatever their names.  Every stage gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.llm import bpe, decontaminate, langcnn, similar, toxicity
-from sparkweave.session import materialise
+from sparkweave.session import discard, materialise
 
 #: Documents without a letter go, and those of which no language takes this share of the text.
 LEAST_LANGUAGE = 0.3
@@ -21,7 +22,7 @@ TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told; null and empty texts go."""
+    """Keep documents whose language can be told; null and empty texts and texts without a letter go, repeated rows are judged each."""
     network = langcnn.fit(docs)
     names = docs.columns
     # Answers get names that no column of the documents has.
@@ -31,7 +32,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labels of the documents at hand and drop what is likely toxic."""
+    """Fit on the labels of the documents at hand and drop what is likely toxic.
+
+    Without labels all score one half and go; a null text scores as an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     names = docs.columns
     fitted = toxicity.fit(docs.select("doc_id", "text"), labels)
@@ -40,17 +44,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
+
+    It is the one of the smallest id.  Null and empty texts and null ids stay.
+    """
     return similar.deduplicate(docs, similar.Rule(width=5, num=80, den=100))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, its numbers and names changed or not."""
+    """Drop documents that hold a benchmark item, its numbers and names changed or not; null ids and null texts stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every kept text, with digests of the ids and of what they decode to."""
+    """Token ids of every kept text, with digests of the ids and of what they decode to; a null text has none."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
 
@@ -70,7 +77,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs, "stage")
+            if i:
+                discard(spark, before)
     return docs
