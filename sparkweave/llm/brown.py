@@ -120,9 +120,11 @@ def _contexts(table: DataFrame, classes: np.ndarray) -> tuple[np.ndarray, np.nda
     of = F.broadcast(spark.createDataFrame(pd.DataFrame({"at": np.arange(len(classes), dtype=np.int32), "c": classes.astype(np.int32)})))
     right = table.join(of, F.col("b") == F.col("at")).groupBy(F.col("a").alias("s"), "c").agg(F.sum("n").alias("n"), F.lit(0).alias("side"))
     left = table.join(of, F.col("a") == F.col("at")).groupBy(F.col("b").alias("s"), "c").agg(F.sum("n").alias("n"), F.lit(1).alias("side"))
-    got = right.unionByName(left).toPandas()
-    out = np.zeros((2, len(classes), k))
-    out[got["side"], got["s"], got["c"]] = got["n"]
+    cells = right.unionByName(left).select(((F.col("side") * len(classes) + F.col("s")) * k + F.col("c")).alias("at"), "n").toArrow()
+    out = np.zeros(2 * len(classes) * k)
+    for part in cells.to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    out = out.reshape(2, len(classes), k)
     return out[0], out[1]
 
 
@@ -169,7 +171,7 @@ def exchange(right: np.ndarray, left: np.ndarray, classes: np.ndarray, movable:
     return out
 
 
-def _cluster(pairs: DataFrame, start: np.ndarray, movable: np.ndarray, least: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
+def _cluster(pairs: DataFrame, start: np.ndarray, movable: np.ndarray, least: float = 1e-2) -> tuple[np.ndarray, np.ndarray]:
     """Exchange rounds until one gains less than ``least`` of what all have gained; the classes and their bigram table.
 
     A round that lowers the likelihood is undone and fewer words move in the next.
@@ -314,6 +316,21 @@ def class_bigrams(docs: DataFrame, known: np.ndarray, of: np.ndarray, classes: D
     return out.reshape(size, size)
 
 
+def _frequent(counts: DataFrame, hot: int) -> Column:
+    """Which words are the ``hot`` most frequent ones, by a threshold from the counts of counts; of those on it a share by hash.
+
+    Only counts of counts and the words asked for come to the driver, not the first words of every partition.
+    """
+    left, edge, share = hot, 1, 1.0
+    for r in counts.where(F.col("word") != END).groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        edge, share = r["n"], min(1.0, left / r["words"])
+        left -= r["words"]
+        if left <= 0:
+            break
+    on = F.pmod(F.col("word"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    return (F.col("word") != END) & ((F.col("n") > edge) | ((F.col("n") == edge) & on))
+
+
 def fit(docs: DataFrame, text: str = "text", classes: int = 48, vocab: int = 4096, hot: int = 65536) -> tuple[Model, DataFrame]:
     """Cluster and count on all of ``docs``; also the written table ``word, n, cls`` (null for words that occur once).
 
@@ -323,7 +340,8 @@ def fit(docs: DataFrame, text: str = "text", classes: int = 48, vocab: int = 409
     spark = docs.sparkSession
     counts = materialise(word_counts(docs, text), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(hot).toPandas()
+    wanted = _frequent(counts, hot)
+    top = counts.where(wanted).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     n = top["n"].to_numpy(np.int64)
     often = int((n[:vocab] > 1).sum())
@@ -340,7 +358,7 @@ def fit(docs: DataFrame, text: str = "text", classes: int = 48, vocab: int = 409
     placed = placed.unionByName(assign(contexts(docs, inner, now[: len(inner)], classes, text), table, classes))
     known = materialise(counts.join(placed, "word", "left"), "classes")
     discard(spark, counts)
-    top = known.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(hot).toPandas()
+    top = known.where(wanted).toPandas()
     words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(words)
     at = top["cls"].fillna(classes).to_numpy().astype(np.int64)
@@ -409,8 +427,12 @@ def score(docs: DataFrame, model: Model, known: DataFrame, key: str = "doc_id",
     schema = StructType([StructField("k", kind), *StructType.fromDDL(f"n_tokens bigint, hot_known bigint, base double, full double, rare {_TOKEN}, couple {_PAIR}")])
     first = materialise(docs.select(key, text).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest, width = model.rare, len(model.size)
-    table = F.array(*[F.lit(float(x)) for x in model.move.reshape(-1)])
-    units = F.array(*[F.lit(float(np.log10(max(x, 1)))) for x in model.size])
+
+    def constant(values: np.ndarray) -> Column:
+        # One literal instead of one for each number keeps plans small.
+        return F.split(F.lit(" ".join(map(repr, values.tolist()))), " ").cast("array<double>")
+
+    table, units = constant(model.move.reshape(-1)), constant(np.log10(np.maximum(model.size, 1).astype(float)))
 
     def step(x: Column, y: Column) -> Column:
         return F.when((x >= 0) & (y >= 0), F.element_at(table, x * width + y + 1)).otherwise(0.0)
