@@ -198,19 +198,24 @@ def _cluster(pairs: DataFrame, start: np.ndarray, movable: np.ndarray, least: fl
     return now, table
 
 
-def _neighbours(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The class of every token and of the ones before and after it, -1 where it is not known; rows begin and stop with an end."""
+def _neighbours(hashes: np.ndarray, first: np.ndarray, known: np.ndarray, classes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The place in ``known`` of every token, its class and those before and after it, -1 where it is not known; rows begin and stop with an end."""
     place = np.searchsorted(known, hashes)
     place[place == len(known)] = 0
     own = np.where(known[place] == hashes, classes[place], -1) if len(known) else np.full(len(hashes), -1)
     path = np.concatenate([[end], np.insert(own, first[1:], end)])
     at = 1 + np.arange(len(own)) + np.repeat(np.arange(len(first) - 1), np.diff(first))
-    return own, path[at - 1], path[at + 1]
+    return place, own, path[at - 1], path[at + 1]
+
+
+def _key(word: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """One number for a word and a cell, alike for like ones; words are hashes, so others rarely share it."""
+    return word ^ (cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _tally(word: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, cell) and how often each occurs."""
-    order = np.lexsort((cell, word))
+    """(word, cell) and how often each occurs; one that shares its sorting key with another may come in parts."""
+    order = np.argsort(_key(word, cell))
     w, c = word[order], cell[order]
     new = np.ones(len(w), bool)
     new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
@@ -218,18 +223,43 @@ def _tally(word: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return w[heads], c[heads], np.diff(np.append(heads, len(w)))
 
 
+class _Tallies:
+    """Gathers words and cells and tallies them when there are ``most`` of them."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.most, self.held, self.size = most, [], 0
+
+    def add(self, word: np.ndarray, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        self.held.append((word, cell))
+        self.size += len(word)
+        if self.size >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if self.size:
+            yield _tally(*(np.concatenate(x) for x in zip(*self.held)))
+        self.held, self.size = [], 0
+
+
 def contexts(docs: DataFrame, known: np.ndarray, classes: np.ndarray, k: int, text: str = "text") -> DataFrame:
     """``word``, ``cell`` (class before times k + 2, plus class after; k where not known), ``n`` of every word outside ``known``."""
     sent = docs.sparkSession.sparkContext.broadcast((known, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies = _Tallies()
+
+        def rows(word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(cell), pa.array(n.astype(np.int64))], names=["word", "cell", "n"])
+
         for batch in batches:
             for _, _, hashes, first in _tokens(batch, text):
-                own, before, after = _neighbours(hashes, first, *sent.value, k + 1)
+                _, own, before, after = _neighbours(hashes, first, *sent.value, k + 1)
                 new = own < 0
                 before, after = (np.where(x < 0, k, x)[new] for x in (before, after))
-                word, cell, n = _tally(hashes[new], before * (k + 2) + after)
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "cell", "n"])
+                for got in tallies.add(hashes[new], (before * (k + 2) + after).astype(np.int32)):
+                    yield rows(*got)
+        for got in tallies.rest():
+            yield rows(*got)
 
     return docs.select(text).mapInArrow(run, "word bigint, cell int, n bigint")
 
@@ -281,9 +311,14 @@ def class_bigrams(docs: DataFrame, known: np.ndarray, of: np.ndarray, classes: D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
         names = ["word", "next", "cell", "n"]
+        tallies = _Tallies()
+
+        def single(word: np.ndarray, cell: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.nulls(len(word), pa.int64()), pa.array(cell), pa.array(n.astype(np.int64))], names=names)
+
         for batch in batches:
             for _, _, hashes, first in _tokens(batch, text):
-                own, before, after = _neighbours(hashes, first, *sent.value, k + 1)
+                _, own, before, after = _neighbours(hashes, first, *sent.value, k + 1)
                 fine = own >= 0
                 # Every bigram is taken with its second token; the end's with the token before it.
                 both = fine & (before >= 0)
@@ -295,10 +330,12 @@ def class_bigrams(docs: DataFrame, known: np.ndarray, of: np.ndarray, classes: D
                 new = ~fine
                 # A token that is not known, beside known ones: cells before, then cells after.
                 ahead, behind = new & (before >= 0), new & (after >= 0)
-                word, cell, n = _tally(np.concatenate([hashes[ahead], hashes[behind]]), np.concatenate([before[ahead], size + after[behind]]))
-                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.nulls(len(word), pa.int64()), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=names)
+                for got in tallies.add(np.concatenate([hashes[ahead], hashes[behind]]), np.concatenate([before[ahead], size + after[behind]]).astype(np.int32)):
+                    yield single(*got)
                 two = np.flatnonzero(new & (after < 0))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[two].view(np.int64)), pa.array(hashes[two + 1].view(np.int64)), pa.nulls(len(two), pa.int32()), pa.array(np.ones(len(two), np.int64))], names=names)
+        for got in tallies.rest():
+            yield single(*got)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=names)
 
@@ -390,18 +427,18 @@ def score(docs: DataFrame, model: Model, known: DataFrame, key: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         class_unit = np.log10(np.maximum(m.size, 1).astype(float))
+        # Of every hot word, and of a last one that stands for none.
+        hot_emit = np.append(np.log10(m.count + EMIT), 0.0)
+        hot_full = np.append(np.where(m.word_class == m.rare, hot_emit[:-1] - rare_unit, np.log10(np.maximum(m.count, 1)) - class_unit[m.word_class]), 0.0)
         for batch in batches:
             keys = batch.column(0)
             for a, b, hashes, first in _tokens(batch, text):
                 rows, per = b - a, np.diff(first)
-                place = np.searchsorted(m.hot, hashes)
-                place[place == len(m.hot)] = 0
-                own, before, after = _neighbours(hashes, first, m.hot, m.word_class, m.end)
+                place, own, before, after = _neighbours(hashes, first, m.hot, m.word_class, m.end)
                 fine = own >= 0
                 row = np.repeat(np.arange(rows), per)
-                n = m.count[place] if len(m.hot) else np.zeros(len(hashes))
-                emit = np.where(fine, np.log10(n + EMIT), 0.0)
-                full = np.where(fine, np.where(own == m.rare, emit - rare_unit, np.log10(np.maximum(n, 1)) - class_unit[own]), 0.0)
+                place = np.where(fine, place, len(m.hot))
+                emit, full = hot_emit[place], hot_full[place]
                 full += np.where(fine & (before >= 0), m.move[before, own], 0.0) + np.where(fine & (after == m.end), m.move[own, m.end], 0.0)
                 base, total, hot_n = (np.bincount(row, x, rows) if len(row) else np.zeros(rows) for x in (emit, full, fine))
                 total += np.where(per == 0, m.move[m.end, m.end], 0.0)
@@ -409,7 +446,8 @@ def score(docs: DataFrame, model: Model, known: DataFrame, key: str = "doc_id",
                 new = ~fine
                 cell = (before[new] + 1) * (len(m.size) + 1) + after[new] + 1
                 r, h = row[new], hashes[new]
-                order = np.lexsort((cell, h, r))
+                # Rows first; what shares the rest of a key only comes in more parts, which are summed later.
+                order = np.argsort((r.astype(np.uint64) << np.uint64(40)) | (_key(h, cell) >> np.uint64(24)))
                 r, h, cell = r[order], h[order], cell[order]
                 head = np.ones(len(r), bool)
                 head[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])
