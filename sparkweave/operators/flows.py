@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
@@ -13,6 +13,22 @@ from sparkweave.session import discard, materialise
 NOTHING = 1e-9
 
 
+def widest_way(residual: DataFrame, source: str, sink: str) -> tuple[Row | None, DataFrame]:
+    """The widest of the shortest ways along ``residual(src, dst, left)``, or None; and ``id`` of the nodes reached until then."""
+    seen = residual.sparkSession.createDataFrame([(source, [], float("inf"))], "id string, way array<struct<src:string,dst:string>>, width double")
+    level = seen
+    while True:
+        step = level.join(residual.where(F.col("left") > NOTHING).withColumnRenamed("src", "id"), "id")
+        far = step.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").select("dst", F.least("width", "left").alias("width"), F.array_append("way", F.struct(F.col("id").alias("src"), F.col("dst"))).alias("way"))
+        level = materialise(far.groupBy(F.col("dst").alias("id")).agg(F.max(F.struct("width", "way")).alias("x")).select("id", "x.way", "x.width"), "level")
+        if level.isEmpty():
+            return None, seen.select("id")
+        found = level.where(F.col("id") == sink).first()
+        seen = seen.unionByName(level)
+        if found is not None:
+            return found, seen.select("id")
+
+
 def maximum_flow(graph: Graph, source: str, sink: str) -> tuple[DataFrame, DataFrame]:
     """``src, dst, flow`` of the arcs that carry flow, and ``id`` of the smallest source side of a minimum cut.
 
@@ -28,17 +44,10 @@ def maximum_flow(graph: Graph, source: str, sink: str) -> tuple[DataFrame, DataF
         raise Invalid("capacities must not be negative")
     spark, residual = graph.spark, given
     while True:
-        seen = spark.createDataFrame([(source, [], float("inf"))], "id string, way array<struct<src:string,dst:string>>, width double")
-        level, found = seen, None
-        while found is None:
-            step = level.join(residual.where(F.col("left") > NOTHING).withColumnRenamed("src", "id"), "id")
-            far = step.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").select("dst", F.least("width", "left").alias("width"), F.array_append("way", F.struct(F.col("id").alias("src"), F.col("dst"))).alias("way"))
-            level = materialise(far.groupBy(F.col("dst").alias("id")).agg(F.max(F.struct("width", "way")).alias("x")).select("id", "x.way", "x.width"), "level")
-            if level.isEmpty():
-                sent = given.join(residual.withColumnRenamed("left", "now"), ["src", "dst"]).select("src", "dst", F.round(F.col("left") - F.col("now"), 9).alias("flow")).where(F.col("flow") > NOTHING)
-                return sent, seen.select("id")
-            found = level.where(F.col("id") == sink).first()
-            seen = seen.unionByName(level)
+        found, seen = widest_way(residual, source, sink)
+        if found is None:
+            sent = given.join(residual.withColumnRenamed("left", "now"), ["src", "dst"]).select("src", "dst", F.round(F.col("left") - F.col("now"), 9).alias("flow")).where(F.col("flow") > NOTHING)
+            return sent, seen
         way = spark.createDataFrame([(e["src"], e["dst"], -found["width"]) for e in found["way"]] + [(e["dst"], e["src"], found["width"]) for e in found["way"]], "src string, dst string, left double")
         new = materialise(residual.unionByName(way).groupBy("src", "dst").agg(F.sum("left").alias("left")), "residual")
         if residual is not given:
