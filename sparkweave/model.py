@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid, Missing
+from sparkweave.session import materialise
 
 
 class Graph:
@@ -18,8 +19,8 @@ class Graph:
     weight.  Rows with a null end are refused by ``check``, not dropped.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, directed: bool = False) -> None:
-        self.nodes, self.edges, self.directed = nodes, edges, directed
+    def __init__(self, nodes: DataFrame, edges: DataFrame, directed: bool = False, stored: bool = False, ends_only: bool = False) -> None:
+        self.nodes, self.edges, self.directed, self.stored, self.ends_only = nodes, edges, directed, stored, ends_only
 
     @classmethod
     def of(cls, edges: DataFrame, directed: bool = False, nodes: DataFrame | None = None) -> Graph:
@@ -31,7 +32,7 @@ class Graph:
         named = rows.select(F.col("src").alias("id")).union(rows.select("dst"))
         if nodes is not None:
             named = named.union(nodes.select(F.col("id").cast("string")))
-        return cls(named.distinct(), rows, directed)
+        return cls(named.distinct(), rows, directed, ends_only=nodes is None)
 
     @classmethod
     def rows(cls, spark: SparkSession, edges: list[tuple], directed: bool = False, nodes: list[str] | None = None) -> Graph:
@@ -54,7 +55,7 @@ class Graph:
 
     @property
     def reverse(self) -> Graph:
-        return Graph(self.nodes, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), self.directed)
+        return Graph(self.nodes, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), self.directed, self.stored)
 
     @property
     def shadow(self) -> Graph:
@@ -88,9 +89,13 @@ class Graph:
                     raise Missing(f"'{name}' is not a node of the graph")
         return self
 
-    def cache(self) -> Graph:
-        """Keep the rows on the executors between the rounds of an iterative operator."""
-        return Graph(self.nodes.persist(), self.edges.persist(), self.directed)
+    def written(self) -> Graph:
+        """The graph as two written tables, so that the rounds of a loop do not derive it from its sources again."""
+        if self.stored:
+            return self
+        edges = materialise(self.edges, "edges")
+        nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct() if self.ends_only else self.nodes
+        return Graph(materialise(nodes, "nodes"), edges, self.directed, True)
 
     def frames(self) -> dict[str, DataFrame]:
         return {"nodes": self.nodes, "edges": self.edges, "arcs": self.arcs}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sparkweave.model import Graph
 from sparkweave.operators.cohesion import components, spanning_forest
 from sparkweave.plans.components import star_components
-from sparkweave.session import materialise
+from sparkweave.session import materialise, tidy
 
 
 def rooted(edges: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,8 +51,10 @@ def covers(others: DataFrame, ways: DataFrame) -> DataFrame:
     return ends.join(ways, "id").groupBy("src", "dst", "step").agg(F.count("*").alias("n")).where("n = 1").select("src", "dst", "step")
 
 
+@tidy
 def blocks(graph: Graph) -> DataFrame:
     """``src``, ``dst``, ``block``: each edge's block, named by its smallest edge as ``src|dst``; loops are in none."""
+    graph = graph.written()
     graph.need(directed=False)
     edges = graph.edges.where("src <> dst").select("src", "dst")
     parents, ways = rooted(edges, materialise(components(graph), "components"))
@@ -67,14 +69,18 @@ def blocks(graph: Graph) -> DataFrame:
     return placed.join(first, "at").select("src", "dst", "block")
 
 
+@tidy
 def bridges(graph: Graph) -> DataFrame:
     """``src``, ``dst``: edges whose loss parts their ends, the blocks of one edge."""
+    graph = graph.written()
     placed = materialise(blocks(graph), "blocks")
     return placed.join(placed.groupBy("block").count().where("count = 1"), "block").select("src", "dst")
 
 
+@tidy
 def two_edge_components(graph: Graph) -> DataFrame:
     """``id``, ``component`` after all bridges are taken away."""
+    graph = graph.written()
     rest = graph.edges.join(bridges(graph), ["src", "dst"], "left_anti")
     return components(Graph(graph.nodes, rest.select("src", "dst", "w"), False))
 
@@ -83,19 +89,25 @@ def _nodes_of(placed: DataFrame) -> DataFrame:
     return placed.select(F.explode(F.array("src", "dst")).alias("id"), "block").distinct()
 
 
+@tidy
 def cut_nodes(graph: Graph) -> DataFrame:
     """``id``: nodes in two blocks or more; their loss parts their component."""
+    graph = graph.written()
     return _nodes_of(blocks(graph)).groupBy("id").count().where("count > 1").select("id")
 
 
+@tidy
 def block_cut_tree(graph: Graph) -> DataFrame:
     """``block``, ``id``: the cut nodes of each block."""
+    graph = graph.written()
     inside = materialise(_nodes_of(blocks(graph)), "inside")
     return inside.join(inside.groupBy("id").count().where("count > 1").select("id"), "id").select("block", "id")
 
 
+@tidy
 def cycle_basis(graph: Graph) -> DataFrame:
     """``cycle``, ``src``, ``dst``: a fundamental cycle for each edge outside a breadth-first forest, named by that edge."""
+    graph = graph.written()
     graph.need(directed=False)
     edges = graph.edges.where("src <> dst").select("src", "dst")
     parents, ways = rooted(edges, materialise(components(graph), "components"))
@@ -106,11 +118,13 @@ def cycle_basis(graph: Graph) -> DataFrame:
     return way.union(others.select(cycle, "src", "dst"))
 
 
+@tidy
 def second_tree(graph: Graph) -> DataFrame:
     """``first``, ``second``: total weights of the least spanning forest and of the next one; null where there is one forest only.
 
     The next forest swaps one edge: an edge outside against the heaviest forest edge on its cycle.
     """
+    graph = graph.written()
     graph.need(directed=False)
     least = materialise(spanning_forest(graph).select("src", "dst", "w"), "forest")
     parents, ways = rooted(least.select("src", "dst"), materialise(components(graph), "components"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
 from sparkweave.plans.components import star_components
-from sparkweave.session import materialise
+from sparkweave.session import materialise, tidy
 
 
 def draw(seed: int, *what: Column | str) -> Column:
@@ -35,6 +35,7 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, beta: float, seed: int =
     return Graph.of(ring.select(F.col("i").cast("string").alias("src"), far.cast("string").alias("dst")), False, spark.range(n).select(F.col("id").cast("string")))
 
 
+@tidy
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 0, generations: int = 40) -> Graph:
     """Preferential attachment: every new edge copies a random end of an earlier edge, or its target.
 
@@ -79,8 +80,10 @@ def percolation(graph: Graph, chances: list[float], trials: int = 10, seed: int
     return full.groupBy(F.col("p").cast("double").alias("p")).agg(F.round(F.avg(F.coalesce("top", F.lit(1)) / n), 6).alias("giant"))
 
 
+@tidy
 def random_walks(graph: Graph, start: str, steps: int, walks: int, seed: int = 0) -> DataFrame:
     """``walk``, ``step``, ``id``: all walks advance together, one join a step; a node without neighbours ends its walk."""
+    graph = graph.written()
     graph.need(nodes=(start,))
     near = graph.arcs.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1).withColumn("k", F.count("*").over(Window.partitionBy("src"))).select("src", "dst", "r", "k")
     near = materialise(near, "near")
@@ -110,8 +113,10 @@ def cover_times(graph: Graph, trail: DataFrame) -> DataFrame:
     return first.groupBy("walk").agg(F.when(F.count("*") == n, F.max("first")).alias("cover"))
 
 
+@tidy
 def epidemic(graph: Graph, start: str, beta: float, gamma: float, trials: int = 10, rounds: int = 50, seed: int = 0) -> DataFrame:
     """``trial``, ``infected``, ``peak``: SIR rounds of all trials together until none is infectious."""
+    graph = graph.written()
     graph.need(nodes=(start,))
     now = materialise(graph.spark.range(trials).select(F.col("id").alias("trial"), F.lit(start).alias("id")), "infectious")
     ever, peaks = now, now.groupBy("trial").count()
@@ -137,12 +142,14 @@ def sample_edges(graph: Graph, share: float, seed: int = 0) -> Graph:
     return Graph.of(graph.edges.where(draw(seed, "src", "dst") < share), graph.directed)
 
 
+@tidy
 def edge_swaps(graph: Graph, rounds: int = 10, seed: int = 0) -> Graph:
     """Degree-preserving shuffles: in each round edges are paired at random and swap far ends where that makes no loop or double edge.
 
     Swaps of a round that would make the same new edge, or one that is there,
     are left out, so every degree stays.
     """
+    graph = graph.written()
     graph.need(directed=False)
     now = materialise(graph.edges.select("src", "dst", "w"), "edges")
     for step in range(rounds):
@@ -163,6 +170,7 @@ def edge_swaps(graph: Graph, rounds: int = 10, seed: int = 0) -> Graph:
     return Graph(graph.nodes, now, False)
 
 
+@tidy
 def null_model(graph: Graph, samples: int = 5, seed: int = 0, rounds: int = 10) -> DataFrame:
     """``reading``, ``observed``, ``mean``, ``deviation``, ``z`` of transitivity against degree-preserving shuffles."""
     from sparkweave.operators.structure import clustering

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.model import Declared, Graph, Plan
-from sparkweave.session import discard, materialise
+from sparkweave.session import discard, materialise, tidy
 
 
+@tidy
 def colouring(graph: Graph) -> DataFrame:
     """``id``, ``colour`` (from 0): the greedy colouring in the order of falling degree, then name.
 
@@ -16,6 +17,7 @@ def colouring(graph: Graph) -> DataFrame:
     that order are, so many are coloured at once and the result is the
     sequential one.
     """
+    graph = graph.written()
     graph.need(directed=False)
     arcs = graph.arcs.where("src <> dst").select("src", "dst")
     degree = materialise(graph.nodes.join(arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d")), "degrees")
@@ -36,11 +38,13 @@ def colouring(graph: Graph) -> DataFrame:
         done, left = done.unionByName(new), materialise(left.join(new, "id", "left_anti"), "left")
 
 
+@tidy
 def elimination(graph: Graph) -> DataFrame:
     """``id``, ``round``, ``ahead``: nodes whose neighbours are all joined leave, round by round, with their neighbours left; the others stay out.
 
     A component is chordal if all its nodes leave; its clique number is then the greatest ``ahead`` and one.
     """
+    graph = graph.written()
     graph.need(directed=False)
     edges = materialise(graph.edges.where("src <> dst").select("src", "dst"), "edges")
     nodes, out, k = materialise(graph.nodes, "nodes"), None, 0

@@ -9,15 +9,17 @@ from sparkweave.errors import Invalid
 from sparkweave.model import Graph
 from sparkweave.operators.paths import relax
 from sparkweave.plans.components import star_components
-from sparkweave.session import discard, materialise
+from sparkweave.session import discard, materialise, tidy
 
 
+@tidy
 def components(graph: Graph) -> DataFrame:
     """``id``, ``component``: undirected (for digraphs weak) components named by their smallest node."""
     found = star_components(graph.edges.select("src", "dst"), "src", "dst")
     return graph.nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+@tidy
 def strong_components(graph: Graph) -> DataFrame:
     """``id``, ``component``: strong components, each named by its smallest node.
 
@@ -26,6 +28,7 @@ def strong_components(graph: Graph) -> DataFrame:
     it and the smallest that it reaches; where the two agree on one name, the
     component of that name is complete.
     """
+    graph = graph.written()
     graph.need(directed=True)
     arcs = materialise(graph.arcs.where("src <> dst").select("src", "dst"), "arcs")
     open_nodes, done = materialise(graph.nodes, "open"), None
@@ -61,15 +64,19 @@ def strong_components(graph: Graph) -> DataFrame:
     return done if done is not None else graph.nodes.select("id", F.col("id").alias("component"))
 
 
+@tidy
 def condensation(graph: Graph) -> DataFrame:
     """Arcs between strong components with their numbers."""
+    graph = graph.written()
     found = strong_components(graph)
     s, d = found.toDF("src", "from"), found.toDF("dst", "to")
     return graph.edges.join(s, "src").join(d, "dst").where("`from` <> `to`").groupBy(F.col("from").alias("src"), F.col("to").alias("dst")).agg(F.count("*").alias("n_arcs"))
 
 
+@tidy
 def two_colouring(graph: Graph) -> DataFrame:
     """``id``, ``component``, ``side`` (hops from the component's smallest node, odd or even), ``odd``: an odd cycle runs there."""
+    graph = graph.written()
     graph.need(directed=False)
     comp = materialise(components(graph), "components")
     seeds = comp.where("id = component").select("id", F.col("id").alias("origin"), F.lit(0.0).alias("dist"))
@@ -78,11 +85,13 @@ def two_colouring(graph: Graph) -> DataFrame:
     return comp.join(parity, "id").join(bad, "component", "left").select("id", "component", "side", F.coalesce("odd", F.lit(False)).alias("odd"))
 
 
+@tidy
 def core_numbers(graph: Graph) -> DataFrame:
     """``id``, ``core``: each node's estimate falls to the h-index of its neighbours' estimates until nothing changes.
 
     The h-index is a count over ranks by window, so no list of neighbours is gathered.
     """
+    graph = graph.written()
     graph.need(directed=False)
     arcs = materialise(graph.arcs.where("src <> dst").select("src", "dst"), "arcs")
     degree = arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core"))
@@ -99,6 +108,7 @@ def core_numbers(graph: Graph) -> DataFrame:
             return now
 
 
+@tidy
 def truss_numbers(graph: Graph) -> DataFrame:
     """``src``, ``dst``, ``truss``: the largest k such that the edge lies in k - 2 triangles of edges of truss k."""
     graph.need(directed=False)
@@ -118,8 +128,10 @@ def truss_numbers(graph: Graph) -> DataFrame:
     return done if done is not None else left.withColumn("truss", F.lit(2))
 
 
+@tidy
 def spanning_forest(graph: Graph) -> DataFrame:
     """Boruvka: every component takes its cheapest edge to another (ties by weight, then names) until none is left."""
+    graph = graph.written()
     graph.need(directed=False)
     edges = graph.edges.where("src <> dst")
     comp = graph.nodes.select("id", F.col("id").alias("component"))
@@ -136,14 +148,18 @@ def spanning_forest(graph: Graph) -> DataFrame:
     return taken if taken is not None else edges.limit(0)
 
 
+@tidy
 def cyclomatic(graph: Graph) -> DataFrame:
     """``n_nodes``, ``n_edges``, ``n_components``, ``cyclomatic``: m - n + c."""
+    graph = graph.written()
     n, m, c = graph.nodes.count(), graph.edges.count(), components(graph.shadow).select("component").distinct().count()
     return graph.spark.createDataFrame([(n, m, c, m - n + c)], "n_nodes bigint, n_edges bigint, n_components bigint, cyclomatic bigint")
 
 
+@tidy
 def eulerian(graph: Graph) -> DataFrame:
     """Whether a trail, or a circuit, walks every edge once: odd nodes (or unbalanced ones) and one carrying component."""
+    graph = graph.written()
     own = components(graph.shadow)
     carry = graph.edges.select(F.col("src").alias("id")).union(graph.edges.select("dst")).distinct().join(own, "id").select("component").distinct().count()
     out = graph.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("o"))
@@ -157,8 +173,10 @@ def eulerian(graph: Graph) -> DataFrame:
     return b.agg(F.count(F.when(F.expr(odd), 1)).alias("odd_nodes"), fits.alias("fits")).select("odd_nodes", (F.lit(carry <= 1) & (F.col("odd_nodes") == 0)).alias("circuit"), (F.lit(carry <= 1) & F.col("odd_nodes").isin(0, 2) & F.col("fits")).alias("trail"))
 
 
+@tidy
 def label_propagation(graph: Graph, rounds: int = 10) -> DataFrame:
     """``id``, ``label``: every round each node takes the commonest label of its neighbours and itself, ties to the smallest."""
+    graph = graph.written()
     now = materialise(graph.nodes.select("id", F.col("id").alias("label")), "labels")
     arcs = graph.arcs.select("src", "dst").union(graph.nodes.select("id", "id"))
     for _ in range(rounds):
@@ -172,8 +190,10 @@ def label_propagation(graph: Graph, rounds: int = 10) -> DataFrame:
     return now
 
 
+@tidy
 def modularity(graph: Graph, labels: DataFrame) -> float:
     """Unweighted modularity of a partition (id, label)."""
+    graph = graph.written()
     graph.need(directed=False)
     m = graph.edges.count()
     if not m:
@@ -183,8 +203,10 @@ def modularity(graph: Graph, labels: DataFrame) -> float:
     return inside / m - volume / (4.0 * m * m)
 
 
+@tidy
 def clique_percolation(graph: Graph, k: int = 3) -> DataFrame:
     """``id``, ``community``: k-cliques that share k - 1 nodes belong together; a node may be in several."""
+    graph = graph.written()
     graph.need(directed=False)
     if k < 2:
         raise Invalid("a clique of a community has two nodes at least")
@@ -204,8 +226,10 @@ def clique_percolation(graph: Graph, k: int = 3) -> DataFrame:
     return members.join(low.select("root"), "root").select("id", F.dense_rank().over(Window.orderBy("root")).alias("community"))
 
 
+@tidy
 def weisfeiler_lehman(graph: Graph, rounds: int = 3) -> DataFrame:
     """``digest`` of the graph: colours refined by their neighbours' sorted colours, hashed with SHA-256."""
+    graph = graph.written()
     arcs = graph.arcs.select("src", "dst")
     colour = graph.nodes.join(arcs.groupBy(F.col("src").alias("id")).count(), "id", "left").select("id", F.substring(F.sha2(F.concat(F.lit("deg:"), F.coalesce("count", F.lit(0)).cast("string")), 256), 1, 16).alias("c"))
     for _ in range(rounds):

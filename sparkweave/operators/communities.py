@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkweave.model import Graph
 from sparkweave.operators.cohesion import components, modularity
 from sparkweave.operators.paths import shortest_path_counts
-from sparkweave.session import materialise
+from sparkweave.session import materialise, tidy
 
 
 def _quality(links: DataFrame, now: DataFrame, total: float) -> float:
@@ -55,12 +55,14 @@ def _moves(links: DataFrame, total: float) -> DataFrame:
     return now.select("id", "label")
 
 
+@tidy
 def louvain(graph: Graph) -> DataFrame:
     """``id``, ``community`` (its smallest node): weighted local moves, then the same among communities, until none moves.
 
     Nodes without an edge are communities of their own; weights must not be
     negative.  A community is a row of links and volumes, never a gathered list.
     """
+    graph = graph.written()
     graph.need(directed=False)
     edges = graph.edges
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w").union(edges.select("dst", "src", "w"))
@@ -78,8 +80,10 @@ def louvain(graph: Graph) -> DataFrame:
     return placed.join(name, "label").select("id", "community")
 
 
+@tidy
 def edge_betweenness(graph: Graph) -> DataFrame:
     """``src``, ``dst``, ``betweenness``: shares of the shortest hop routes of all pairs that run over each edge; undirected pairs count once."""
+    graph = graph.written()
     counted = materialise(shortest_path_counts(graph), "counted")
     arcs = graph.arcs.where("src <> dst").select("src", "dst")
     depth = int(counted.agg(F.max("dist")).first()[0] or 0)
@@ -98,12 +102,14 @@ def edge_betweenness(graph: Graph) -> DataFrame:
     return graph.edges.select("src", "dst").join(total, ["src", "dst"], "left").select("src", "dst", F.round(F.coalesce(F.col("s") * half, F.lit(0.0)), 6).alias("betweenness"))
 
 
+@tidy
 def girvan_newman(graph: Graph, removals: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``step, src, dst, betweenness, modularity`` of the edges taken away, and ``id, community`` of the best partition met.
 
     Each step takes the edge of most shortest routes, ties to the greatest pair;
     modularity is that of the components in the whole graph.  Loops stay.
     """
+    graph = graph.written()
     graph.need(directed=False)
     now = Graph(graph.nodes, materialise(graph.edges.where("src <> dst"), "edges"), False)
     steps, best = [], None
@@ -121,11 +127,13 @@ def girvan_newman(graph: Graph, removals: int | None = None) -> tuple[DataFrame,
     return graph.spark.createDataFrame(steps, "step int, src string, dst string, betweenness double, modularity double"), found.select("id", F.col("label").alias("community"))
 
 
+@tidy
 def two_sided(graph: Graph, source: str, target: str) -> DataFrame:
     """``hops``, ``meeting``, ``expanded``: the smaller of two frontiers grows until they meet; no row if they never do.
 
     Levels are grown whole, so the first meeting is on a shortest route; ties go to the smallest node.
     """
+    graph = graph.written()
     graph.need(nodes=(source, target))
     spark = graph.spark
     ways = [graph.arcs.select("src", "dst"), graph.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
-from sparkweave.session import discard, materialise
+from sparkweave.session import discard, materialise, tidy
 
 #: Capacities at or below this count as used up.
 NOTHING = 1e-9
@@ -55,6 +55,7 @@ def maximum_flow(graph: Graph, source: str, sink: str) -> tuple[DataFrame, DataF
         residual = new
 
 
+@tidy
 def minimum_cut(graph: Graph, source: str, sink: str) -> DataFrame:
     """``src``, ``dst``, ``w``: arcs from the smallest source side of a minimum cut to the rest; their weights add up to the greatest flow."""
     side = materialise(maximum_flow(graph, source, sink)[1], "side")
@@ -62,6 +63,7 @@ def minimum_cut(graph: Graph, source: str, sink: str) -> DataFrame:
     return out.join(side.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "w")
 
 
+@tidy
 def matching(edges: DataFrame) -> DataFrame:
     """``l``, ``r``: a greatest matching of the bipartite graph ``edges(l, r)``.
 
@@ -97,6 +99,7 @@ def matching(edges: DataFrame) -> DataFrame:
         now = materialise(now.join(taken.select("l"), "l", "left_anti").unionByName(taken), "matching")
 
 
+@tidy
 def path_cover(graph: Graph, chains: bool = False) -> DataFrame:
     """``src``, ``dst``: the arcs of a cover of an acyclic graph's nodes by fewest paths without a common node.
 
@@ -109,6 +112,7 @@ def path_cover(graph: Graph, chains: bool = False) -> DataFrame:
     return matching(arcs.select(F.col("src").alias("l"), F.col("dst").alias("r"))).toDF("src", "dst")
 
 
+@tidy
 def edge_cover(edges: DataFrame) -> DataFrame:
     """``l``, ``r``: fewest edges that touch every node of the bipartite graph: a greatest matching and one edge for each node left."""
     found = materialise(matching(edges), "matched")

@@ -11,7 +11,7 @@ from sparkweave.operators import blocks
 from sparkweave.operators.cohesion import components
 from sparkweave.operators.flows import NOTHING, maximum_flow, minimum_cut, widest_way
 from sparkweave.operators.paths import distances, relax, route
-from sparkweave.session import materialise
+from sparkweave.session import materialise, tidy
 
 _LABELS = "id string, dist double, parent string"
 
@@ -33,6 +33,7 @@ def _steps(spark, names: list[str], total: DataFrame) -> DataFrame:
     return rows.join(total.select("id", "dist"), "id").select("step", "id", "dist")
 
 
+@tidy
 def towards(graph: Graph, source: str, target: str, heuristic: DataFrame | None = None) -> DataFrame:
     """``step``, ``id``, ``dist``: a cheapest route, no rows if there is none.
 
@@ -40,6 +41,7 @@ def towards(graph: Graph, source: str, target: str, heuristic: DataFrame | None
     rows count as 0.  A label whose cost and heuristic reach the best route
     known is not followed, so a good heuristic spares most of the graph.
     """
+    graph = graph.written()
     graph.need(nodes=(source, target))
     if not graph.edges.where("w < 0").isEmpty():
         raise Negative("an edge has a negative weight")
@@ -60,6 +62,7 @@ def towards(graph: Graph, source: str, target: str, heuristic: DataFrame | None
         front = front.where(F.col("id") != target)
 
 
+@tidy
 def from_both_ends(graph: Graph, source: str, target: str) -> DataFrame:
     """``step``, ``id``, ``dist``: a cheapest route found from both ends, no rows if there is none.
 
@@ -67,6 +70,7 @@ def from_both_ends(graph: Graph, source: str, target: str) -> DataFrame:
     half near the target, so labels beyond half of the best meeting known are
     kept but not followed.
     """
+    graph = graph.written()
     graph.need(nodes=(source, target))
     if not graph.edges.where("w < 0").isEmpty():
         raise Negative("an edge has a negative weight")
@@ -91,6 +95,7 @@ def from_both_ends(graph: Graph, source: str, target: str) -> DataFrame:
     return _steps(spark, first + second[1:], total)
 
 
+@tidy
 def explain(graph: Graph, source: str, target: str) -> DataFrame:
     """``step`` (from 1), ``src``, ``dst``, ``w``, ``total``, ``slack`` of a cheapest route; no rows if there is none.
 
@@ -98,6 +103,7 @@ def explain(graph: Graph, source: str, target: str) -> DataFrame:
     left.  All such detours are relaxed in one loop over a copy of the graph
     for each edge of the route.
     """
+    graph = graph.written()
     found = materialise(distances(graph, source), "distances")
     graph.need(nodes=(target,))
     names = route(found, source, target)
@@ -116,6 +122,7 @@ def explain(graph: Graph, source: str, target: str) -> DataFrame:
     return rows.select(F.col("step").cast("int").alias("step"), F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("total") - F.col("before")).alias("w"), "total", slack.alias("slack"))
 
 
+@tidy
 def flow_routes(sent: DataFrame, source: str, sink: str) -> DataFrame:
     """``place`` (from 1), ``way``, ``flow``: routes from source to sink that add up to the flow ``sent(src, dst, flow)``, the widest of the shortest first.
 
@@ -132,6 +139,7 @@ def flow_routes(sent: DataFrame, source: str, sink: str) -> DataFrame:
         left = materialise(left.join(used, ["src", "dst"], "left").select("src", "dst", (F.col("left") - F.coalesce("used", F.lit(0.0))).alias("left")).where(F.col("left") > NOTHING), "flow")
 
 
+@tidy
 def circulation(arcs: DataFrame) -> DataFrame:
     """``src``, ``dst``, ``flow`` between ``floor`` and ``capacity`` of every row of ``arcs(src, dst, floor, capacity)``, what enters a node leaving it.
 
@@ -165,8 +173,10 @@ def _split(graph: Graph, a: str, b: str, link: float) -> Graph:
     return Graph.of(through.union(links), True)
 
 
+@tidy
 def separator(graph: Graph, a: str, b: str) -> DataFrame:
     """``id``: fewest nodes without which no route leads from ``a`` to ``b``; neighbours are refused."""
+    graph = graph.written()
     graph.need(nodes=(a, b))
     if a == b or not graph.arcs.where((F.col("src") == a) & (F.col("dst") == b)).isEmpty():
         raise Invalid("no set of nodes parts a node from itself or a neighbour")
@@ -174,8 +184,10 @@ def separator(graph: Graph, a: str, b: str) -> DataFrame:
     return cut.select(F.expr("substring(src, 1, length(src) - 1)").alias("id"))
 
 
+@tidy
 def disjoint_routes(graph: Graph, a: str, b: str) -> DataFrame:
     """``edge_disjoint``, ``node_disjoint``: how many routes from ``a`` to ``b`` share no edge, and no node between."""
+    graph = graph.written()
     graph.need(nodes=(a, b))
     unit = Graph(graph.nodes, graph.edges.withColumn("w", F.lit(1.0)), graph.directed)
     counts = []
@@ -186,12 +198,14 @@ def disjoint_routes(graph: Graph, a: str, b: str) -> DataFrame:
     return graph.spark.createDataFrame([tuple(counts)], "edge_disjoint int, node_disjoint int")
 
 
+@tidy
 def without_each(graph: Graph) -> DataFrame:
     """``id``, ``before``, ``after``: the pieces of the graph with and without each node.
 
     A node holds together as many pieces as it has blocks, so the blocks answer
     for all nodes at once.
     """
+    graph = graph.written()
     graph.need(directed=False)
     named = components(graph).select("component").distinct().agg(F.count("*").alias("before"))
     edges = blocks.blocks(graph)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
 from sparkweave.operators.cohesion import components
-from sparkweave.session import materialise, share_code
+from sparkweave.session import materialise, share_code, tidy
 
 #: Nodes of a component at most.
 MOST = 1500
@@ -59,22 +59,26 @@ def _values(kind: Callable[[np.ndarray], np.ndarray]) -> Callable[[str, list[str
     return answer
 
 
+@tidy
 def laplacian_spectrum(graph: Graph) -> DataFrame:
     """``component``, ``k``, ``value``: eigenvalues of each component's unweighted Laplacian, the smallest (0) first."""
     return _each(graph, _values(_laplacian), "component string, k int, value double")
 
 
+@tidy
 def adjacency_spectrum(graph: Graph) -> DataFrame:
     """``component``, ``k``, ``value``: eigenvalues of each component's unweighted adjacency, the smallest first."""
     return _each(graph, _values(lambda a: a), "component string, k int, value double")
 
 
+@tidy
 def energy(graph: Graph) -> DataFrame:
     """``component``, ``energy`` (sum of absolute eigenvalues), ``estrada``, ``radius``, ``walks2`` and ``walks3`` (closed walks)."""
     x = F.col("value")
     return adjacency_spectrum(graph).groupBy("component").agg(F.sum(F.abs(x)).alias("energy"), F.sum(F.exp(x)).alias("estrada"), F.max(F.abs(x)).alias("radius"), F.sum(x * x).alias("walks2"), F.sum(x * x * x).alias("walks3"))
 
 
+@tidy
 def eigenpairs(graph: Graph) -> DataFrame:
     """``component``, ``k``, ``value``, ``id``, ``x``: unit eigenvectors of the weighted adjacency; the sign makes the first part that is not 0 positive."""
 
@@ -88,6 +92,7 @@ def eigenpairs(graph: Graph) -> DataFrame:
     return _each(graph, answer, "component string, k int, value double, id string, x double", weighted=True)
 
 
+@tidy
 def fiedler_sides(graph: Graph) -> DataFrame:
     """``component``, ``id``, ``side``, ``connectivity``: each component cut by the sign of its Fiedler vector; its smallest node is on side 0."""
 
@@ -101,6 +106,7 @@ def fiedler_sides(graph: Graph) -> DataFrame:
     return _each(graph, answer, "component string, id string, side int, connectivity double")
 
 
+@tidy
 def tree_counts(graph: Graph) -> DataFrame:
     """``component``, ``n_trees``: spanning trees of each component, the determinant of its Laplacian without one row, unweighted."""
 
@@ -111,6 +117,7 @@ def tree_counts(graph: Graph) -> DataFrame:
     return _each(graph, answer, "component string, n_trees double")
 
 
+@tidy
 def resistances(graph: Graph) -> DataFrame:
     """``src``, ``dst``, ``resistance``: between the ends of every edge, weights being conductances."""
 
@@ -122,6 +129,7 @@ def resistances(graph: Graph) -> DataFrame:
     return _each(graph, answer, "src string, dst string, resistance double", weighted=True)
 
 
+@tidy
 def hitting_times(graph: Graph) -> DataFrame:
     """``a``, ``b``, ``hitting``: expected steps of an unweighted walk from a to b, for all ordered pairs of a component, by one solve for each b."""
 
@@ -138,6 +146,7 @@ def hitting_times(graph: Graph) -> DataFrame:
     return _each(graph, answer, "a string, b string, hitting double")
 
 
+@tidy
 def commute_times(graph: Graph) -> DataFrame:
     """``a``, ``b``, ``commute``: hitting times there and back, for pairs a < b."""
     h = materialise(hitting_times(graph), "hitting")

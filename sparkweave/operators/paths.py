@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from sparkweave.errors import Cyclic, Invalid, Negative
 from sparkweave.model import Graph
-from sparkweave.session import discard, materialise
+from sparkweave.session import discard, materialise, tidy
 
 
+@tidy
 def relax(graph: Graph, seeds: DataFrame, weight: str = "w", kind: str = "min", rounds: int | None = None) -> DataFrame:
     """``origin``, ``id``, ``dist``, ``via``: the best value from every seed row (origin, id, dist).
 
@@ -24,6 +25,7 @@ def relax(graph: Graph, seeds: DataFrame, weight: str = "w", kind: str = "min",
     a route and keeps the greatest.  More rounds than nodes mean a cycle that
     improves for ever, which is refused.  ``rounds`` stops after so many hops.
     """
+    graph = graph.written()
     spark = graph.spark
     arcs = graph.arcs.select("src", "dst", F.expr(weight).alias("w"))
     best = materialise(seeds.select("origin", "id", F.col("dist").cast("double").alias("dist"), F.lit(None).cast("string").alias("via")), "best")
@@ -62,14 +64,18 @@ def _all(graph: Graph) -> DataFrame:
     return graph.nodes.select(F.col("id").alias("origin"), "id", F.lit(0.0).alias("dist"))
 
 
+@tidy
 def bfs(graph: Graph, source: str, rounds: int | None = None) -> DataFrame:
     """Hops and parent (the smallest neighbour one hop nearer) of all nodes reached."""
+    graph = graph.written()
     found = relax(graph, _from(graph, source), "1D", rounds=rounds)
     return found.select("id", F.col("dist").cast("bigint").alias("hops"), F.col("via").alias("parent"))
 
 
+@tidy
 def distances(graph: Graph, source: str, allow_negative: bool = False) -> DataFrame:
     """Weighted distances from one node; a negative weight is refused unless allowed, a negative cycle always."""
+    graph = graph.written()
     if not allow_negative and not graph.edges.where("w < 0").isEmpty():
         raise Negative("an edge has a negative weight")
     return relax(graph, _from(graph, source)).select("id", "dist", F.col("via").alias("parent"))
@@ -82,13 +88,17 @@ def zero_one(graph: Graph, source: str) -> DataFrame:
     return distances(graph, source)
 
 
+@tidy
 def widest(graph: Graph, source: str) -> DataFrame:
     """The greatest bottleneck width of a route to each node; infinite at the source."""
+    graph = graph.written()
     return relax(graph, _from(graph, source, float("inf")), kind="wide").select("id", F.col("dist").alias("width"), F.col("via").alias("parent"))
 
 
+@tidy
 def all_pairs(graph: Graph, weighted: bool = False) -> DataFrame:
     """``src``, ``dst``, ``dist`` of every ordered pair that a route joins, itself included."""
+    graph = graph.written()
     return relax(graph, _all(graph), "w" if weighted else "1D").select(F.col("origin").alias("src"), F.col("id").alias("dst"), "dist")
 
 
@@ -107,16 +117,20 @@ def route(found: DataFrame, source: str, target: str) -> list[str]:
     return path[::-1]
 
 
+@tidy
 def dag_paths(graph: Graph, source: str) -> DataFrame:
     """Shortest and longest distances from one node of an acyclic digraph."""
+    graph = graph.written()
     topological_layers(graph)
     least = distances(graph, source, allow_negative=True).select("id", F.col("dist").alias("shortest"))
     most = relax(graph, _from(graph, source), kind="max").select("id", F.col("dist").alias("longest"))
     return least.join(most, "id")
 
 
+@tidy
 def topological_layers(graph: Graph) -> DataFrame:
     """``id``, ``layer``: the longest chain before each node; a cycle is refused."""
+    graph = graph.written()
     graph.need(directed=True)
     starts = graph.nodes.join(graph.edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
     if starts.isEmpty() and not graph.nodes.isEmpty():
@@ -127,28 +141,36 @@ def topological_layers(graph: Graph) -> DataFrame:
     return found.select("id", F.col("dist").cast("bigint").alias("layer"))
 
 
+@tidy
 def topological_order(graph: Graph) -> DataFrame:
     """A valid order: by layer, then by name."""
+    graph = graph.written()
     return topological_layers(graph).withColumn("position", F.row_number().over(Window.orderBy("layer", "id")) - 1)
 
 
+@tidy
 def closure(graph: Graph) -> DataFrame:
     """``src``, ``dst``: all pairs joined by a route of at least one arc."""
+    graph = graph.written()
     arcs = graph.arcs
     first = arcs.select(F.col("src").alias("origin"), F.col("dst").alias("id"), F.lit(1.0).alias("dist")).distinct()
     return relax(graph, first, "1D").select(F.col("origin").alias("src"), F.col("id").alias("dst")).distinct()
 
 
+@tidy
 def reduction(graph: Graph) -> DataFrame:
     """The arcs of an acyclic digraph that no longer route replaces."""
+    graph = graph.written()
     topological_layers(graph)
     reach = closure(graph)
     longer = graph.edges.select("src", F.col("dst").alias("mid")).join(reach.toDF("mid", "dst"), "mid").select("src", "dst").distinct()
     return graph.edges.join(longer, ["src", "dst"], "left_anti")
 
 
+@tidy
 def eccentricities(graph: Graph, weighted: bool = False) -> DataFrame:
     """``id``, ``eccentricity``, ``center``, ``periphery``; a node that does not reach all others has none."""
+    graph = graph.written()
     pairs = all_pairs(graph, weighted)
     n = graph.nodes.count()
     ecc = pairs.groupBy(F.col("src").alias("id")).agg(F.max("dist").alias("e"), F.count("*").alias("n")).select("id", F.when(F.col("n") == n, F.col("e")).alias("eccentricity"))
@@ -156,8 +178,10 @@ def eccentricities(graph: Graph, weighted: bool = False) -> DataFrame:
     return ecc.crossJoin(F.broadcast(ends)).select("id", "eccentricity", F.coalesce(F.col("eccentricity") == F.col("low"), F.lit(False)).alias("center"), F.coalesce(F.col("eccentricity") == F.col("high"), F.lit(False)).alias("periphery"))
 
 
+@tidy
 def distance_centrality(graph: Graph, weighted: bool = False) -> DataFrame:
     """Closeness scaled by the share reached, and harmonic centrality, along out-arcs."""
+    graph = graph.written()
     n = graph.nodes.count()
     pairs = all_pairs(graph, weighted).where("src <> dst")
     s = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("r"), F.sum("dist").alias("total"), F.sum(F.when(F.col("dist") > 0, 1.0 / F.col("dist"))).alias("inverse"))
@@ -165,8 +189,10 @@ def distance_centrality(graph: Graph, weighted: bool = False) -> DataFrame:
     return graph.nodes.join(s, "id", "left").select("id", F.round(F.coalesce(F.when(F.col("total") > 0, F.col("r") / (n - 1) * F.col("r") / F.col("total")), zero), 6).alias("closeness"), F.round(F.coalesce(F.col("inverse") / (n - 1), zero), 6).alias("harmonic"))
 
 
+@tidy
 def wiener(graph: Graph, weighted: bool = False) -> DataFrame:
     """Sum, mean and Harary sum of the distances of all unordered pairs; null sum if a pair is not joined."""
+    graph = graph.written()
     graph.need(directed=False)
     n = graph.nodes.count()
     pairs = n * (n - 1) // 2
@@ -174,8 +200,10 @@ def wiener(graph: Graph, weighted: bool = False) -> DataFrame:
     return got.select(F.when(F.col("n") == pairs, F.round("total", 6)).alias("wiener"), F.when(F.col("n") == pairs, F.round(F.col("total") / F.lit(max(pairs, 1)), 6)).alias("mean_distance"), F.round(F.coalesce("harary", F.lit(0.0)), 6).alias("harary"))
 
 
+@tidy
 def shortest_path_counts(graph: Graph, pairs: DataFrame | None = None) -> DataFrame:
     """``origin``, ``id``, ``dist``, ``sigma``: hops and how many shortest routes there are, level by level."""
+    graph = graph.written()
     hops = materialise(pairs if pairs is not None else relax(graph, _all(graph), "1D").select("origin", "id", "dist"), "hops")
     arcs = graph.arcs.select("src", "dst")
     depth = int(hops.agg(F.max("dist")).first()[0] or 0)
@@ -188,12 +216,14 @@ def shortest_path_counts(graph: Graph, pairs: DataFrame | None = None) -> DataFr
     return done
 
 
+@tidy
 def betweenness(graph: Graph, normalised: bool = False) -> DataFrame:
     """Shares of shortest routes through each node (``betweenness``), and their number (``stress``).
 
     Forward counts and backward shares go level by level for all origins at
     once; undirected pairs count once.
     """
+    graph = graph.written()
     graph.need(least=3)
     counted = materialise(shortest_path_counts(graph), "counted")
     arcs = graph.arcs.select("src", "dst")
@@ -214,8 +244,10 @@ def betweenness(graph: Graph, normalised: bool = False) -> DataFrame:
     return graph.nodes.join(total, "id", "left").select("id", F.round(F.coalesce(F.col("b") * scale, zero_), 6).alias("betweenness"), F.round(F.coalesce(F.col("s") * half, zero_), 6).alias("stress"))
 
 
+@tidy
 def girth(graph: Graph) -> DataFrame:
     """Length of the shortest cycle of an undirected graph; null if there is none."""
+    graph = graph.written()
     graph.need(directed=False)
     hops = materialise(relax(graph, _all(graph), "1D"), "hops")
     x = hops.select("origin", F.col("id").alias("src"), F.col("dist").alias("dx"), F.col("via").alias("px"))
@@ -224,6 +256,7 @@ def girth(graph: Graph) -> DataFrame:
     return cross.agg(F.min(F.col("dx") + F.col("dy") + 1).cast("bigint").alias("girth"))
 
 
+@tidy
 def arbitrage(rates: DataFrame) -> DataFrame:
     """Whether going round some exchange cycle of ``rates(src, dst, rate)`` gains: a negative cycle of -ln(rate)."""
     if not rates.where("rate <= 0 or rate is null").isEmpty():
@@ -239,8 +272,10 @@ def arbitrage(rates: DataFrame) -> DataFrame:
     return rates.sparkSession.createDataFrame([(gain,)], "arbitrage boolean")
 
 
+@tidy
 def k_center(graph: Graph, k: int) -> DataFrame:
     """Farthest-first centres: the node of least eccentricity, then always the node farthest from those chosen."""
+    graph = graph.written()
     graph.need(directed=False)
     pairs = materialise(all_pairs(graph), "pairs")
     if pairs.count() < graph.nodes.count() ** 2:
@@ -256,11 +291,13 @@ def k_center(graph: Graph, k: int) -> DataFrame:
     return pairs.where(F.col("src").isin(chosen)).groupBy(F.col("dst").alias("id")).agg(F.min_by("src", F.struct("dist", "src")).alias("center"), F.min("dist").alias("dist"))
 
 
+@tidy
 def vitality(graph: Graph) -> DataFrame:
     """Closeness vitality: what the sum of all distances loses without each node; null if its loss cuts the graph.
 
     Every node gives a scenario, all relaxed together with the scenario in the origin's name.
     """
+    graph = graph.written()
     graph.need(directed=False)
     n = graph.nodes.count()
     whole = all_pairs(graph).agg(F.sum("dist")).first()[0] or 0.0
@@ -268,18 +305,20 @@ def vitality(graph: Graph) -> DataFrame:
     sep = "\x00"
     arcs = graph.arcs.crossJoin(gone).where("src <> gone and dst <> gone")
     tag = F.concat(F.col("gone"), F.lit(sep))
-    scenario = Graph(gone.crossJoin(graph.nodes).where("id <> gone").select(F.concat(tag, F.col("id")).alias("id")), arcs.select(F.concat(tag, "src").alias("src"), F.concat(tag, "dst").alias("dst"), "w"), True).cache()
+    scenario = Graph(gone.crossJoin(graph.nodes).where("id <> gone").select(F.concat(tag, F.col("id")).alias("id")), arcs.select(F.concat(tag, "src").alias("src"), F.concat(tag, "dst").alias("dst"), "w"), True)
     pairs = all_pairs(scenario).select(F.split("src", sep)[0].alias("id"), "dist")
     left = pairs.groupBy("id").agg(F.sum("dist").alias("total"), F.count("*").alias("n"))
     return graph.nodes.join(left, "id", "left").select("id", F.when(F.col("n") == (n - 1) ** 2, F.round((F.lit(whole) - F.col("total")) / 2, 6)).alias("vitality"))
 
 
+@tidy
 def yen(graph: Graph, source: str, target: str, k: int, most: int = 1_000_000) -> DataFrame:
     """The k cheapest loopless routes, ordered by cost and nodes: routes grow by joins.
 
     Without negative weights an unfinished route goes once k finished ones cost
     less.  More than ``most`` unfinished routes are refused.
     """
+    graph = graph.written()
     graph.need(nodes=(source, target))
     arcs = graph.arcs.select("src", "dst", "w")
     bounded = arcs.where("w < 0").isEmpty()

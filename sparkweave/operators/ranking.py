@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
-from sparkweave.session import discard, materialise
+from sparkweave.session import discard, materialise, tidy
 
 
 def _loop(start: DataFrame, step, rounds: int | None, tolerance: float, most: int, square: bool = False) -> DataFrame:
@@ -30,8 +30,10 @@ def _loop(start: DataFrame, step, rounds: int | None, tolerance: float, most: in
     return now
 
 
+@tidy
 def pagerank(graph: Graph, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9, most: int = 500) -> DataFrame:
     """``id``, ``rank``: unweighted PageRank; teleports and dangling mass go to all nodes, or to ``seeds(id)``."""
+    graph = graph.written()
     arcs = graph.arcs.select("src", "dst")
     home = (graph.nodes if seeds is None else graph.nodes.join(seeds.select("id").distinct(), "id")).select("id")
     n = home.count()
@@ -62,8 +64,10 @@ def _times(arcs: DataFrame, nodes: DataFrame, v: DataFrame, weighted: bool = Fal
     return nodes.join(got, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
+@tidy
 def hits(graph: Graph, rounds: int | None = None, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
     """``id``, ``hub``, ``authority``: each normalised every round, hubs from the new authorities."""
+    graph = graph.written()
     graph.need(directed=True)
     n = max(graph.nodes.count(), 1)
     back = graph.reverse.arcs
@@ -76,8 +80,10 @@ def hits(graph: Graph, rounds: int | None = None, tolerance: float = 1e-10, most
     return hub.withColumnRenamed("x", "hub").join(authority.withColumnRenamed("x", "authority"), "id").select("id", F.round("hub", 5).alias("hub"), F.round("authority", 5).alias("authority"))
 
 
+@tidy
 def spectral_radius(graph: Graph, rounds: int = 60) -> float:
     """The largest eigenvalue of the adjacency of a graph, by power iteration on A + 1 (bipartite graphs included)."""
+    graph = graph.written()
     n = max(graph.nodes.count(), 1)
 
     def step(v: DataFrame) -> DataFrame:
@@ -88,8 +94,10 @@ def spectral_radius(graph: Graph, rounds: int = 60) -> float:
     return float(v.join(image, "id").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0)
 
 
+@tidy
 def katz(graph: Graph, alpha: float = 0.1, beta: float = 1.0, rounds: int | None = None, tolerance: float = 1e-10, most: int = 500, guard: bool = True) -> DataFrame:
     """``id``, ``katz``: beta + alpha * predecessors, L2-normalised; alpha at or over 1 / radius is refused."""
+    graph = graph.written()
     if guard:
         radius = spectral_radius(graph)
         if radius > 0 and alpha >= 1 / radius:
@@ -99,16 +107,20 @@ def katz(graph: Graph, alpha: float = 0.1, beta: float = 1.0, rounds: int | None
     return _norm(v).select("id", F.round("x", 6).alias("katz"))
 
 
+@tidy
 def eigenvector(graph: Graph, rounds: int | None = None, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
     """``id``, ``eigenvector``: the leading eigenvector of an undirected, connected graph that is not bipartite."""
+    graph = graph.written()
     graph.need(directed=False)
     n = max(graph.nodes.count(), 1)
     start = graph.nodes.select("id", F.lit(1.0 / math.sqrt(n)).alias("x"))
     return _loop(start, lambda v: _norm(_times(graph.arcs, graph.nodes, v)), rounds, tolerance, most).select("id", F.round("x", 6).alias("eigenvector"))
 
 
+@tidy
 def fiedler(graph: Graph, rounds: int = 300) -> DataFrame:
     """``id``, ``x``, ``side``: power iteration on c - L, the constant vector removed; the sign of x splits the nodes."""
+    graph = graph.written()
     graph.need(directed=False, least=2)
     degree = graph.arcs.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").cast("double").alias("d"))
     top = 2 * float(degree.agg(F.max("d")).first()[0] or 1.0)
@@ -135,8 +147,10 @@ def algebraic_connectivity(graph: Graph, vector: DataFrame) -> float:
     return float(top / vector.agg(F.sum(F.col("x") ** 2)).first()[0])
 
 
+@tidy
 def simrank(graph: Graph, decay: float = 0.8, rounds: int = 5) -> DataFrame:
     """``a``, ``b``, ``simrank`` of pairs a < b with a score above 0, after ``rounds`` rounds."""
+    graph = graph.written()
     arcs = graph.arcs.select("src", "dst")
     into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k"))
     own = graph.nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("s"))
@@ -151,8 +165,10 @@ def simrank(graph: Graph, decay: float = 0.8, rounds: int = 5) -> DataFrame:
     return now.where("a < b").select("a", "b", F.round("s", 6).alias("simrank"))
 
 
+@tidy
 def walk_counts(graph: Graph, length: int) -> DataFrame:
     """``src``, ``dst``, ``walks``: exact numbers of walks of ``length`` arcs, by repeated sparse products."""
+    graph = graph.written()
     arcs = graph.arcs.select("src", F.col("dst").alias("mid"))
     now = arcs.groupBy("src", F.col("mid").alias("dst")).agg(F.count("*").cast("decimal(38,0)").alias("walks"))
     step = graph.arcs.select(F.col("src").alias("mid"), "dst")
@@ -161,6 +177,7 @@ def walk_counts(graph: Graph, length: int) -> DataFrame:
     return now.select("src", "dst", F.col("walks").cast("bigint").alias("walks"))
 
 
+@tidy
 def walk_kernel(first: Graph, second: Graph, decay: float = 0.1, depth: int = 10) -> float:
     """Sum over lengths of decay ** length times the common walks, on the pairs of nodes; arcs are joined one side at a time."""
     a, b = first.arcs.select(F.col("src").alias("x"), F.col("dst").alias("x2")), second.arcs.select(F.col("src").alias("y"), F.col("dst").alias("y2"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
 from sparkweave.operators.paths import relax
-from sparkweave.session import materialise
+from sparkweave.session import materialise, tidy
 
 
 def embeddings(graph: Graph, pattern: list[tuple[str, str]], induced: bool = False) -> DataFrame:
@@ -49,8 +49,10 @@ def embeddings(graph: Graph, pattern: list[tuple[str, str]], induced: bool = Fal
     return found.select(*names)
 
 
+@tidy
 def hamiltonian(graph: Graph, cycle: bool = False, most: int = 14) -> DataFrame:
     """``n_walks``: routes that visit every node once (and return); paths grow one node a round."""
+    graph = graph.written()
     graph.need(most=most, least=1)
     n = graph.nodes.count()
     arcs = graph.arcs.where("src <> dst").select("src", "dst")
@@ -63,12 +65,14 @@ def hamiltonian(graph: Graph, cycle: bool = False, most: int = 14) -> DataFrame:
     return grown.agg(F.count("*").alias("n_walks"))
 
 
+@tidy
 def shortest_tour(graph: Graph, most: int = 12) -> DataFrame:
     """``tour_cost``: the cheapest round trip through all nodes of a complete graph.
 
     States are (visited set, last node); of each only the cheapest is kept, so
     there are at most n * 2 ** n rows in a round.
     """
+    graph = graph.written()
     graph.need(directed=False, least=3, most=most)
     n = graph.nodes.count()
     if graph.edges.where("src <> dst").count() != n * (n - 1) // 2:
@@ -82,8 +86,10 @@ def shortest_tour(graph: Graph, most: int = 12) -> DataFrame:
     return now.join(arcs.where("b = 0"), F.col("here") == F.col("a")).agg(F.round(F.min(F.col("cost") + F.col("w")), 6).alias("tour_cost"))
 
 
+@tidy
 def linear_extensions(graph: Graph, most: int = 20) -> DataFrame:
     """``n_orders`` of an acyclic digraph: sets of placed nodes grow by any node whose predecessors are placed."""
+    graph = graph.written()
     graph.need(directed=True, most=most)
     n = graph.nodes.count()
     number = graph.nodes.withColumn("b", (F.row_number().over(Window.orderBy("id")) - 1).cast("int"))
@@ -97,8 +103,10 @@ def linear_extensions(graph: Graph, most: int = 20) -> DataFrame:
     return now.agg(F.coalesce(F.sum("ways"), F.lit(0)).cast("bigint").alias("n_orders"))
 
 
+@tidy
 def colourings(graph: Graph, colours: int, most: int = 14) -> DataFrame:
     """``n_colourings`` proper ones with so many colours, node by node; only the colours of placed nodes are kept."""
+    graph = graph.written()
     graph.need(directed=False, most=most)
     order = [r["id"] for r in graph.nodes.orderBy("id").collect()]
     edges = {(r["src"], r["dst"]) for r in graph.edges.where("src <> dst").collect()}
@@ -117,14 +125,17 @@ def colourings(graph: Graph, colours: int, most: int = 14) -> DataFrame:
     return now.agg(F.coalesce(F.sum("ways"), F.lit(0)).cast("bigint").alias("n_colourings"))
 
 
+@tidy
 def chromatic_number(graph: Graph, most: int = 12) -> int:
     """The fewest colours of a proper colouring."""
+    graph = graph.written()
     k = 0 if graph.nodes.isEmpty() else 1
     while k and colourings(graph, k, most).first()[0] == 0:
         k += 1
     return k
 
 
+@tidy
 def isomorphic(first: Graph, second: Graph, most: int = 9) -> bool:
     """Whether some renaming makes the graphs equal: embeddings of all edges of the first in the second, node by node."""
     first.need(most=most)
@@ -147,8 +158,10 @@ def isomorphic(first: Graph, second: Graph, most: int = 9) -> bool:
     return now is None or not now.isEmpty()
 
 
+@tidy
 def rooted(graph: Graph, root: str) -> DataFrame:
     """``id``, ``parent``, ``depth`` of a tree; anything but a tree is refused."""
+    graph = graph.written()
     graph.need(directed=False, nodes=(root,))
     n = graph.nodes.count()
     if graph.edges.count() != n - 1:
@@ -160,6 +173,7 @@ def rooted(graph: Graph, root: str) -> DataFrame:
     return found
 
 
+@tidy
 def ancestors(tree: DataFrame) -> DataFrame:
     """``id``, ``ancestor``, ``up``: all ancestors with their distance, itself included, by doubling jumps."""
     now = materialise(tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("up")).union(tree.where("parent is not null").select("id", "parent", F.lit(1))), "up")
@@ -172,22 +186,28 @@ def ancestors(tree: DataFrame) -> DataFrame:
     return now
 
 
+@tidy
 def lowest_common_ancestors(graph: Graph, root: str) -> DataFrame:
     """``a``, ``b``, ``lca``, ``distance`` of every pair a < b."""
+    graph = graph.written()
     up = ancestors(rooted(graph, root))
     a, b = up.toDF("a", "lca", "ua"), up.toDF("b", "lca", "ub")
     met = a.join(b, "lca").where("a < b").groupBy("a", "b").agg(F.min_by("lca", F.col("ua") + F.col("ub")).alias("lca"), F.min(F.col("ua") + F.col("ub")).cast("bigint").alias("distance"))
     return met
 
 
+@tidy
 def subtree_sizes(graph: Graph, root: str) -> DataFrame:
     """``id``, ``size``, ``depth``: nodes below and at each node."""
+    graph = graph.written()
     tree = rooted(graph, root)
     return ancestors(tree).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("size")).join(tree.select("id", "depth"), "id")
 
 
+@tidy
 def tree_hash(graph: Graph, root: str) -> DataFrame:
     """``id``, ``shape``: bracket strings from the leaves up; equal strings are equal rooted shapes."""
+    graph = graph.written()
     tree = materialise(rooted(graph, root), "tree")
     deepest = int(tree.agg(F.max("depth")).first()[0] or 0)
     done = tree.where(F.lit(False)).select("id", "parent", F.lit("").alias("shape"))
@@ -198,8 +218,10 @@ def tree_hash(graph: Graph, root: str) -> DataFrame:
     return done.select("id", "shape")
 
 
+@tidy
 def tree_path_maxima(graph: Graph, root: str, values: DataFrame) -> DataFrame:
     """``a``, ``b``, ``largest``: the largest of ``values(id, value)`` on the path between every pair a < b."""
+    graph = graph.written()
     up = ancestors(rooted(graph, root))
     lca = lowest_common_ancestors(graph, root).select("a", "b", "lca")
     chain = up.select("id", "ancestor", "up")
@@ -224,6 +246,7 @@ def two_sat(clauses: DataFrame, most: int = 18) -> DataFrame:
     return models.select((F.col("models") > 0).alias("satisfiable"), "models")
 
 
+@tidy
 def stable_matching(preferences: DataFrame) -> DataFrame:
     """``proposer``, ``acceptor``: the proposers' best stable matching of ``preferences(side, who, rank, whom)``.
 
@@ -250,6 +273,7 @@ def stable_matching(preferences: DataFrame) -> DataFrame:
     return held.select(F.col("p").alias("proposer"), F.col("a").alias("acceptor"))
 
 
+@tidy
 def assignment(costs: DataFrame, most: int = 12) -> DataFrame:
     """``cost``: the cheapest assignment of ``costs(worker, job, cost)``, square; states are (jobs taken) after each worker."""
     n = costs.select("worker").distinct().count()
@@ -265,15 +289,17 @@ def assignment(costs: DataFrame, most: int = 12) -> DataFrame:
     return now.select(F.round("total", 6).alias("cost"))
 
 
+@tidy
 def dominators(graph: Graph, entry: str) -> DataFrame:
     """``id``, ``dominator``: every node that all routes from the entry to ``id`` pass; each node's loss is one scenario."""
+    graph = graph.written()
     graph.need(directed=True, nodes=(entry,))
     reach = relax(graph, graph.spark.createDataFrame([("all", entry, 0.0)], "origin string, id string, dist double"), "1D").select("id")
     gone = reach.where(F.col("id") != entry).select(F.col("id").alias("gone"))
     tag = F.concat("gone", F.lit("\x00"))
     arcs = graph.arcs.join(reach.withColumnRenamed("id", "src"), "src", "left_semi").crossJoin(gone).where("src <> gone and dst <> gone").select(F.concat(tag, "src").alias("src"), F.concat(tag, "dst").alias("dst"), "w")
     nodes = gone.crossJoin(reach).where("id <> gone").select(F.concat(tag, "id").alias("id"))
-    left = relax(Graph(nodes, arcs, True).cache(), gone.select("gone", F.concat(tag, F.lit(entry)).alias("id"), F.lit(0.0).alias("dist")).withColumnRenamed("gone", "origin"), "1D")
+    left = relax(Graph(nodes, arcs, True), gone.select("gone", F.concat(tag, F.lit(entry)).alias("id"), F.lit(0.0).alias("dist")).withColumnRenamed("gone", "origin"), "1D")
     still = left.select(F.col("origin").alias("dominator"), F.split("id", "\x00")[1].alias("id"))
     lost = gone.withColumnRenamed("gone", "dominator").crossJoin(reach).where("id <> dominator").join(still, ["dominator", "id"], "left_anti")
     return lost.select("id", "dominator").union(reach.where(F.col("id") != entry).select("id", F.lit(entry)))

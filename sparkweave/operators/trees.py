@@ -10,9 +10,10 @@ from sparkweave.model import Graph
 from sparkweave.operators import blocks, search
 from sparkweave.operators.cohesion import components, spanning_forest, strong_components
 from sparkweave.operators.paths import relax
-from sparkweave.session import discard, materialise
+from sparkweave.session import discard, materialise, tidy
 
 
+@tidy
 def prufer_code(graph: Graph) -> DataFrame:
     """``position`` (from 1), ``id``: the Pruefer sequence of a tree; two nodes or fewer have an empty one.
 
@@ -21,6 +22,7 @@ def prufer_code(graph: Graph) -> DataFrame:
     name upwards, so one sort of (node, descendant) rows gives the order.
     Anything but a tree is refused.
     """
+    graph = graph.written()
     root = graph.nodes.agg(F.max("id")).first()[0]
     if root is None:
         return graph.spark.createDataFrame([], "position int, id string")
@@ -31,12 +33,14 @@ def prufer_code(graph: Graph) -> DataFrame:
     return placed.where(F.col("position") <= graph.nodes.count() - 2)
 
 
+@tidy
 def centroid_levels(graph: Graph) -> DataFrame:
     """``id``, ``level``: the round in which a node is a centroid of its piece and leaves; the pieces halve, so rounds are few.
 
     A centroid is the node whose removal leaves the smallest largest piece,
     ties by name.  Every component must be a tree.
     """
+    graph = graph.written()
     graph.need(directed=False)
     left, done, level = Graph(materialise(graph.nodes, "nodes"), materialise(graph.edges, "edges"), False), None, 0
     while not left.nodes.isEmpty():
@@ -56,6 +60,7 @@ def centroid_levels(graph: Graph) -> DataFrame:
     return done if done is not None else graph.nodes.select("id", F.lit(0).alias("level"))
 
 
+@tidy
 def steiner_tree(graph: Graph, terminals: DataFrame) -> DataFrame:
     """``src``, ``dst``, ``w``: a tree that joins the nodes of ``terminals(id)``, at most twice as heavy as the lightest.
 
@@ -64,6 +69,7 @@ def steiner_tree(graph: Graph, terminals: DataFrame) -> DataFrame:
     unfolded to routes.  A spanning tree of those loses its leaves that are no
     terminals.  Terminals in different components get a tree each.
     """
+    graph = graph.written()
     graph.need(directed=False)
     ends = materialise(terminals.select("id").distinct().join(graph.nodes, "id", "left_semi"), "terminals")
     # One origin for all seeds: the nearest terminal is found by walking back.
@@ -101,6 +107,7 @@ def steiner_tree(graph: Graph, terminals: DataFrame) -> DataFrame:
         tree = materialise(tree.join(loose.toDF("src"), "src", "left_anti").join(loose.toDF("dst"), "dst", "left_anti").select("src", "dst", "w"), "tree")
 
 
+@tidy
 def arborescence(graph: Graph, root: str) -> DataFrame:
     """``src``, ``dst``, ``w``: the lightest set of arcs by which ``root`` reaches every node.
 
@@ -109,6 +116,7 @@ def arborescence(graph: Graph, root: str) -> DataFrame:
     Unfolded, a cycle gives up the arc whose head another arc enters.  A node
     that the root cannot reach is refused.
     """
+    graph = graph.written()
     graph.need(directed=True, nodes=(root,))
     arcs = materialise(graph.arcs.where(F.col("src") != F.col("dst")).where(F.col("dst") != root).select("src", "dst", "w", F.col("src").alias("s"), F.col("dst").alias("t")), "arcs")
     nodes, levels = materialise(graph.nodes, "nodes"), []
@@ -134,6 +142,7 @@ def arborescence(graph: Graph, root: str) -> DataFrame:
     return graph.edges.join(picked.toDF("src", "dst"), ["src", "dst"], "left_semi").select("src", "dst", "w")
 
 
+@tidy
 def level_order(graph: Graph) -> DataFrame:
     """``id``, ``position`` (from 0): the Cuthill-McKee order; reversed it is the usual ordering of sparse matrices.
 
@@ -142,6 +151,7 @@ def level_order(graph: Graph) -> DataFrame:
     Components follow each other in the order of their starts.  A level is
     ordered by one sort within its component.
     """
+    graph = graph.written()
     graph.need(directed=False)
     arcs = materialise(graph.arcs.where("src <> dst").select("src", "dst"), "arcs")
     degree = graph.nodes.join(arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
@@ -162,18 +172,21 @@ def level_order(graph: Graph) -> DataFrame:
         done = done.unionByName(level)
 
 
+@tidy
 def bandwidth(graph: Graph, order: DataFrame) -> DataFrame:
     """``bandwidth``: the longest edge in an order ``(id, position)``; 0 without edges."""
     ends = graph.edges.join(order.toDF("src", "a"), "src").join(order.toDF("dst", "b"), "dst")
     return ends.agg(F.coalesce(F.max(F.abs(F.col("a") - F.col("b"))), F.lit(0)).alias("bandwidth"))
 
 
+@tidy
 def dominating_set(graph: Graph) -> DataFrame:
     """``id``: the greedy dominating set, most newly covered nodes first, ties by name.
 
     A choice changes gains two hops away at most, so every node that is first
     within two hops is chosen in the same round; the set is the sequential one.
     """
+    graph = graph.written()
     graph.need(directed=False)
     self_ = graph.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
     near = materialise(graph.arcs.where("src <> dst").select("src", "dst").unionByName(self_), "near")

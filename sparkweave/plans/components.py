@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.session import discard, materialise, share_code
+from sparkweave.session import discard, materialise, share_code, tidy
 
 
 def _signature(stars: DataFrame) -> tuple:
     return tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
+@tidy
 def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``id``, ``component`` for every end of an edge; the component is its smallest id.
 

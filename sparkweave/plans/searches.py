@@ -82,8 +82,8 @@ def _modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("percolation_trade")(lambda k, d: c.percolation(TRADE_TIES.graph(k, d), [0.0, 0.3, 1.0], trials=5))
-register("randomwalk_shares")(lambda k, d: (lambda g: c.walk_shares(g, c.random_walks(g, g.nodes.agg(F.min("id")).first()[0], 20, 50)))(TRADE_TIES.graph(k, d).cache()))
-register("covertime_walks")(lambda k, d: (lambda g: c.cover_times(g, c.random_walks(g, "r0", 30, 20)))(MARKETS.graph(k, d).cache()))
+register("randomwalk_shares")(lambda k, d: (lambda g: c.walk_shares(g, c.random_walks(g, g.nodes.agg(F.min("id")).first()[0], 20, 50)))(TRADE_TIES.graph(k, d).written()))
+register("covertime_walks")(lambda k, d: (lambda g: c.cover_times(g, c.random_walks(g, "r0", 30, 20)))(MARKETS.graph(k, d).written()))
 register("epidemic_trials")(lambda k, d: (lambda g: c.epidemic(g, g.nodes.agg(F.min("id")).first()[0], 0.3, 0.5, trials=5))(TRADE_TIES.graph(k, d)))
 register("edgeswap_degrees", f"WITH {TRADE_TIES.sql()} SELECT src AS id, CAST(count(*) AS BIGINT) AS degree FROM arcs GROUP BY src")(lambda k, d: c.edge_swaps(TRADE_TIES.graph(k, d), 4).arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")))
 register("generators_sizes")(lambda k, d: k.createDataFrame([("erdos_renyi", c.erdos_renyi(k, 60, 0.1).edges.count()), ("watts_strogatz", c.watts_strogatz(k, 60, 4, 0.1).edges.count()), ("barabasi_albert", c.barabasi_albert(k, 60, 2).edges.count())], "model string, n_edges long"))
