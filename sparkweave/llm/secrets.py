@@ -46,7 +46,7 @@ USUAL = "password admin root user guest login welcome letmein qwerty monkey drag
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
 _WORDS = sorted(CONTEXT.split(), key=len, reverse=True)
-_CONTEXT = re.compile(r"(?:" + "|".join(map(re.escape, _WORDS)) + r""")["']?\s{0,8}(?::=|=>|[:=]|\bis\b)\s{0,8}(?:"([^"\s]{4,})"|'([^'\s]{4,})'|([^\s"'`,;<>(){}|]{4,}))|\bbearer\x20+([^\s"'`,;<>(){}|]{4,})""", re.IGNORECASE | re.ASCII)
+_CONTEXT = re.compile(r"(?:" + "|".join(map(re.escape, _WORDS)) + r""")["']?\s{0,8}(?::=|=>|[:=]|\bis\b)\s{0,8}(?:(?:basic|bearer)\x20+)?(?:"([^"\s]{4,})"|'([^'\s]{4,})'|([^\s"'`,;<>(){}|]{4,}))|\bbearer\x20+([^\s"'`,;<>(){}|]{4,})""", re.IGNORECASE | re.ASCII)
 _USERINFO = re.compile(r"://[^\s/:@]{1,256}:([^\s/@]{4,})@")
 _LEET = str.maketrans({"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"})
 _DATES = (

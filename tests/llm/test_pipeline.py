@@ -30,4 +30,4 @@ def test_run_is_the_stages_in_order(spark):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
