@@ -18,6 +18,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Random values of the 256 bytes, from a fixed seed.
 _BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
+_BYTES = _BYTE.tolist()
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -110,6 +112,17 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hash(word: bytes) -> int:
+    """What ``span_hash`` gives for one word, without arrays."""
+    up, _ = _Powers.upto(len(word) + 1)
+    x = sum(_BYTES[b] * p for b, p in zip(word, up[: len(word)].tolist(), strict=True)) + len(word) * 0xD6E8FEB86659FD93 & _M64
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & _M64
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & _M64
+    return x ^ x >> 33
+
+
 def shingle_hash(tokens: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every row's runs of ``width`` tokens (all tokens if fewer), and each row's first shingle.
 

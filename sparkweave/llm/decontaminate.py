@@ -200,21 +200,18 @@ def _filter(items: DataFrame) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return out.view(np.uint8), plan
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each document and item that share a consistent run of template windows.
+def _named(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """``name`` and ``text``: rows are told apart by id and text, so that those of one id, or of none, do not mix."""
+    return rows.select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("part")).alias(name), F.col(text).alias("text"))
 
-    Columns: ``key``, ``item``, ``matched_words``, ``item_words``, ``coverage``,
-    ``changed_slots`` (placeholders whose values differ) and ``leak``
-    (coverage of at least ``COVERAGE``).  Null or empty texts match nothing;
-    null ids are kept as ids; items of one id and different texts are told apart
-    (a row each); repeated rows give one result row.
-    """
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``key``, ``item``, ``matched_words``, ``item_words``, ``changed`` for every document and item, as ``_named`` gives them, that share a consistent run."""
     share_code(docs.sparkSession)
-    items = benchmark.select(F.struct(F.col(item).alias("id"), F.xxhash64(item_text).alias("part")).alias("item"), F.col(item_text).alias("text"))
     left = _windows(items, "item", "text", None, None).withColumnsRenamed({"key": "item", "form": "item_form", "at": "item_at", "n_words": "item_words", "slot": "item_slot", "value": "item_value"}).dropDuplicates(["item", "item_at", "width", "kind", "item_form"])
     left = materialise(left, "items")
     bits, plan = _filter(left)
-    right = _windows(docs, key, text, plan or [(ENOUGH, WIDTH)], bits).withColumnRenamed("n_words", "doc_words")
+    right = _windows(docs, "key", "text", plan or [(ENOUGH, WIDTH)], bits).withColumnRenamed("n_words", "doc_words")
     # A run is taken once with the words that begin sentences as words, once as names.
     forms = F.filter(F.array(F.lit(WORD), F.lit(NAME)), lambda f: ((F.col("form") == EITHER) | (F.col("form") == f)) & ((F.col("item_form") == EITHER) | (F.col("item_form") == f)))
     pair = right.join(left.drop("item_slot", "kind"), ["hash", "width"]).withColumn("run", F.col("at") - F.col("item_at")).withColumn("as", F.explode(forms))
@@ -236,11 +233,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     c = changed.alias("c")
     t = total.alias("t")
     out = t.join(c, F.col("t.key").eqNullSafe(F.col("c.key")) & F.col("t.item").eqNullSafe(F.col("c.item")), "left")
-    share = F.col("t.matched_words") / F.col("t.item_words")
-    return out.select(F.col("t.key").alias(key), F.col("t.item.id").alias(item), F.col("t.matched_words").cast("bigint").alias("matched_words"), F.col("t.item_words").cast("bigint").alias("item_words"), F.round(share, 6).alias("coverage"), F.coalesce("c.changed", F.lit(0)).cast("bigint").alias("changed_slots"), (share >= COVERAGE).alias("leak"))
+    return out.select("t.key", "t.item", F.col("t.matched_words").cast("bigint").alias("matched_words"), F.col("t.item_words").cast("bigint").alias("item_words"), F.coalesce("c.changed", F.lit(0)).cast("bigint").alias("changed"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each document and item that share a consistent run of template windows.
+
+    Columns: ``key``, ``item``, ``matched_words``, ``item_words``, ``coverage``,
+    ``changed_slots`` (placeholders whose values differ) and ``leak``
+    (coverage of at least ``COVERAGE``).  Null or empty texts match nothing;
+    null ids are kept as ids; documents, and items, of one id and different
+    texts are told apart (a row each); repeated rows give one result row.
+    """
+    found = _found(_named(docs, key, text, "key"), _named(benchmark, item, item_text, "item"))
+    share = F.col("matched_words") / F.col("item_words")
+    return found.select(F.col("key.id").alias(key), F.col("item.id").alias(item), "matched_words", "item_words", F.round(share, 6).alias("coverage"), F.col("changed").alias("changed_slots"), (share >= COVERAGE).alias("leak"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id holds a leak; rows with a null id stay."""
-    leaks = matches(docs.where(F.col(key).isNotNull()), benchmark, key, text).where("leak").select(F.col(key).alias("id")).distinct()
-    return docs.alias("d").join(leaks.alias("l"), F.col(f"d.`{key}`") == F.col("l.id"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a leak, whatever their ids; other rows of the same id stay."""
+    found = _found(_named(docs, key, text, "key"), _named(benchmark, item, item_text, "item"))
+    leaks = found.where(F.col("matched_words") / F.col("item_words") >= COVERAGE).select("key").distinct().alias("l")
+    same = F.col(f"d.`{key}`").eqNullSafe(F.col("l.key.id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("l.key.part"))
+    return docs.alias("d").join(leaks, same, "left_anti")

@@ -68,23 +68,32 @@ def features_of(docs: DataFrame, extract: Extract, text: str, keep: list[str]) -
     return docs.select(*keep, text).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "at array<int>", "value array<float>"]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, extract: Extract, size: int, key: str = "doc_id", text: str = "text", most: int = 2000, **how: float) -> np.ndarray:
-    """Weights fitted on about ``most`` labelled documents of each class, weighed back to the classes' shares.
+def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 2000) -> tuple[DataFrame, dict[int, int]]:
+    """``__key``, ``__label``, ``__text`` of about ``most`` labelled documents of each class, and how many each class has in all.
 
     A document with several label rows takes their mean, 0.5 counting as 1;
     null ids, null labels and labels of no document of ``docs`` are left out,
     so that the labels of documents kept from ``docs`` decide nothing.  Of
     documents with one id the smallest text is used.
     """
-    share_code(docs.sparkSession)
     docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
     known = known.join(docs.select("__key"), "__key", "left_semi")
     shares = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
+    picked = per_value(known, "__label", most, F.col("__key").cast("string"))
+    return docs.join(F.broadcast(picked), "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text")), shares
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, extract: Extract, size: int, key: str = "doc_id", text: str = "text", most: int = 2000, **how: float) -> np.ndarray:
+    """Weights fitted on a ``sample`` of the labelled documents; zeros where there is none."""
+    share_code(docs.sparkSession)
+    return fit_on(*sample(docs, labels, label, key, text, most), extract, size, **how)
+
+
+def fit_on(texts: DataFrame, shares: dict[int, int], extract: Extract, size: int, **how: float) -> np.ndarray:
+    """Weights fitted on a sample, weighed back to the classes' shares; zeros without labels."""
     if not shares:
         return np.zeros(size + 1, dtype=np.float32)
-    picked = per_value(known, "__label", most, F.col("__key").cast("string"))
-    texts = docs.join(F.broadcast(picked), "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text"))
     got = features_of(texts, extract, "__text", ["__key", "__label"]).toPandas()
     got = got.sort_values("__key", kind="stable").reset_index(drop=True)
     y = got["__label"].to_numpy(float)

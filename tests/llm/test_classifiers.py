@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sparkweave.llm import ftrl, langcnn, quality, toxicity
 
@@ -108,6 +109,33 @@ def test_signs_at_the_ends_of_words():
     assert restored("the cat! (sat on) the *man* | while!!! we+ wait") == "the cat! (sat on) the *man* | while!!! we+ wait"
 
 
+@pytest.mark.parametrize("text", ["scores 3 5 7 9 1", "0 1 5 5 9", "mp3", "3rd", "h2o", "1st", "v1.0", "a+b", "call 555 1 2 3 4", "a 1 b 2 c 3", "p2p and b2b", "4th of 2nd", "x = 3 + 4", "| a | 1 | b | 2 |", "covid-19", "1,000.50", "3.14", "10:30 am", "u2", "f(x)=x2", "a|b"])
+def test_numbers_stay(text):
+    assert restored(text) == text
+
+
+def test_only_known_words_are_read():
+    from sparkweave.llm import bytesnp, filters
+
+    known = np.zeros(filters.BITS // 8, np.uint8)
+    for word in (b"idiot", b"trash", b"you", b"stupid"):
+        place = bytesnp.word_hash(word) % filters.BITS
+        known[place >> 3] |= 1 << (place & 7)
+    decoder = small_decoder()
+    decoder.known = known
+    raw = b"1d1ot +rash l0ser well-known y o u s t u p i d sooo stuuupid win10s"
+    got = toxicity.restore(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), decoder)[0].tobytes()
+    assert got.startswith(b"idiot trash l0ser well-known ") and got.endswith(b" sooo stupid win10s")
+
+
+def test_a_word_hash_is_that_of_its_span():
+    from sparkweave.llm import bytesnp
+
+    raw = np.frombuffer("one zwölf 3".encode(), np.uint8)
+    spans = bytesnp.span_hash(raw, np.array([0, 4, 11]), np.array([3, 10, 12]))
+    assert spans.tolist() == [bytesnp.word_hash(w) for w in (b"one", "zwölf".encode(), b"3")]
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     plain = [f"{a}{b}" for a in ["ter", "mon", "lin", "sar", "pol"] for b in ["ona", "ity", "and", "est", "ole"]]
@@ -178,7 +206,7 @@ def test_viterbi_equals_all_readings():
             return total
 
         every = list(product(*decoder.lattice(span)))
-        got = decoder.restore(span)
+        got = b"".join(decoder.best(decoder.lattice(span)))
         best = min(map(cost, every))
         assert any(b"".join(s for s, _ in p) == got and abs(cost(p) - best) < 1e-9 for p in every)
 

@@ -1,3 +1,7 @@
+import random
+import re
+from collections import Counter
+
 from sparkweave.llm import decontaminate as d
 
 ITEM = "A farmer named Walter sold 12 kg of apples to Harriet and kept 30 kg of pears for the long winter months ahead."
@@ -37,7 +41,7 @@ def test_part_of_an_item_is_no_leak(spark):
 def test_clean_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM), (2, "fine text stays where it is"), (None, ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
-    assert sorted((r[0] or -1) for r in d.clean(docs, items).collect()) == [-1, 2]
+    assert [r[0] for r in d.clean(docs, items).collect()] == [2]
     assert d.matches(docs.limit(0), items).count() == 0
     assert d.matches(docs, items.limit(0)).count() == 0
 
@@ -63,3 +67,63 @@ def test_items_that_share_an_id(spark):
     for i in (5, None):
         got = found(spark, docs, [(i, docs[0][1]), (i, docs[1][1])])
         assert set(got) == {(1, i), (2, i)} and all(r["leak"] for r in got.values())
+
+
+def test_documents_that_share_an_id(spark):
+    other = "Nothing of the item stands in this text."
+    for i in (1, None):
+        docs = [(i, ITEM), (i, CHANGED), (i, other), (i, MIXED), (i, None), (i, ITEM)]
+        left = spark.createDataFrame(docs, "doc_id long, text string")
+        right = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+        got = d.matches(left, right).collect()
+        assert sorted(r["changed_slots"] for r in got) == [0, 4] and all(r["leak"] and r["doc_id"] == i for r in got)
+        assert sorted(str(r["text"]) for r in d.clean(left, right).collect()) == sorted([other, MIXED, "None"])
+
+
+def rewritten(text, rng):
+    """The text with every number and every name replaced by another, equal ones by equal ones."""
+    new, out = {}, []
+    for word in re.findall(r"[\w.,]+|[^\w]+", text):
+        bare = word.strip(".,")
+        if bare.isdigit() or bare in NAMES:
+            if bare not in new:
+                new[bare] = str(1000 + len(new) + rng.randrange(900) * 10) if bare.isdigit() else "Q" + "".join(rng.choice("aeiou") for _ in range(5)) + str(len(new)).translate(str.maketrans("0123456789", "bcdfghjklm"))
+            word = word.replace(bare, new[bare])
+        out.append(word)
+    return "".join(out)
+
+
+NAMES = ["Walter", "Harriet", "Oswald", "Miriam", "Petra", "Conrad"]
+COMMON = "the old farm had many fields where sheep and cows went out to eat grass near a river while children sang songs about summer rain".split()
+
+
+def test_equals_a_plain_search_of_planted_items(spark):
+    """Items are sentences of numbers, names and plain words; texts hold them whole, rewritten, mixed up, or not at all."""
+    rng = random.Random(9)
+
+    def sentence(n):
+        words = [rng.choice(COMMON) if rng.random() < 0.75 else rng.choice(NAMES) if rng.random() < 0.5 else str(rng.randrange(2, 900)) for _ in range(n)]
+        return "so " + " ".join(words)
+
+    items = [(i, sentence(rng.randrange(14, 30))) for i in range(30)]
+    docs, want = [], set()
+    for i in range(200):
+        item, kind = rng.choice(items), i % 4
+        held = {0: item[1], 1: rewritten(item[1], rng), 2: " ".join(rng.sample(item[1].split(), len(item[1].split()))), 3: sentence(25)}[kind]
+        # Every id is used twice, and some rows have none.
+        docs.append((None if i % 10 == 9 else i // 2, f"{sentence(20)} {held} {sentence(20)}"))
+        if kind < 2:
+            want.add((docs[-1], item[0]))
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n"]) for r in d.matches(left, right).where("leak").groupBy("doc_id", "item_id").count().withColumnRenamed("count", "n").collect()}
+    count = Counter((doc[0], item) for doc, item in want)
+    assert got == {(*k, n) for k, n in count.items()}
+    kept = Counter(tuple(r) for r in d.clean(left, right).collect())
+    assert kept == Counter(x for x in docs if x not in {doc for doc, _ in want})
+
+
+def test_long_text(spark):
+    docs = [(1, "word and word " * 100_000 + ITEM + " other words " * 100_000), (2, "7 " * 300_000)]
+    got = found(spark, docs, [(7, ITEM)])
+    assert set(got) == {(1, 7)} and got[1, 7]["leak"]
