@@ -34,11 +34,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labels of the documents at hand and drop what is likely toxic.
 
-    Without labels all score one half and go; a null text scores as an empty one.
+    Where no document has a label nothing can be told, and all stay; a null text scores as an empty one.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     names = docs.columns
     fitted = toxicity.fit(docs.select("doc_id", "text"), labels)
+    if not fitted[0].any():
+        return docs
     scored = toxicity.score(docs.select(F.struct(*[f"`{c}`" for c in names]).alias("__row"), F.col("text").alias("text")), fitted)
     return scored.where(F.col("score") < TOXIC).select("__row.*")
 
@@ -52,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, its numbers and names changed or not; null ids and null texts stay."""
+    """Drop documents that hold a benchmark item, its numbers and names changed or not, each row by its own text; null texts stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
