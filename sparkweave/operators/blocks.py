@@ -1,9 +1,8 @@
 """Bridges, cut nodes, blocks and second trees from the cycles that a rooted forest closes.
 
-A forest of shallow trees is grown by rounds of joins.  Every edge outside it
-closes one cycle: the forest edges on the way between its ends.  Edges that
-share such cycles, directly or through others, are one block; a forest edge on
-no cycle is a bridge.
+Blocks follow from a tour of a spanning forest (``tours.blocks_of``); a forest
+edge on no cycle is a bridge.  A basis of cycles lists the cycles themselves,
+along a breadth-first forest, so that they are short.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.model import Graph
 from sparkweave.operators.cohesion import components, spanning_forest
-from sparkweave.plans.components import star_components
+from sparkweave.operators.tours import blocks_of, common_ancestors, tour
 from sparkweave.session import materialise, tidy
 
 
@@ -54,17 +53,7 @@ def covers(others: DataFrame, ways: DataFrame) -> DataFrame:
 @tidy
 def blocks(graph: Graph) -> DataFrame:
     """``src``, ``dst``, ``block``: each edge's block, named by its smallest edge as ``src|dst``; loops are in none."""
-    graph = graph.written()
-    graph.need(directed=False)
-    edges = graph.edges.where("src <> dst").select("src", "dst")
-    parents, ways = rooted(edges, materialise(components(graph), "components"))
-    tree = materialise(_tree(parents), "tree")
-    others = edges.join(tree, ["src", "dst"], "left_anti")
-    name = F.concat(F.lit("e"), "src", F.lit("\x00"), "dst")
-    on = materialise(covers(others, ways).select(name.alias("a"), F.concat(F.lit("t"), "step").alias("b")), "covers")
-    found = star_components(on, "a", "b")
-    named = tree.select("src", "dst", F.concat(F.lit("t"), "step").alias("id")).union(others.select("src", "dst", name))
-    placed = named.join(found, "id", "left").select("src", "dst", F.coalesce("component", "id").alias("at"))
+    placed, _ = blocks_of(graph)
     first = placed.groupBy("at").agg(F.min(F.struct("src", "dst")).alias("f")).select("at", F.concat("f.src", F.lit("|"), "f.dst").alias("block"))
     return placed.join(first, "at").select("src", "dst", "block")
 
@@ -122,14 +111,14 @@ def cycle_basis(graph: Graph) -> DataFrame:
 def second_tree(graph: Graph) -> DataFrame:
     """``first``, ``second``: total weights of the least spanning forest and of the next one; null where there is one forest only.
 
-    The next forest swaps one edge: an edge outside against the heaviest forest edge on its cycle.
+    The next forest swaps one edge: an edge outside against the heaviest forest
+    edge between its ends, which jumps that double find.
     """
-    graph = graph.written()
-    graph.need(directed=False)
+    graph = graph.need(directed=False).written()
     least = materialise(spanning_forest(graph).select("src", "dst", "w"), "forest")
-    parents, ways = rooted(least.select("src", "dst"), materialise(components(graph), "components"))
-    tree = materialise(_tree(parents).join(least, ["src", "dst"]).select("step", "w"), "tree")
-    others = graph.edges.where("src <> dst").join(least, ["src", "dst"], "left_anti").select("src", "dst", F.col("w").alias("own"))
-    most = covers(others, ways).join(tree, "step").groupBy("src", "dst").agg(F.max("w").alias("top"))
-    gain = others.join(most, ["src", "dst"]).agg(F.min(F.col("own") - F.col("top")).alias("gain"))
+    found = materialise(tour(Graph(graph.nodes, least, False, True)), "tour")
+    upper = found.where("parent is not null").select("id", F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst")).join(least, ["src", "dst"]).select("id", F.col("w").alias("value"))
+    others = materialise(graph.edges.where("src <> dst").join(least, ["src", "dst"], "left_anti").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("own")), "others")
+    most = common_ancestors(found, others, upper).select("a", "b", "largest")
+    gain = others.join(most, ["a", "b"]).agg(F.min(F.col("own") - F.col("largest")).alias("gain"))
     return least.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("first")).crossJoin(gain).select(F.round("first", 6).alias("first"), F.round(F.col("first") + F.col("gain"), 6).alias("second"))

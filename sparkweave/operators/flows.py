@@ -1,8 +1,8 @@
-"""Maximum flow, bipartite matching and path covers by augmenting rounds of joins, with no cap on size."""
+"""Maximum flow by pushes, bipartite matching and path covers by augmenting rounds of joins, with no cap on size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
@@ -29,30 +29,92 @@ def widest_way(residual: DataFrame, source: str, sink: str) -> tuple[Row | None,
             return found, seen.select("id")
 
 
+def levels(arcs: DataFrame, starts: list[str]) -> DataFrame:
+    """``id``, ``d``: hops along ``arcs(src, dst)`` from the nearest of the ``starts``."""
+    seen = arcs.sparkSession.createDataFrame([(s, 0) for s in starts], "id string, d int")
+    front, d = seen, 0
+    while True:
+        d += 1
+        met = arcs.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        front = materialise(met.join(seen, "id", "left_anti").select("id", F.lit(d).alias("d")), "level")
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+
+
+#: Runs of arcs into which the arcs of one node are cut, so that a hub's are summed by many tasks.
+RUNS = 64
+
+
+def dealt_out(arcs: DataFrame, have: str, room: str, key: str = "dst") -> DataFrame:
+    """``src``, ``key``, ``sent``: what each node has, given to its arcs, told apart by ``key``, in turn as far as they have room."""
+    cut = arcs.withColumn("run", F.pmod(F.xxhash64(key), F.lit(RUNS)))
+    run = Window.partitionBy("src", "run").orderBy(key)
+    before = cut.groupBy("src", "run").agg(F.sum(room).alias("all"))
+    start = before.select("src", "run", F.coalesce(F.sum("all").over(Window.partitionBy("src").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("start"))
+    upto = cut.withColumn("upto", F.sum(room).over(run) - F.col(room)).join(start, ["src", "run"])
+    return upto.select("src", key, F.least(F.col(room), F.greatest(F.col(have) - F.col("start") - F.col("upto"), F.lit(0.0))).alias("sent")).where(F.col("sent") > NOTHING)
+
+
+#: Rounds of pushes between two exact computations of heights.
+AGAIN = 8
+
+
+@tidy
 def maximum_flow(graph: Graph, source: str, sink: str) -> tuple[DataFrame, DataFrame]:
     """``src, dst, flow`` of the arcs that carry flow, and ``id`` of the smallest source side of a minimum cut.
 
-    Each round grows shortest ways from the source, every node keeping its
-    widest one, and sends what fits along the way to the sink; no way left
-    means that the flow is greatest.  Edges carry flow either way.
+    The source fills its arcs.  In every round all nodes that hold more than
+    they sent push it at once along arcs that lead one step down, and those
+    that still hold something rise above their lowest neighbour; every few
+    rounds heights become exact distances to the sink, or to the source where
+    it is out of reach.  So many ways are filled together, and the rounds do not
+    go with the number of ways.  Edges carry flow either way.
     """
-    graph.need(nodes=(source, sink))
+    graph = graph.need(nodes=(source, sink)).written()
     if source == sink:
         raise Invalid("source and sink are one node")
     given = materialise(graph.arcs.where("src <> dst").select("src", "dst", F.col("w").alias("left")), "capacity")
     if not given.where("left < 0").isEmpty():
         raise Invalid("capacities must not be negative")
-    spark, residual = graph.spark, given
+    spark, n = graph.spark, graph.nodes.count()
+    both = given.unionByName(given.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("left"))).groupBy("src", "dst").agg(F.sum("left").alias("left"))
+    full = F.when(F.col("src") == source, F.lit(0.0)).otherwise(F.col("left"))
+    out = given.where(F.col("src") == source).select(F.col("dst").alias("src"), F.lit(source).alias("dst"), F.col("left").alias("more"))
+    residual = materialise(both.join(out, ["src", "dst"], "left").select("src", "dst", (full + F.coalesce("more", F.lit(0.0))).alias("left")), "residual")
+    filled = out.select(F.col("src").alias("id"), F.col("more").alias("x"))
+    held = materialise(graph.nodes.join(filled, "id", "left").select("id", F.coalesce("x", F.lit(0.0)).alias("x")), "held")
+
+    def exact(residual: DataFrame, held: DataFrame) -> DataFrame:
+        back = materialise(residual.where(F.col("left") > NOTHING).select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
+        low, high = levels(back.where(F.col("src") != source), [sink]), levels(back.where(F.col("src") != sink), [source])
+        height = F.when(F.col("id") == source, F.lit(n)).otherwise(F.coalesce("d", F.col("e") + n, F.lit(2 * n)))
+        return materialise(held.select("id", "x").join(low, "id", "left").join(high.withColumnRenamed("d", "e"), "id", "left").select("id", "x", height.cast("int").alias("h")), "heights")
+
+    turn = 0
     while True:
-        found, seen = widest_way(residual, source, sink)
-        if found is None:
-            sent = given.join(residual.withColumnRenamed("left", "now"), ["src", "dst"]).select("src", "dst", F.round(F.col("left") - F.col("now"), 9).alias("flow")).where(F.col("flow") > NOTHING)
-            return sent, seen
-        way = spark.createDataFrame([(e["src"], e["dst"], -found["width"]) for e in found["way"]] + [(e["dst"], e["src"], found["width"]) for e in found["way"]], "src string, dst string, left double")
-        new = materialise(residual.unionByName(way).groupBy("src", "dst").agg(F.sum("left").alias("left")), "residual")
-        if residual is not given:
-            discard(spark, residual)
-        residual = new
+        inner = ~F.col("id").isin(source, sink) & (F.col("x") > NOTHING)
+        if held.where(inner).isEmpty():
+            break
+        if turn % AGAIN == 0:
+            held = exact(residual, held)
+        turn += 1
+        down = residual.where(F.col("left") > NOTHING).join(held.where(inner).select(F.col("id").alias("src"), "x", "h"), "src").join(held.select(F.col("id").alias("dst"), F.col("h").alias("hd")), "dst").where("h = hd + 1")
+        push = materialise(dealt_out(down.select("src", "dst", "x", "left"), "x", "left"), "pushes")
+        turned = push.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("sent").alias("got"))
+        zero = F.lit(0.0)
+        after = materialise(residual.join(push, ["src", "dst"], "left").join(turned, ["src", "dst"], "left").select("src", "dst", (F.col("left") - F.coalesce("sent", zero) + F.coalesce("got", zero)).alias("left")), "residual")
+        change = push.select(F.col("src").alias("id"), (-F.col("sent")).alias("y")).union(push.select("dst", "sent")).groupBy("id").agg(F.sum("y").alias("y"))
+        now = held.join(change, "id", "left").select("id", "h", (F.col("x") + F.coalesce("y", zero)).alias("x"))
+        lowest = after.where(F.col("left") > NOTHING).join(held.select(F.col("id").alias("dst"), F.col("h").alias("hd")), "dst").groupBy(F.col("src").alias("id")).agg(F.min("hd").alias("low"))
+        rise = F.when(inner, F.greatest("h", F.coalesce(F.col("low") + 1, F.col("h")))).otherwise(F.col("h"))
+        new = materialise(now.join(lowest, "id", "left").select("id", "x", rise.alias("h")), "heights")
+        for table in (residual, held, push):
+            discard(spark, table)
+        residual, held = after, new
+    sent = given.join(residual.withColumnRenamed("left", "now"), ["src", "dst"]).select("src", "dst", F.round(F.col("left") - F.col("now"), 9).alias("flow")).where(F.col("flow") > NOTHING)
+    side = levels(materialise(residual.where(F.col("left") > NOTHING).select("src", "dst"), "open"), [source])
+    return materialise(sent, "sent"), materialise(side.select("id"), "side")
 
 
 @tidy

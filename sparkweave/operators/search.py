@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
-from sparkweave.operators.paths import relax
+from sparkweave.operators import tours
+from sparkweave.operators.cohesion import strong_components
+from sparkweave.operators.paths import relax, topological_layers
 from sparkweave.session import materialise, tidy
 
 
@@ -187,21 +189,19 @@ def ancestors(tree: DataFrame) -> DataFrame:
 
 
 @tidy
-def lowest_common_ancestors(graph: Graph, root: str) -> DataFrame:
-    """``a``, ``b``, ``lca``, ``distance`` of every pair a < b."""
+def lowest_common_ancestors(graph: Graph, root: str, pairs: DataFrame | None = None) -> DataFrame:
+    """``a``, ``b``, ``lca``, ``distance`` of ``pairs(a, b)``, by default of every pair a < b, as many as that is."""
     graph = graph.written()
-    up = ancestors(rooted(graph, root))
-    a, b = up.toDF("a", "lca", "ua"), up.toDF("b", "lca", "ub")
-    met = a.join(b, "lca").where("a < b").groupBy("a", "b").agg(F.min_by("lca", F.col("ua") + F.col("ub")).alias("lca"), F.min(F.col("ua") + F.col("ub")).cast("bigint").alias("distance"))
-    return met
+    found = materialise(tours.tour(graph, graph.spark.createDataFrame([(root,)], "id string")), "tour")
+    if pairs is None:
+        pairs = graph.nodes.toDF("a").join(graph.nodes.toDF("b"), F.col("a") < F.col("b"))
+    return tours.common_ancestors(found, pairs)
 
 
 @tidy
 def subtree_sizes(graph: Graph, root: str) -> DataFrame:
     """``id``, ``size``, ``depth``: nodes below and at each node."""
-    graph = graph.written()
-    tree = rooted(graph, root)
-    return ancestors(tree).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("size")).join(tree.select("id", "depth"), "id")
+    return tours.tour(graph, graph.spark.createDataFrame([(root,)], "id string")).select("id", "size", F.col("depth").cast("int").alias("depth"))
 
 
 @tidy
@@ -231,19 +231,36 @@ def tree_path_maxima(graph: Graph, root: str, values: DataFrame) -> DataFrame:
     return side("a").union(side("b")).join(values.toDF("node", "value"), "node").groupBy("a", "b").agg(F.max("value").alias("largest"))
 
 
-def two_sat(clauses: DataFrame, most: int = 18) -> DataFrame:
-    """``satisfiable``, ``models`` of clauses (v1, b1, v2, b2): every assignment is a row, clauses are tested by bits."""
-    spark = clauses.sparkSession
-    names = clauses.select(F.col("v1").alias("v")).union(clauses.select("v2")).distinct()
-    n = names.count()
-    if n > most:
-        raise Invalid(f"this operator is exact and stops at {most} variables")
-    number = names.withColumn("k", (F.row_number().over(Window.orderBy("v")) - 1).cast("int"))
-    c = clauses.join(number.toDF("v1", "k1"), "v1").join(number.toDF("v2", "k2"), "v2").select("k1", F.col("b1").cast("int").alias("b1"), "k2", F.col("b2").cast("int").alias("b2"))
-    rows = spark.range(1 << n)
-    wrong = rows.join(F.broadcast(c), F.expr("(shiftright(id, k1) & 1) <> b1 and (shiftright(id, k2) & 1) <> b2")).select("id").distinct()
-    models = rows.join(wrong, "id", "left_anti").agg(F.count("*").alias("models"))
-    return models.select((F.col("models") > 0).alias("satisfiable"), "models")
+@tidy
+def two_sat(clauses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``variable``, ``value`` of an assignment that meets all clauses (v1, b1, v2, b2), and ``variable`` of those that cannot have a value.
+
+    A clause says that v1 is b1 or v2 is b2.  Who misses one half must keep the
+    other; variables whose two values force each other have none, and then no
+    assignment is given.  Else each takes the value that is forced last.
+    """
+    def literal(v: str, b: str) -> F.Column:
+        return F.concat(F.when(F.col(b).cast("boolean"), F.lit("+")).otherwise(F.lit("-")), F.col(v).cast("string"))
+
+    def opposite(x: str) -> F.Column:
+        return F.translate(F.substr(x, F.lit(1), F.lit(1)), "+-", "-+")
+
+    flip = lambda x: F.concat(opposite(x), F.substr(x, F.lit(2)))
+    pair = materialise(clauses.select(literal("v1", "b1").alias("x"), literal("v2", "b2").alias("y")).distinct(), "clauses")
+    forced = pair.select(flip("x").alias("src"), F.col("y").alias("dst")).union(pair.select(flip("y"), F.col("x")))
+    names = pair.select(F.explode(F.array("x", "y", flip("x"), flip("y"))).alias("id"))
+    graph = Graph.of(forced, True, names).written()
+    strong = materialise(strong_components(graph), "strong")
+    by = strong.select(F.substr("id", F.lit(2)).alias("variable"), F.substr("id", F.lit(1), F.lit(1)).alias("sign"), "component")
+    both = by.where("sign = '+'").select("variable", F.col("component").alias("yes")).join(by.where("sign = '-'").select("variable", F.col("component").alias("no")), "variable")
+    clash = materialise(both.where("yes = no").select("variable"), "clash")
+    if not clash.isEmpty():
+        return clash.select("variable", F.lit(None).cast("boolean").alias("value")).limit(0), clash
+    between = graph.edges.join(strong.toDF("src", "a"), "src").join(strong.toDF("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    layer = materialise(topological_layers(Graph.of(between, True, strong.select(F.col("component").alias("id")))), "layers")
+    # Layers, and names within one, put all components in one order along the arcs.
+    at = both.join(layer.toDF("yes", "ly"), "yes").join(layer.toDF("no", "ln"), "no")
+    return at.select("variable", (F.col("ly") > F.col("ln")).alias("above"), (F.col("ly") == F.col("ln")).alias("level"), "yes", "no").select("variable", F.when(F.col("level"), F.col("yes") > F.col("no")).otherwise(F.col("above")).alias("value")), clash
 
 
 @tidy
@@ -273,22 +290,6 @@ def stable_matching(preferences: DataFrame) -> DataFrame:
     return held.select(F.col("p").alias("proposer"), F.col("a").alias("acceptor"))
 
 
-@tidy
-def assignment(costs: DataFrame, most: int = 12) -> DataFrame:
-    """``cost``: the cheapest assignment of ``costs(worker, job, cost)``, square; states are (jobs taken) after each worker."""
-    n = costs.select("worker").distinct().count()
-    if n > most or costs.count() != n * n or costs.select("job").distinct().count() != n:
-        raise Invalid(f"costs must be square and of at most {most} workers")
-    w = F.dense_rank().over(Window.orderBy("worker")) - 1
-    j = F.dense_rank().over(Window.orderBy("job")) - 1
-    rows = materialise(costs.withColumn("w", w).withColumn("j", j).select("w", F.expr("shiftleft(1L, j)").alias("bit"), "cost"), "costs")
-    now = costs.sparkSession.createDataFrame([(0, 0.0)], "taken bigint, total double")
-    for i in range(n):
-        step = now.crossJoin(rows.where(F.col("w") == i)).where(F.col("taken").bitwiseAND(F.col("bit")) == 0)
-        now = materialise(step.groupBy(F.col("taken").bitwiseOR(F.col("bit")).alias("taken")).agg(F.min(F.col("total") + F.col("cost")).alias("total")), "assigned")
-    return now.select(F.round("total", 6).alias("cost"))
-
-
 @tidy
 def dominators(graph: Graph, entry: str) -> DataFrame:
     """``id``, ``dominator``: every node that all routes from the entry to ``id`` pass; each node's loss is one scenario."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
-from sparkweave.operators import blocks, search
+from sparkweave.operators import orders, tours
 from sparkweave.operators.cohesion import components, spanning_forest, strong_components
 from sparkweave.operators.paths import relax
 from sparkweave.session import discard, materialise, tidy
@@ -19,17 +19,19 @@ def prufer_code(graph: Graph) -> DataFrame:
 
     With the greatest name as root, the smallest leaf goes first again and
     again exactly if nodes go by the greatest name below them, and from that
-    name upwards, so one sort of (node, descendant) rows gives the order.
-    Anything but a tree is refused.
+    name upwards.  Anything but a tree is refused.
     """
     graph = graph.written()
     root = graph.nodes.agg(F.max("id")).first()[0]
     if root is None:
         return graph.spark.createDataFrame([], "position int, id string")
-    tree = materialise(search.rooted(graph, root), "tree")
-    below = search.ancestors(tree).select(F.col("ancestor").alias("id"), F.struct(F.col("id").alias("top"), "up").alias("x"))
-    leaves = below.groupBy("id").agg(F.max("x").alias("x")).join(tree.where("parent is not null"), "id")
-    placed = leaves.select(F.row_number().over(Window.orderBy("x.top", "x.up")).alias("position"), F.col("parent").alias("id"))
+    if graph.edges.count() != graph.nodes.count() - 1:
+        raise Invalid("a tree has one edge less than nodes")
+    found = materialise(tours.tour(graph, graph.spark.createDataFrame([(root,)], "id string")), "tour")
+    top = tours.under(found.select("id", "parent", F.col("id").alias("top")), {"top": F.max})
+    deep = found.select(F.col("id").alias("top"), F.col("depth").alias("below"))
+    leaves = found.where("parent is not null").join(top, "id").join(deep, "top").select("top", (F.col("below") - F.col("depth")).alias("up"), "parent")
+    placed = orders.numbered(leaves, "top", "up", name="position").select(F.col("position").cast("int").alias("position"), F.col("parent").alias("id"))
     return placed.where(F.col("position") <= graph.nodes.count() - 2)
 
 
@@ -47,10 +49,10 @@ def centroid_levels(graph: Graph) -> DataFrame:
         named = materialise(components(left), "components")
         if not level and left.edges.count() != left.nodes.count() - named.select("component").distinct().count():
             raise Invalid("a component has a cycle")
-        parents, ways = blocks.rooted(left.edges, named)
+        found = materialise(tours.tour(Graph(left.nodes, left.edges, False, True)).where("parent is not null").select("id", "parent", F.col("size").alias("s")), "tour")
         size = named.groupBy("component").agg(F.count("*").alias("n"))
-        below = ways.groupBy(F.col("step").alias("id")).agg(F.count("*").alias("s"))
-        under = parents.join(below, "id").groupBy(F.col("parent").alias("id")).agg(F.max("s").alias("most"))
+        below = found.select("id", "s")
+        under = found.groupBy(F.col("parent").alias("id")).agg(F.max("s").alias("most"))
         held = named.join(size, "component").join(below, "id", "left").join(under, "id", "left")
         worst = F.greatest(F.coalesce("most", F.lit(0)), F.col("n") - F.coalesce("s", "n"))
         new = materialise(held.groupBy("component").agg(F.min(F.struct(worst.alias("worst"), "id")).alias("x")).select("x.id", F.lit(level).alias("level")), "centroids")

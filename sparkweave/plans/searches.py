@@ -24,7 +24,8 @@ register("chromatic_number")(lambda k, d: k.createDataFrame([(s.chromatic_number
 register("isomorphism_self")(lambda k, d: k.createDataFrame([(s.isomorphic(_regions(k, d), _regions(k, d)),)], "isomorphic boolean"))
 register("lca_pairs", hops_sql(TREE) + """, up AS (SELECT n.id, h.id AS ancestor, CAST(h.d AS INT) AS up FROM nodes n JOIN hops h ON h.origin = n.id JOIN hops r ON r.origin = 'world' AND r.id = n.id JOIN hops q ON q.origin = 'world' AND q.id = h.id WHERE q.d + h.d = r.d)
 SELECT x.id AS a, y.id AS b, arg_min(x.ancestor, x.up + y.up) AS lca, CAST(min(x.up + y.up) AS BIGINT) AS distance FROM up x JOIN up y ON x.ancestor = y.ancestor AND x.id < y.id GROUP BY x.id, y.id""")(lambda k, d: s.lowest_common_ancestors(TREE.graph(k, d), "world"))
-register("eulertour_subtrees")(lambda k, d: s.subtree_sizes(TREE.graph(k, d), "world"))
+register("eulertour_subtrees", hops_sql(TREE) + """, deep AS (SELECT id, d FROM hops WHERE origin = 'world')
+SELECT n.id, count(*) AS size, CAST(x.d AS INTEGER) AS depth FROM nodes n JOIN deep x ON x.id = n.id JOIN hops h ON h.origin = n.id JOIN deep y ON y.id = h.id AND y.d = x.d + h.d GROUP BY n.id, x.d""")(lambda k, d: s.subtree_sizes(TREE.graph(k, d), "world"))
 register("treehash_shapes")(lambda k, d: s.tree_hash(TREE.graph(k, d), "world"))
 register("hld_pathmaxima")(lambda k, d: s.tree_path_maxima(TREE.graph(k, d), "world", TREE.graph(k, d).nodes.select("id", F.length("id").alias("value"))))
 register("dominators_trade")(lambda k, d: (lambda g: s.dominators(g, g.nodes.agg(F.min("id")).first()[0]))(TRADE_DAG.graph(k, d)))
@@ -46,7 +47,6 @@ def _tour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("toposortcount_regions")(lambda k, d: s.linear_extensions(Graph.of(_regions(k, d).edges, True)))
-register("hungarian_regions")(lambda k, d: s.assignment(_costs(k, d)))
 
 
 def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
