@@ -94,14 +94,15 @@ def fit_on(texts: DataFrame, shares: dict[int, int], extract: Extract, size: int
     """Weights fitted on a sample, weighed back to the classes' shares; zeros without labels."""
     if not shares:
         return np.zeros(size + 1, dtype=np.float32)
-    got = features_of(texts, extract, "__text", ["__key", "__label"]).toPandas()
-    got = got.sort_values("__key", kind="stable").reset_index(drop=True)
-    y = got["__label"].to_numpy(float)
+    # Features stay in their flat Arrow buffers; rows are views of them.
+    got = features_of(texts, extract, "__text", ["__key", "__label"]).toArrow().sort_by("__key").combine_chunks()
+    at, value = (pa.concat_arrays(got[c].chunks) if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "value"))
+    y = got["__label"].to_numpy().astype(float)
     seen = np.array([max((y == c).sum(), 1) for c in (0, 1)], dtype=float)
     total = sum(shares.values())
     weight = np.where(y == 1, shares.get(1, 0) / total * len(y) / seen[1], shares.get(0, 0) / total * len(y) / seen[0])
-    rows = [(np.asarray(a, dtype=np.int64), np.asarray(v, dtype=float)) for a, v in zip(got["at"], got["value"], strict=True)]
-    return train(rows, y, weight, size, **how)
+    offs, places, values = at.offsets.to_numpy().tolist(), at.values.to_numpy(), value.values.to_numpy()
+    return train([(places[a:b], values[a:b]) for a, b in zip(offs, offs[1:], strict=False)], y, weight, size, **how)
 
 
 def score(docs: DataFrame, weights: np.ndarray, extract: Extract, text: str = "text") -> DataFrame:
