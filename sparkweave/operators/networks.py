@@ -58,34 +58,34 @@ def minimum_cost_flow(arcs: DataFrame, source: str, sink: str, amount: float | N
         at = held.select("id", "x", "p")
         return residual.where(F.col("left") > NOTHING).join(at.toDF("src", "x", "ps"), "src").join(at.select(F.col("id").alias("dst"), F.col("p").alias("pd")), "dst").withColumn("reduced", F.col("c") + F.col("ps") - F.col("pd"))
 
-    def pushed(push: DataFrame) -> None:
-        """Move ``push(src, arc, sent)`` in both tables."""
-        nonlocal residual, held
+    def moved(push: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Both tables after ``push(src, arc, sent)``; the first is written."""
         turned = push.select((-F.col("arc")).alias("arc"), F.col("sent").alias("got"))
         new = materialise(residual.join(push.select("arc", "sent"), "arc", "left").join(turned, "arc", "left").select("arc", "src", "dst", (F.col("left") - F.coalesce("sent", zero) + F.coalesce("got", zero)).alias("left"), "c"), "residual")
         to = residual.select("arc", "dst").join(push.select("arc", "sent"), "arc")
         change = push.select(F.col("src").alias("id"), (-F.col("sent")).alias("y")).union(to.select("dst", "sent")).groupBy("id").agg(F.sum("y").alias("y"))
-        now = materialise(held.join(change, "id", "left").select("id", (F.col("x") + F.coalesce("y", zero)).alias("x"), "p"), "held")
-        for table in (residual, held):
-            discard(arcs.sparkSession, table)
-        residual, held = new, now
+        return new, held.join(change, "id", "left").select("id", (F.col("x") + F.coalesce("y", zero)).alias("x"), "p")
 
-    step = max(int(residual.agg(F.max(F.abs("c"))).first()[0] or 0), 1)
+    step, full = max(int(residual.agg(F.max(F.abs("c"))).first()[0] or 0), 1), True
     while True:
-        pushed(materialise(priced(residual, held).where("reduced < 0").select("src", "arc", F.col("left").alias("sent")), "pushes"))
-        while not held.where(F.col("x") > NOTHING).isEmpty():
-            cheap = priced(residual, held).where((F.col("x") > NOTHING) & (F.col("reduced") < 0))
-            push = materialise(dealt_out(cheap.select("src", "arc", "x", "left"), "x", "left", "arc"), "pushes")
-            if not push.isEmpty():
-                pushed(push)
-            # Who still holds something and has no cheap arc left lowers the price until one is.
-            stuck = priced(residual, held).where(F.col("x") > NOTHING).groupBy(F.col("src").alias("id")).agg(F.min("reduced").alias("least"), F.max(F.col("pd") - F.col("c")).alias("best")).where("least >= 0")
-            new = materialise(held.join(stuck, "id", "left").select("id", "x", F.coalesce(F.col("best") - F.lit(step), F.col("p")).alias("p")), "held")
-            discard(arcs.sparkSession, held)
-            held = new
-        if step == 1:
-            break
-        step = max(1, step // FALL)
+        # A phase begins with all that is too cheap filled; then who holds something pushes it on.
+        cheap = priced(residual, held).where("reduced < 0")
+        if full:
+            push = cheap.select("src", "arc", F.col("left").alias("sent"))
+        else:
+            push = dealt_out(cheap.where(F.col("x") > NOTHING).select("src", "arc", "x", "left"), "x", "left", "arc")
+        push = materialise(push, "pushes")
+        new, now = moved(push)
+        # Who still holds something and has no cheap arc left lowers the price until one is.
+        stuck = priced(new, now).where(F.col("x") > NOTHING).groupBy(F.col("src").alias("id")).agg(F.min("reduced").alias("least"), F.max(F.col("pd") - F.col("c")).alias("best")).where("least >= 0")
+        after = materialise(now.join(stuck, "id", "left").select("id", "x", F.coalesce(F.col("best") - F.lit(step), F.col("p")).alias("p")), "held")
+        for table in (residual, held, push):
+            discard(arcs.sparkSession, table)
+        residual, held, full = new, after, False
+        if held.where(F.col("x") > NOTHING).isEmpty():
+            if step == 1:
+                break
+            step, full = max(1, step // FALL), True
     flow = residual.where("arc < 0").select((-F.col("arc")).alias("arc"), F.round("left", 9).alias("flow"))
     price = held.select("id", "p")
     whole = own.join(flow, "arc").join(price.toDF("src", "ps"), "src").join(price.toDF("dst", "pd"), "dst")

@@ -23,17 +23,18 @@ from sparkweave.session import materialise, tidy
 
 
 @tidy
-def tour(graph: Graph, roots: DataFrame | None = None) -> DataFrame:
+def tour(graph: Graph, roots: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
     """The depth-first tour of a forest: ``id``, ``parent``, ``root``, ``depth``, ``enter``, ``leave``, ``place``, ``size``.
 
     Neighbours are visited by name.  The clock of ``enter`` and ``leave`` starts
     at 1 in every tree and ticks at each; ``place`` counts nodes from 1 in the
     order in which they are entered, ``size`` the nodes of the subtree.  Trees
     hang on the nodes of ``roots(id)``, by default on their smallest nodes.
-    Cycles, loops, and trees with no root or several, are refused.
+    Cycles, loops, and trees with no root or several, are refused.  ``named`` is
+    the table of ``components``, if it is at hand.
     """
     graph = graph.need(directed=False).written()
-    named = materialise(components(graph), "trees")
+    named = materialise(components(graph), "trees") if named is None else named
     tops = named.where("id = component").select("component", F.col("id").alias("root"))
     if roots is not None:
         tops = materialise(named.join(roots.select("id").distinct(), "id").select("component", F.col("id").alias("root")), "roots")
@@ -117,10 +118,10 @@ def depth_first(graph: Graph, source: str) -> DataFrame:
     The clock starts at 1; orders count from 1.  Other trees of the forest are left out.
     """
     graph = graph.need(directed=False, nodes=(source,)).written()
-    own = components(graph)
-    name = own.where(F.col("id") == source).select("component")
-    part = graph.induced(own.join(F.broadcast(name), "component").select("id"))
-    found = tour(part, graph.spark.createDataFrame([(source,)], "id string"))
+    own = materialise(components(graph), "trees")
+    named = own.where(F.col("component") == own.where(F.col("id") == source).first()["component"])
+    part = graph.edges.join(named.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "w")
+    found = tour(Graph(named.select("id"), part, False, True), graph.spark.createDataFrame([(source,)], "id string"), named)
     # Of the ticks until a node is left half, less its depth, are departures.
     return found.select("id", "parent", F.col("enter").alias("discover"), F.col("leave").alias("finish"), F.col("place").alias("preorder"), ((F.col("leave") - F.col("depth")) / 2).cast("bigint").alias("postorder"))
 
@@ -222,7 +223,7 @@ def blocks_of(graph: Graph) -> tuple[DataFrame, DataFrame]:
     graph = graph.need(directed=False).written()
     edges = graph.edges.where("src <> dst").select("src", "dst")
     forest = materialise(spanning_forest(Graph(graph.nodes, edges.withColumn("w", F.lit(1.0)), False, True)).select("src", "dst", F.lit(1.0).alias("w")), "forest")
-    found = materialise(tour(Graph(graph.nodes, forest, False, True)), "tour")
+    found = materialise(tour(Graph(graph.nodes, forest, False, True), named=materialise(components(graph), "trees")), "tour")
     # Numbers of all trees on one line.
     bases = numbered(found.where("parent is null").select("root", F.col("size").alias("n")), "root", name="k")
     line = ranked(bases.select((-F.col("k")).alias("id"), F.when(F.col("k") > 1, 1 - F.col("k")).alias("next"), F.col("n").alias("upto")), "upto")
