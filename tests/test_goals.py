@@ -42,21 +42,52 @@ def test_routes_from_one_end_and_both_ends_are_cheapest(spark):
         assert r["slack"] == (around[0] - want[0][0] if around else float("inf")), way
 
 
+def _one_way(rng, nodes, share):
+    """Some pairs of nodes, each with one direction."""
+    return [tuple(rng.sample(p, 2)) for p in combinations(nodes, 2) if rng.random() < share]
+
+
+def _sides(nodes):
+    return [set(c) for k in range(len(nodes) + 1) for c in combinations(nodes, k)]
+
+
 def test_routes_of_a_flow_add_up(spark):
-    g = Graph.rows(spark, [("s", "a", 3), ("s", "b", 2), ("a", "b", 1), ("a", "t", 2), ("b", "t", 3)], directed=True)
-    ways = goals.flow_routes(flows.maximum_flow(g, "s", "t")[0], "s", "t").collect()
-    assert sum(r["flow"] for r in ways) == 5 and all(r["way"][0] == "s" and r["way"][-1] == "t" for r in ways)
+    rng = random.Random(31)
+    nodes = [f"x{i}" for i in range(7)]
+    room = {e: float(rng.randint(1, 9)) for e in _one_way(rng, nodes, 0.7)}
+    first, last = nodes[0], nodes[-1]
+    least = min(sum(w for (a, b), w in room.items() if a in s | {first} and b not in s | {first}) for s in _sides(nodes[1:-1]))
+    sent = flows.maximum_flow(Graph.rows(spark, [(a, b, w) for (a, b), w in room.items()], directed=True, nodes=nodes), first, last)[0]
+    used = {}
+    for r in goals.flow_routes(sent, first, last).collect():
+        assert r["way"][0] == first and r["way"][-1] == last and len(set(r["way"])) == len(r["way"])
+        for e in zip(r["way"], r["way"][1:], strict=False):
+            used[e] = used.get(e, 0.0) + r["flow"]
+    assert sum(x for e, x in used.items() if e[0] == first) == pytest.approx(least)
+    assert all(x <= room[e] + 1e-9 for e, x in used.items())
 
 
 def test_circulations_meet_floors_or_are_refused(spark):
-    names = "src string, dst string, floor double, capacity double"
-    ring = [("a", "b", 2.0, 5.0), ("b", "c", 0.0, 5.0), ("c", "d", 3.0, 5.0), ("d", "a", 0.0, 5.0)]
-    found = {(r["src"], r["dst"]): r["flow"] for r in goals.circulation(spark.createDataFrame(ring, names)).collect()}
-    assert len(found) == 4 and len(set(found.values())) == 1 and 3 <= found["a", "b"] <= 5
-    with pytest.raises(Invalid):
-        goals.circulation(spark.createDataFrame([("a", "b", 4.0, 5.0), ("b", "a2", 0.0, 2.0), ("a2", "a", 0.0, 5.0)], names))
-    with pytest.raises(Invalid):
-        goals.circulation(spark.createDataFrame([("a", "b", 0.0, 1.0), ("b", "a", 0.0, 1.0)], names))
+    """Hoffman: one exists if no set of nodes must let out more than can come in."""
+    seen = set()
+    for seed in (3, 10):
+        rng = random.Random(seed)
+        nodes = [f"x{i}" for i in range(5)]
+        bounds = {}
+        for e in _one_way(rng, nodes, 0.9):
+            floor = rng.choice([0, 0, 0, 1, 2])
+            bounds[e] = (float(floor), float(floor + rng.randint(0, 6)))
+        exists = all(sum(f for (a, b), (f, _) in bounds.items() if a in s and b not in s) <= sum(c for (a, b), (_, c) in bounds.items() if a not in s and b in s) for s in _sides(nodes))
+        rows = spark.createDataFrame([(*e, *fc) for e, fc in bounds.items()], "src string, dst string, floor double, capacity double")
+        seen.add(exists)
+        if not exists:
+            with pytest.raises(Invalid):
+                goals.circulation(rows)
+            continue
+        found = {(r["src"], r["dst"]): r["flow"] for r in goals.circulation(rows).collect()}
+        assert set(found) == set(bounds) and all(bounds[e][0] - 1e-6 <= x <= bounds[e][1] + 1e-6 for e, x in found.items())
+        assert all(abs(sum(x * ((a == v) - (b == v)) for (a, b), x in found.items())) < 1e-6 for v in nodes)
+    assert seen == {True, False}
 
 
 def test_separators_are_smallest_and_equal_disjoint_routes(spark):
