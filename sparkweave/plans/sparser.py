@@ -1,4 +1,4 @@
-"""Queries of feedback sets, spanners and eigenvectors that part a graph."""
+"""Queries of feedback sets, spanners, widths, exchange cycles and eigenvectors that part a graph."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.model import Graph
-from sparkweave.operators import cohesion, krylov, paths, sparse
-from sparkweave.plans.catalogue import register
+from sparkweave.operators import cohesion, krylov, paths, sparse, widths
+from sparkweave.plans.catalogue import register, table
 from sparkweave.sources.tables import CHAINS, PURCHASES, TRADE_DAG, Source
 
 _RUN = "SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS m, CAST(floor((row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1) / 7e0) AS INT) AS q, (row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) - 1) % 7 AS r FROM {customer}"
@@ -75,3 +75,22 @@ SELECT id, min(id) OVER (PARTITION BY p) AS {name} FROM placed"""
 
 register("spectralclustering_regions", _smallest(REGIONS, "cluster"))(lambda s, d: krylov.spectral_clusters(REGIONS.graph(s, d), 5))
 register("leadingeigenvector_sides", f"SELECT id, side, TRUE AS worth FROM ({_smallest(SIDES, 'side')})")(lambda s, d: krylov.leading_eigenvector(SIDES.graph(s, d)).select("id", "side", "worth"))
+
+#: Parts of the chains are trees, or have one cycle of three, which fills nothing, or of four, which fills one edge.
+register("treewidth_chains", f"""WITH RECURSIVE {CHAINS.sql()}, reach(id, root) AS (SELECT id, id FROM nodes UNION SELECT a.dst, r.root FROM reach r JOIN arcs a ON a.src = r.id), part AS (SELECT id, min(root) AS p FROM reach GROUP BY id),
+held AS (SELECT p, count(*) AS n FROM part GROUP BY p), tied AS (SELECT p, count(*) AS m FROM edges JOIN part ON part.id = src GROUP BY p), rings AS (SELECT count(*) AS c FROM held JOIN tied ON tied.p = held.p WHERE tied.m >= held.n),
+triangles AS (SELECT count(*) AS c FROM edges x JOIN edges y ON y.src = x.dst JOIN edges z ON z.src = x.src AND z.dst = y.dst)
+SELECT CAST(CASE WHEN rings.c > 0 THEN 2 ELSE 1 END AS BIGINT) AS width, CAST(CASE WHEN rings.c > 0 THEN 2 ELSE 1 END AS BIGINT) AS least, rings.c - triangles.c AS n_fill, TRUE AS exact FROM rings, triangles""")(lambda s, d: widths.treewidth(CHAINS.graph(s, d)))
+
+
+#: Rates of one worth for each nation gain on no way round; one rate that is a hundredth too good gains.
+@register("arbitrage_nations", "SELECT market, market = 'skewed' AS arbitrage FROM (VALUES ('fair'), ('skewed')) AS m(market)")
+def _gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation's coin is worth what its customers have on average; the best rate of the smallest nation is once fair and once too good."""
+    worth = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg(F.abs(F.col("c_acctbal").cast("double"))).alias("v")).where("v > 0")
+    src, dst = worth.toDF("a", "va"), worth.toDF("b", "vb")
+    rates = src.join(dst, F.col("a") != F.col("b")).select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), (F.col("vb") / F.col("va")).alias("rate"))
+    odd = rates.agg(F.min(F.struct("src", "dst")).alias("o"))
+    skewed = rates.crossJoin(F.broadcast(odd)).select("src", "dst", F.when(F.struct("src", "dst") == F.col("o"), F.col("rate") * 1.01).otherwise(F.col("rate")).alias("rate"))
+    both = [paths.arbitrage(r).select(F.lit(m).alias("market"), "arbitrage") for m, r in (("fair", rates), ("skewed", skewed))]
+    return both[0].unionByName(both[1])
