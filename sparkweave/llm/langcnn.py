@@ -19,16 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sparkweave.llm import bytesnp
-from sparkweave.llm.sampling import per_value
-from sparkweave.session import share_code
+from sparkweave.session import discard, materialise, share_code
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 #: No answer is possible for a text without a letter.
 UNKNOWN = "und"
-#: Windows that training takes of one text, and texts of one language.
-WINDOWS_PER_TEXT, TEXTS_PER_LANGUAGE = 4, 400
+#: Characters of the pieces that labelled texts are cut into for training, and pieces of one language and of all.
+PIECE, PIECES_PER_LANGUAGE, PIECES = 200, 1600, 100_000
 
 #: Bytes fold to 64 kinds: case is dropped, ASCII that is no letter is grouped, others keep their low bits.
 _KIND = np.zeros(256, dtype=np.int64)
@@ -134,15 +133,27 @@ def train(texts: list[str], languages: list[str], epochs: int = 12, rate: float
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network:
-    """Train on about ``TEXTS_PER_LANGUAGE`` texts of each language, of each up to ``WINDOWS_PER_TEXT`` windows spread over it."""
-    labelled = docs.where(F.length(text) > 0).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    # Rows that repeat count once, those without an id are told apart by their texts.
-    picked = per_value(labelled, "lang", TEXTS_PER_LANGUAGE, F.coalesce("id", "text")).distinct()
-    text, lang = "text", "lang"
-    cuts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_TEXT - 1)), lambda i: F.floor(i * F.greatest(F.length(text) - 200, F.lit(0)) / max(WINDOWS_PER_TEXT - 1, 1)).cast("int")))
-    rows = picked.select(F.col(lang), F.explode(cuts).alias("at"), text).select(lang, F.substring(F.col(text), F.col("at") + 1, F.lit(200)).alias("t")).toPandas()
-    rows = rows.sort_values([lang, "t"])
-    return train(rows["t"].tolist(), rows[lang].tolist())
+    """Train on about ``PIECES_PER_LANGUAGE`` pieces of each language, chosen by hash from all pieces of all its texts.
+
+    Whole texts are cut into pieces of ``PIECE`` characters, so every part of
+    every text is as likely to be chosen as any other.  ``PIECES`` bounds the
+    pieces of all languages: with more than ``PIECES`` languages, rare ones get
+    theirs by chance and may be left out.  Null or empty texts and null
+    languages teach nothing; rows that repeat count once, those without an id
+    are told apart by their texts.  Without labelled text every answer is ``und``.
+    """
+    id_ = F.col(key).cast("string")
+    cut = docs.where((F.length(text) > 0) & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.coalesce(id_, F.col(text))).alias("salt"), F.ceil(F.length(text) / PIECE).cast("int").alias("n"))
+    counts = materialise(cut.groupBy(F.col("lang").alias("v")).agg(F.sum("n").alias("all")), "values")
+    share, space = float(min(PIECES_PER_LANGUAGE, PIECES / max(counts.count(), 1))), 1 << 30
+    rates = counts.select("v", (F.lit(share) / F.col("all") * space + 1).cast("bigint").alias("below"))
+    # Pieces are cut before rows are made of them, so no row carries a whole text along.
+    drawn = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("salt", i), F.lit(space)) < F.col("below"))
+    pieces = F.transform(drawn, lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)))
+    rows = cut.join(rates, F.col("lang") == F.col("v")).select("lang", F.explode(pieces).alias("t")).distinct().toPandas()
+    discard(docs.sparkSession, counts)
+    rows = rows.sort_values(["lang", "t"])
+    return train(rows["t"].tolist(), rows["lang"].tolist())
 
 
 def has_letter(text: Column) -> Column:

@@ -35,6 +35,21 @@ def test_language_without_rows(spark):
     assert langcnn.predict(spark.createDataFrame([(1, "abc", None, "")], SCHEMA), net).count() == 1
 
 
+def test_training_pieces_cover_whole_texts(spark, monkeypatch):
+    """Below the bound every piece of every labelled text is learned once; above it about as many as the bound, from all places."""
+    taught = []
+    monkeypatch.setattr(langcnn, "train", lambda texts, languages: taught.extend(zip(texts, languages, strict=True)))
+    text = "".join(f"{i:05d}" for i in range(10_000))
+    rows = [(1, text[:1030], "aa", ""), (1, text[:1030], "aa", ""), (None, text[1000:1310], "bb", ""), (2, None, "aa", ""), (3, "", "aa", ""), (4, "none", None, "")]
+    langcnn.fit(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(taught) == sorted([(text[i : min(i + 200, 1030)], "aa") for i in range(0, 1030, 200)] + [(text[1000:1200], "bb"), (text[1200:1310], "bb")])
+    taught.clear()
+    monkeypatch.setattr(langcnn, "PIECES_PER_LANGUAGE", 50)
+    langcnn.fit(spark.createDataFrame([(1, text, "aa", ""), (2, "xyz", "bb", "")], SCHEMA))
+    long = [int(t[:5]) for t, x in taught if x == "aa"]
+    assert 25 <= len(long) <= 80 and min(long) < 2_000 and max(long) > 8_000 and ("xyz", "bb") in taught
+
+
 def test_convolution_equals_a_loop():
     net = langcnn.train(["abc def", "ghi"], ["a", "b"], epochs=1)
     kinds = np.random.default_rng(0).integers(0, langcnn.KINDS, (3, langcnn.WINDOW))
