@@ -17,7 +17,10 @@ from sparkweave.session import discard, materialise, tidy
 
 
 def _loop(start: DataFrame, step, rounds: int | None, tolerance: float, most: int, square: bool = False) -> DataFrame:
-    """Apply ``step`` to (id, x) until the summed change falls below ``tolerance`` or for ``rounds``."""
+    """Apply ``step`` to (id, x) until the summed change falls below ``tolerance`` or for ``rounds``.
+
+    Where no number of rounds is given, a vector that still moves after ``most`` of them is refused.
+    """
     now = materialise(start, "vector")
     for _ in range(rounds if rounds is not None else most):
         new = materialise(step(now), "vector")
@@ -26,7 +29,9 @@ def _loop(start: DataFrame, step, rounds: int | None, tolerance: float, most: in
         discard(now.sparkSession, now)
         now = new
         if rounds is None and moved < tolerance:
-            break
+            return now
+    if rounds is None:
+        raise Invalid(f"scores still move after {most} rounds")
     return now
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
-from sparkweave.operators import krylov, sparse
+from sparkweave.operators import krylov, ranking, sparse
 
 
 def acyclic(nodes, arcs):
@@ -159,3 +159,10 @@ def test_spectral_clusters(spark):
     assert {r["cluster"] for r in one} == {"a0"}
     with pytest.raises(Invalid):
         krylov.spectral_clusters(Graph.rows(spark, [("a", "b")]), 3)
+
+
+def test_scores_that_still_move_are_refused(spark):
+    graph = Graph.rows(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")])
+    with pytest.raises(Invalid):
+        ranking.eigenvector(graph, most=2)
+    assert ranking.eigenvector(graph, rounds=2).count() == 4
