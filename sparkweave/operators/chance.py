@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
 from sparkweave.model import Graph
+from sparkweave.operators.paths import bfs
 from sparkweave.plans.components import star_components
 from sparkweave.session import materialise, tidy
 
@@ -142,6 +143,24 @@ def sample_edges(graph: Graph, share: float, seed: int = 0) -> Graph:
     return Graph.of(graph.edges.where(draw(seed, "src", "dst") < share), graph.directed)
 
 
+@tidy
+def snowball(graph: Graph, start: str, hops: int) -> Graph:
+    """The part on nodes within ``hops`` of ``start``, which must be a node."""
+    graph = graph.written()
+    return graph.induced(materialise(bfs(graph, start, rounds=hops).select("id"), "ball"))
+
+
+def degree_bias(graph: Graph, sample: Graph) -> DataFrame:
+    """``n_sampled``, ``n_edges``, ``mean_sampled``, ``mean_all``: mean degree in the whole graph of a sample's nodes and of all nodes.
+
+    Means are null where there is no node.
+    """
+    degree = graph.arcs.where("src <> dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+    whole = graph.nodes.join(degree, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
+    drawn = whole.join(sample.nodes, "id", "left_semi").agg(F.count("*").alias("n_sampled"), F.avg("d").alias("mean_sampled"))
+    return drawn.crossJoin(sample.edges.agg(F.count("*").alias("n_edges"))).crossJoin(whole.agg(F.avg("d").alias("mean_all"))).select("n_sampled", "n_edges", "mean_sampled", "mean_all")
+
+
 @tidy
 def edge_swaps(graph: Graph, rounds: int = 10, seed: int = 0) -> Graph:
     """Degree-preserving shuffles: in each round edges are paired at random and swap far ends where that makes no loop or double edge.

@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("structural", "travel", "loops", "derived", "searches", "cycles", "communities", "goals", "rounds", "sparser")
+MODULES = ("structural", "travel", "loops", "derived", "searches", "cycles", "communities", "goals", "rounds", "sparser", "cuts")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
