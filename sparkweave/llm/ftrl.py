@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sparkweave.llm.sampling import per_value
-from sparkweave.session import share_code
+from sparkweave.session import discard, materialise, share_code
 
 #: Features of rows: (flat feature numbers, flat values, first feature of each row).
 Features = tuple[np.ndarray, np.ndarray, np.ndarray]
 Extract = Callable[[np.ndarray, np.ndarray], Features]
 
+#: Labelled documents that one task learns from, and the parts of a weight that are added up.
+ROWS, UNIT = 4000, float(1 << 40)
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
@@ -46,30 +48,25 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights
     return w.astype(np.float32)
 
 
-def features_of(docs: DataFrame, extract: Extract, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns with each text's distinct features and their summed values."""
+def features_of(texts: pa.Array, extract: Extract) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct features and their summed values."""
+    from sparkweave.llm import bytesnp
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sparkweave.llm import bytesnp
-
-        for batch in batches:
-            buf, offs = bytesnp.flat(batch.column(batch.schema.get_field_index(text)))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            for a, b in bytesnp.slices(offs):
-                at, value, first = extract(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                row = np.repeat(np.arange(b - a), np.diff(first))
-                cell, back = np.unique(row.astype(np.int64) << 32 | at, return_inverse=True)
-                summed = np.bincount(back, value, len(cell)).astype(np.float32)
-                offsets = np.searchsorted(cell >> 32, np.arange(b - a + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), v) for v in (pa.array((cell & 0xFFFFFFFF).astype(np.int32)), pa.array(summed))]
-                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in kept), *lists], names=[*keep, "at", "value"])
-
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, text).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "at array<int>", "value array<float>"]))
+    rows = []
+    buf, offs = bytesnp.flat(texts)
+    for a, b in bytesnp.slices(offs):
+        at, value, first = extract(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+        row = np.repeat(np.arange(b - a), np.diff(first))
+        cell, back = np.unique(row.astype(np.int64) << 32 | at, return_inverse=True)
+        places, summed = (cell & 0xFFFFFFFF).astype(np.int32), np.bincount(back, value, len(cell)).astype(np.float32)
+        ends = np.searchsorted(cell >> 32, np.arange(b - a + 1)).tolist()
+        # Rows are views of flat arrays.
+        rows += [(places[x:y], summed[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+    return rows
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int = 2000) -> tuple[DataFrame, dict[int, int]]:
-    """``__key``, ``__label``, ``__text`` of about ``most`` labelled documents of each class, and how many each class has in all.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``__key``, ``__label``, ``__text`` of every labelled document.
 
     A document with several label rows takes their mean, 0.5 counting as 1;
     null ids, null labels and labels of no document of ``docs`` are left out,
@@ -78,31 +75,42 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id",
     """
     docs = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
-    known = known.join(docs.select("__key"), "__key", "left_semi")
-    shares = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
-    picked = per_value(known, "__label", most, F.col("__key").cast("string"))
-    return docs.join(F.broadcast(picked), "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text")), shares
+    return docs.join(known, "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, extract: Extract, size: int, key: str = "doc_id", text: str = "text", most: int = 2000, **how: float) -> np.ndarray:
-    """Weights fitted on a ``sample`` of the labelled documents; zeros where there is none."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, extract: Extract, size: int, key: str = "doc_id", text: str = "text", **how: float) -> np.ndarray:
+    """Weights fitted on all ``labelled`` documents; zeros where there is none."""
     share_code(docs.sparkSession)
-    return fit_on(*sample(docs, labels, label, key, text, most), extract, size, **how)
+    texts = materialise(labelled(docs, labels, label, key, text), "labelled")
+    weights = fit_on(texts, extract, size, **how)
+    discard(docs.sparkSession, texts)
+    return weights
 
 
-def fit_on(texts: DataFrame, shares: dict[int, int], extract: Extract, size: int, **how: float) -> np.ndarray:
-    """Weights fitted on a sample, weighed back to the classes' shares; zeros without labels."""
-    if not shares:
+def fit_on(texts: DataFrame, extract: Extract, size: int, **how: float) -> np.ndarray:
+    """Weights fitted on all rows of ``texts``: the mean of the weights that tasks find, each on about ``ROWS`` rows dealt by hash; zeros without rows.
+
+    A task holds its rows and one weight for each feature, and the driver the
+    mean, however many rows there are.
+    """
+    total = texts.count()
+    if not total:
         return np.zeros(size + 1, dtype=np.float32)
-    # Features stay in their flat Arrow buffers; rows are views of them.
-    got = features_of(texts, extract, "__text", ["__key", "__label"]).toArrow().sort_by("__key").combine_chunks()
-    at, value = (pa.concat_arrays(got[c].chunks) if got.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("at", "value"))
-    y = got["__label"].to_numpy().astype(float)
-    seen = np.array([max((y == c).sum(), 1) for c in (0, 1)], dtype=float)
-    total = sum(shares.values())
-    weight = np.where(y == 1, shares.get(1, 0) / total * len(y) / seen[1], shares.get(0, 0) / total * len(y) / seen[0])
-    offs, places, values = at.offsets.to_numpy().tolist(), at.values.to_numpy(), value.values.to_numpy()
-    return train([(places[a:b], values[a:b]) for a, b in zip(offs, offs[1:], strict=False)], y, weight, size, **how)
+    tasks = -(-total // ROWS)
+    dealt = texts.withColumn("__task", F.pmod(F.xxhash64(F.col("__key").cast("string")), F.lit(tasks)))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("__key").combine_chunks()
+        y = rows["__label"].to_numpy().astype(float)
+        w = train(features_of(rows["__text"].chunk(0), extract), y, np.ones(len(y)), size, **how)
+        at = np.union1d(np.flatnonzero(w), [size])
+        return pa.table({"at": pa.array(at.astype(np.int32)), "w": pa.array(np.rint(w[at] * UNIT).astype(np.int64))})
+
+    # Whole numbers add up alike in any order.
+    got = dealt.groupBy("__task").applyInArrow(run, "at int, w bigint").groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("n")).toPandas()
+    found = np.zeros(size + 1)
+    found[got["at"]] = got["w"]
+    return (found / (UNIT * got.loc[got["at"] == size, "n"].iloc[0])).astype(np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, extract: Extract, text: str = "text") -> DataFrame:

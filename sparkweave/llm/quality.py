@@ -54,8 +54,8 @@ def extract(buf: np.ndarray, offs: np.ndarray) -> ftrl.Features:
     return at[order], value[order], np.concatenate([[0], np.cumsum(n)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 2000) -> np.ndarray:
-    return ftrl.fit(docs, labels, label, extract, 1 << BITS, most=most, alpha=0.2, l1=0.05, l2=0.1, epochs=4)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
+    return ftrl.fit(docs, labels, label, extract, 1 << BITS, alpha=0.2, l1=0.05, l2=0.1, epochs=4)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:

@@ -301,18 +301,17 @@ def plain_words(texts: DataFrame, text: str) -> DataFrame:
     return texts.select(text).mapInArrow(run, "term bigint")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2000) -> tuple[np.ndarray, Extract]:
-    """The character model over all of ``docs``, the words of their labelled sample, and the weights fitted on it.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[np.ndarray, Extract]:
+    """The character model over all of ``docs``, the words of all labelled documents, and the weights fitted on all of them.
 
-    Null texts are empty, null and repeated ids are as in ``ftrl.sample``;
+    Null texts are empty, null and repeated ids are as in ``ftrl.labelled``;
     without a labelled document all weights are 0, and every text scores 0.5.
     """
     spark = docs.sparkSession
     share_code(spark)
-    texts, shares = ftrl.sample(docs, labels, label, most=most)
-    texts = materialise(texts, "sample")
+    texts = materialise(ftrl.labelled(docs, labels, label), "labelled")
     reader = Extract(character_model(character_counts(docs)), filters.bit_filter(plain_words(texts, "__text")))
-    weights = ftrl.fit_on(texts, shares, reader, 1 << BITS, alpha=1.0, l1=4.0, l2=0.1, epochs=4)
+    weights = ftrl.fit_on(texts, reader, 1 << BITS, alpha=1.0, l1=4.0, l2=0.1, epochs=4)
     discard(spark, texts)
     return weights, reader
 

@@ -251,3 +251,27 @@ def test_a_language_of_rows_without_ids_is_sampled(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = per_value(docs, "lang", 100, F.coalesce(F.col("doc_id").cast("string"), "text")).distinct().groupBy("lang").count().collect()
     assert all(r["count"] < 200 for r in got)
+
+
+def test_all_labelled_documents_teach(spark, monkeypatch):
+    from sparkweave.llm import bytesnp, filters
+
+    rows = [(i, f"term{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} house " + ("vilegrump" if i % 10 == 0 else "river"), int(i % 10 == 0)) for i in range(2600)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(ftrl, "ROWS", 400)
+    weights, reader = toxicity.fit(docs, labels)
+    words = np.array([bytesnp.word_hash(t.split()[0].encode()) for _, t, _ in rows], np.uint64)
+    assert filters.passes(reader.known, words).all()
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, (weights, reader)).collect()}
+    assert all((got[i] >= 0.5) == (y == 1) for i, _, y in rows)
+    assert (toxicity.fit(docs.repartition(7), labels)[0] == weights).all()
+
+
+def test_filters_grow_with_their_hashes(spark):
+    from sparkweave.llm import filters
+
+    hashes = spark.range(3 * filters.BITS // 16).selectExpr("xxhash64(id) AS term")
+    bits = filters.bit_filter(hashes)
+    assert len(bits) > filters.BITS // 8
+    assert filters.passes(bits, np.array([r[0] for r in hashes.limit(1000).collect()], np.int64).view(np.uint64)).all()
+    assert filters.passes(bits, np.random.default_rng(0).integers(0, 1 << 63, 10000, dtype=np.uint64)).mean() < 0.2
