@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
 from sparkweave.model import Declared, Graph, Plan
+from sparkweave.operators.orders import summed
+from sparkweave.session import materialise, tidy
 
 #: All pairs of nodes without an edge.
 complement = Declared("SELECT a.id AS src, b.id AS dst FROM {nodes} a JOIN {nodes} b ON a.id < b.id WHERE NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.src = a.id AND e.dst = b.id)", directed=False)
@@ -68,6 +70,21 @@ def interval_graph(spark: SparkSession, intervals: DataFrame, cell: float) -> Da
     return pairs.select(F.col("na").alias("src"), F.col("nb").alias("dst"))
 
 
+@tidy
+def interval_degrees(intervals: DataFrame) -> DataFrame:
+    """``id``, ``degree``: how many other closed intervals ``intervals(name, lo, hi)``, ``lo`` at most ``hi``, each overlaps; those that overlap none are left out.
+
+    Of all intervals those that begin after its end or end before its start
+    miss one, so sums over the ends tell how many are left and no pair is made.
+    """
+    kept = materialise(intervals.where("name is not null and lo is not null and hi is not null"), "intervals")
+    ends = kept.select(F.col("lo").alias("x"), F.lit(1).alias("begun"), F.lit(0).alias("ended")).union(kept.select("hi", F.lit(0), F.lit(1)))
+    points = ends.groupBy("x").agg(F.sum("begun").alias("begun"), F.sum("ended").alias("ended"))
+    upto = summed(points.withColumn("last", F.col("ended")), "x", "begun", "ended")
+    begun, ended = upto.select(F.col("x").alias("hi"), "begun"), upto.select(F.col("x").alias("lo"), (F.col("ended") - F.col("last")).alias("ended"))
+    return kept.join(begun, "hi").join(ended, "lo").select(F.col("name").alias("id"), (F.col("begun") - F.col("ended") - 1).alias("degree")).where("degree > 0")
+
+
 #: The largest number of intervals open at once.
 DEPTH = Plan("""WITH e AS (SELECT lo AS x, 0 AS kind, 1 AS step FROM {intervals} UNION ALL SELECT hi, 1, -1 FROM {intervals})
 SELECT CAST(coalesce(max(d), 0) AS BIGINT) AS depth FROM (SELECT sum(step) OVER (ORDER BY x, kind ROWS UNBOUNDED PRECEDING) AS d FROM e) t""")
