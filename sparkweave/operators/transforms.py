@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkweave.errors import Invalid
 from sparkweave.model import Declared, Graph, Plan
-from sparkweave.operators.orders import summed
-from sparkweave.session import materialise, tidy
+from sparkweave.operators.orders import numbered, summed
+from sparkweave.session import materialise, share_code, tidy
 
 #: All pairs of nodes without an edge.
 complement = Declared("SELECT a.id AS src, b.id AS dst FROM {nodes} a JOIN {nodes} b ON a.id < b.id WHERE NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.src = a.id AND e.dst = b.id)", directed=False)
@@ -92,6 +96,56 @@ SELECT CAST(coalesce(max(d), 0) AS BIGINT) AS depth FROM (SELECT sum(step) OVER
 #: Pairs of a permutation ``permutation(pos, value)`` in wrong order.
 INVERSIONS = Plan("SELECT a.value AS src, b.value AS dst FROM {permutation} a JOIN {permutation} b ON a.pos < b.pos AND a.value > b.value")
 
+#: Rows that one task of ``inversion_count`` takes, at least.
+BLOCK = 1 << 14
+
+
+def _inversions(values: np.ndarray) -> int:
+    """Pairs in wrong order, bit by bit of the ranks: ones that stand before zeros of the same higher bits."""
+    rank, total = np.argsort(np.argsort(values, kind="stable"), kind="stable"), 0
+    for k in range(len(rank).bit_length()):
+        placed = rank[np.argsort(rank >> (k + 1), kind="stable")]
+        bit = placed >> k & 1
+        before = np.cumsum(bit) - bit
+        # Ones before the first row of the same higher bits do not count.
+        start = np.searchsorted(placed >> (k + 1), placed >> (k + 1))
+        total += int((before - before[start])[bit == 0].sum())
+    return total
+
+
+@tidy
+def inversion_count(permutation: DataFrame) -> DataFrame:
+    """``inversions``: the number of pairs of ``permutation(pos, value)`` in wrong order, no pair being made.
+
+    Places and ranks are cut into blocks.  Pairs within a block of places, and
+    pairs of different blocks of places within a block of ranks, are counted in
+    a task for each block; all others differ in both blocks, and sums over the
+    blocks' sizes count them.  A block has the root of the number of rows, so
+    there are no more pairs of blocks than rows.
+    """
+    spark = permutation.sparkSession
+    share_code(spark)
+    rows = numbered(permutation.where("pos is not null and value is not null").select("pos", "value"), "pos", "value", name="p")
+    rows = numbered(rows, "value", "p", name="v").select("p", "v")
+    rows = materialise(rows, "ranks")
+    size = max(BLOCK, math.isqrt(rows.count()) + 1)
+    rows = rows.select("p", "v", F.expr(f"(p - 1) div {size}").alias("pb"), F.expr(f"(v - 1) div {size}").alias("vb"))
+
+    def within(block: pa.Table) -> pa.Table:
+        return pa.table({"n": [_inversions(block["v"].to_numpy()[np.argsort(block["p"].to_numpy())])]})
+
+    def between(block: pa.Table) -> pa.Table:
+        return pa.table({"n": [_inversions(block["v"].to_numpy()[np.lexsort((block["v"].to_numpy(), block["pb"].to_numpy()))])]})
+
+    cells = rows.groupBy("pb", "vb").agg(F.count("*").alias("n"))
+    grid = rows.select("pb").distinct().crossJoin(rows.select("vb").distinct()).join(cells, ["pb", "vb"], "left").select("pb", "vb", F.coalesce("n", F.lit(0)).alias("n"))
+    earlier = grid.withColumn("e", F.coalesce(F.sum("n").over(Window.partitionBy("vb").orderBy("pb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    greater = F.coalesce(F.sum("e").over(Window.partitionBy("pb").orderBy(F.desc("vb")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    far = earlier.select((F.col("n") * greater).alias("n"))
+    counted = rows.select("pb", "p", "v").groupBy("pb").applyInArrow(within, "n bigint").union(rows.select("vb", "pb", "v").groupBy("vb").applyInArrow(between, "n bigint")).union(far)
+    return materialise(counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inversions")), "inversions")
+
+
 #: Erdos and Gallai's test of a degree list ``degrees(d)``.
 GRAPHICAL = Plan("""WITH o AS (SELECT CAST(d AS BIGINT) AS d, row_number() OVER (ORDER BY d DESC) AS k FROM {degrees}),
 s AS (SELECT a.k, sum(CASE WHEN b.k <= a.k THEN b.d ELSE 0 END) AS taken, a.k * (a.k - 1) + sum(CASE WHEN b.k > a.k THEN least(b.d, a.k) ELSE 0 END) AS room FROM o a CROSS JOIN o b GROUP BY a.k)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from sparkweave.operators import transforms as t
 
 
@@ -17,3 +19,20 @@ def test_interval_degrees(spark):
 def test_interval_degrees_of_many_that_all_overlap(spark):
     rows = spark.range(300_000).selectExpr("CAST(id AS STRING) AS name, CAST(id AS DOUBLE) AS lo, 1e6 AS hi")
     assert [r["degree"] for r in t.interval_degrees(rows).select("degree").distinct().collect()] == [299_999]
+
+
+@pytest.mark.parametrize("block", [4, 64, 1 << 14])
+def test_inversions(spark, monkeypatch, block):
+    monkeypatch.setattr(t, "BLOCK", block)
+    rng = random.Random(block)
+    values = [rng.randint(0, 120) for _ in range(200)]
+    want = sum(values[i] > values[j] for i in range(200) for j in range(i + 1, 200))
+    rows = [(3 * i, v) for i, v in enumerate(values)] + [(None, 1), (7, None)]
+    rng.shuffle(rows)
+    assert t.inversion_count(spark.createDataFrame(rows, "pos long, value long")).collect() == [(want,)]
+
+
+def test_inversions_of_many_rows(spark):
+    rows = spark.range(500_000).selectExpr("id AS pos", "-id AS value")
+    assert t.inversion_count(rows).first()[0] == 500_000 * 499_999 // 2
+    assert t.inversion_count(rows.limit(0)).first()[0] == 0
