@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from sparkweave.model import Graph
+from sparkweave.operators import paths
 from sparkweave.operators import transforms as t
 
 
@@ -17,7 +19,7 @@ def test_interval_degrees(spark):
 
 
 def test_interval_degrees_of_many_that_all_overlap(spark):
-    rows = spark.range(300_000).selectExpr("CAST(id AS STRING) AS name, CAST(id AS DOUBLE) AS lo, 1e6 AS hi")
+    rows = spark.range(300_000).selectExpr("CAST(id AS STRING) AS name", "CAST(id AS DOUBLE) AS lo", "1e6 AS hi")
     assert [r["degree"] for r in t.interval_degrees(rows).select("degree").distinct().collect()] == [299_999]
 
 
@@ -36,3 +38,26 @@ def test_inversions_of_many_rows(spark):
     rows = spark.range(500_000).selectExpr("id AS pos", "-id AS value")
     assert t.inversion_count(rows).first()[0] == 500_000 * 499_999 // 2
     assert t.inversion_count(rows.limit(0)).first()[0] == 0
+
+
+def random_arcs(nodes, m, seed):
+    rng = random.Random(seed)
+    return sorted({(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(m)})
+
+
+def test_hop_sums_write_no_pairs(spark, monkeypatch):
+    arcs = random_arcs(150, 300, 2)
+    graph = Graph.rows(spark, arcs, True, ["lone"])
+    ids = [r["id"] for r in graph.nodes.collect()]
+    want = {}
+    for o in ids:
+        hops, front = {o: 0}, [o]
+        while front:
+            front = [b for b in {b for a, b in arcs if a in front} if b not in hops]
+            hops |= dict.fromkeys(front, max(hops.values()) + 1)
+        far = [h for h in hops.values() if h]
+        want[o] = (round(len(far) / (len(ids) - 1) * len(far) / sum(far), 6) if far else 0.0, round(sum(1 / h for h in far) / (len(ids) - 1), 6))
+    monkeypatch.setattr(paths, "all_pairs", None)
+    got = {r["id"]: (r["closeness"], r["harmonic"]) for r in paths.distance_centrality(graph).collect()}
+    assert got.keys() == want.keys() and all(got[o] == pytest.approx(want[o], abs=2e-6) for o in ids)
+    assert {r["closeness"] for r in paths.distance_centrality(Graph.rows(spark, [], True, ["a", "b"])).collect()} == {0.0}
