@@ -5,8 +5,9 @@ import random
 import pytest
 
 from sparkweave.model import Graph
-from sparkweave.operators import paths
+from sparkweave.operators import paths, ranking
 from sparkweave.operators import transforms as t
+from sparkweave.session import materialise
 
 
 def test_interval_degrees(spark):
@@ -61,3 +62,19 @@ def test_hop_sums_write_no_pairs(spark, monkeypatch):
     got = {r["id"]: (r["closeness"], r["harmonic"]) for r in paths.distance_centrality(graph).collect()}
     assert got.keys() == want.keys() and all(got[o] == pytest.approx(want[o], abs=2e-6) for o in ids)
     assert {r["closeness"] for r in paths.distance_centrality(Graph.rows(spark, [], True, ["a", "b"])).collect()} == {0.0}
+
+
+def test_walks_are_added_up_as_numbers(spark, monkeypatch):
+    arcs, kinds = random_arcs(30, 150, 3), []
+    monkeypatch.setattr(ranking, "materialise", lambda df, name: kinds.append((name, dict(df.dtypes))) or materialise(df, name))
+    want = {}
+    for a, b in arcs:
+        for c in (d for x, d in arcs if x == b):
+            for e in (d for x, d in arcs if x == c):
+                want[a, e] = want.get((a, e), 0) + 1
+    got = ranking.walk_counts(Graph.rows(spark, arcs, True), 3)
+    assert {(r["src"], r["dst"]): r["walks"] for r in got.collect()} == want
+    assert all(kind == {"a": "bigint", "b": "bigint", "walks": "bigint"} for name, kind in kinds if name == "walks")
+    # Too many for a long sum on the way are summed as decimals.
+    eight = Graph.rows(spark, [(a, b) for a in "abcdefgh" for b in "abcdefgh"], True)
+    assert {r["walks"] for r in ranking.walk_counts(eight, 21).collect()} == {2**60}
