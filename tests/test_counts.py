@@ -7,6 +7,7 @@ import pytest
 from sparkweave.model import Graph
 from sparkweave.operators import paths, ranking
 from sparkweave.operators import transforms as t
+from sparkweave.operators.communities import louvain
 from sparkweave.session import materialise
 
 
@@ -78,3 +79,8 @@ def test_walks_are_added_up_as_numbers(spark, monkeypatch):
     # Too many for a long sum on the way are summed as decimals.
     eight = Graph.rows(spark, [(a, b) for a in "abcdefgh" for b in "abcdefgh"], True)
     assert {r["walks"] for r in ranking.walk_counts(eight, 21).collect()} == {2**60}
+
+
+def test_small_weights_count_beside_large_ones(spark):
+    got = louvain(Graph.rows(spark, [("a", "b", 1.0), ("x", "y", 1e13)]))
+    assert {r["id"]: r["community"] for r in got.collect()} == {"a": "a", "b": "a", "x": "x", "y": "x"}
