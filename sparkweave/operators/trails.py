@@ -21,16 +21,17 @@ def _parts(arcs: DataFrame) -> DataFrame:
 
 
 @tidy
-def directed_trails(arcs: DataFrame) -> DataFrame:
+def directed_trails(arcs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """``component``, ``position`` (from 1), ``id``, ``src``, ``dst``: a trail over all ``arcs(id, src, dst)`` of each component, once each.
 
     Arcs may be parallel and may be loops; ids are distinct.  A component whose
     nodes all have as many arcs in as out gives a circuit from its smallest id,
     one with a node of one more out and a node of one more in a trail from the
-    former to the latter; any other is refused.
+    former to the latter; any other is refused.  ``parts(node, component)`` are
+    the components, if they are at hand.
     """
     arcs = materialise(arcs.select("id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")), "arcs")
-    parts = _parts(arcs)
+    parts = _parts(arcs) if parts is None else parts
     net = arcs.select(F.col("src").alias("node"), F.lit(1).alias("x")).union(arcs.select("dst", F.lit(-1))).groupBy("node").agg(F.sum("x").alias("x")).where("x <> 0").join(parts, "node")
     odd = materialise(net.groupBy("component").agg(F.count("*").alias("n"), F.max("x").alias("most"), F.min("x").alias("least"), F.max_by("node", "x").alias("start"), F.min_by("node", "x").alias("end")), "odd")
     if not odd.where("n <> 2 or most <> 1 or least <> -1").isEmpty():
@@ -88,4 +89,4 @@ def undirected_trails(edges: DataFrame) -> DataFrame:
     kept = states.groupBy(F.expr("state div 2").alias("k")).agg(F.min_by("state", "ring").alias("state"))
     walked = every.join(kept, "k").select("k", "id", *[F.when(F.col("state") % 2 == 0, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("src", "dst"), ("dst", "src"))])
     walked = materialise(walked.where("id is not null"), "walked")
-    return directed_trails(walked.select("id", "src", "dst"))
+    return directed_trails(walked.select("id", "src", "dst"), parts)
