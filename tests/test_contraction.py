@@ -78,7 +78,7 @@ def test_lists_that_leave_the_table_and_rings(spark, small):
     assert len(found) == 80
 
 
-def test_forest_and_trail_of_large_graphs(spark, small):
+def test_forest_of_a_large_graph(spark, small):
     edges, expected = _mixed()
     weighted = [(a, b, float(i % 9)) for i, (a, b) in enumerate(edges)]
     forest = spanning_forest(Graph.rows(spark, weighted)).collect()
@@ -86,6 +86,9 @@ def test_forest_and_trail_of_large_graphs(spark, small):
     left = set(ring) - {(r["src"], r["dst"]) for r in forest}
     assert len(forest) == len({(r["src"], r["dst"]) for r in forest}) == 237
     assert left == {max(ring, key=lambda e: (ring[e], e))}
+
+
+def test_trail_of_a_large_graph(spark, small):
     r = random.Random(3)
     walk = [r.randrange(40) for _ in range(101)]
     steps = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(zip(walk, walk[1:]))], "id long, src string, dst string")
