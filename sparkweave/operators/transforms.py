@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,86 @@ complement = Declared("SELECT a.id AS src, b.id AS dst FROM {nodes} a JOIN {node
 line_graph = Declared("""WITH i AS (SELECT src AS id, src, dst FROM {edges} UNION ALL SELECT dst, src, dst FROM {edges} WHERE src <> dst)
 SELECT DISTINCT x.src AS a_src, x.dst AS a_dst, y.src AS b_src, y.dst AS b_dst FROM i x JOIN i y ON x.id = y.id AND (x.src < y.src OR (x.src = y.src AND x.dst < y.dst))""", directed=False)
 
-#: One-mode projection onto the nodes whose name begins with ``side``: shared hubs, plain and by Newman's 1 / (k - 1).
-projection = Declared("""WITH k AS (SELECT src AS hub, count(*) AS k FROM {arcs} WHERE src NOT LIKE '{side}%' GROUP BY src)
+#: One-mode projection onto the nodes whose name begins with ``side``: shared hubs, plain and by Newman's 1 / (k - 1). ``projection`` gives its rows.
+PROJECTION = Declared("""WITH k AS (SELECT src AS hub, count(*) AS k FROM {arcs} WHERE src NOT LIKE '{side}%' GROUP BY src)
 SELECT x.dst AS a, y.dst AS b, CAST(count(*) AS BIGINT) AS shared, round(sum(1e0 / (k.k - 1)), 6) AS newman
 FROM {arcs} x JOIN {arcs} y ON x.src = y.src AND x.dst < y.dst JOIN k ON k.hub = x.src GROUP BY x.dst, y.dst""".replace("'{side}%'", "{side}"), directed=False)
 
+#: Pairs that one call of ``_counted`` adds up at once, and those of a task of ``shared_hubs``.
+PAIRS, TASK_PAIRS = 1 << 20, 10_000_000
+#: A part of a long list of neighbours holds at most this many.
+PART = 256
+
+
+def _merged(keys: np.ndarray, shared: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal keys added up, in ascending order."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(shared[order], first), np.add.reduceat(weight[order], first)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows ``a``, ``bs``, ``share`` in the order of ``a``; of an ``a`` that goes on the sums so far are kept, one for each partner."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, most = 0, PAIRS
+
+    def given(keys: np.ndarray, shared: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(keys), PAIRS):
+            part = slice(k, k + PAIRS)
+            yield pa.RecordBatch.from_pydict({"a": (keys[part] >> 32).astype(np.int32), "b": (keys[part] & 0xFFFFFFFF).astype(np.int32), "shared": shared[part], "weight": weight[part]})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bs = batch["bs"]
+        n = np.diff(bs.offsets.to_numpy())
+        keys = np.repeat(batch["a"].to_numpy().astype(np.int64) << 32, n) | bs.flatten().to_numpy()
+        held.append((keys, np.ones(len(keys), np.int64), np.repeat(batch["share"].to_numpy(), n)))
+        size += len(keys)
+        if size >= most:
+            keys, shared, weight = _merged(*map(np.concatenate, zip(*held)))
+            done = np.searchsorted(keys, keys[-1] >> 32 << 32)
+            yield from given(keys[:done], shared[:done], weight[:done])
+            held, size = [(keys[done:], shared[done:], weight[done:])], len(keys) - done
+            # What one node has gathered is looked at again only when it has doubled.
+            most = max(PAIRS, 2 * size)
+    if size:
+        yield from given(*_merged(*map(np.concatenate, zip(*held))))
+
+
+@tidy
+def shared_hubs(ties: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``shared``, ``weight``: for any two items of distinct rows ``ties(hub, item)`` their common hubs and the sum of 1 / (k - 1), k being a hub's rows.
+
+    Items are numbered in their order, and a hub sends each of its items one list
+    of those after it, in parts, to the task of that item. So rows are as many as
+    ties, lists hold four bytes for a pair, and a task adds up its items one after
+    the other: it holds the partners of one item, not the pairs of all.
+    """
+    spark = ties.sparkSession
+    share_code(spark)
+    ties = materialise(ties.select("hub", "item"), "ties")
+    names = materialise(numbered(ties.where("item is not null").select("item").distinct(), "item", name="k").select("item", F.col("k").cast("int").alias("k")), "numbers")
+    lists = ties.where("hub is not null").join(names, "item", "left").groupBy("hub").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("k")).alias("items")).where("size(items) > 1")
+    lists = materialise(lists.select("items", (1.0 / (F.col("n") - 1)).alias("share")), "lists")
+    pairs = lists.agg(F.sum(F.size("items").cast("bigint") * (F.size("items") - 1) / 2)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(pairs) // TASK_PAIRS + 1)
+    later = lists.select("share", "items", F.posexplode("items").alias("i", "a")).where("i + 1 < size(items)")
+    parts = later.select("a", "share", "items", F.explode(F.sequence(F.col("i") + 2, F.size("items"), F.lit(PART))).alias("begin"))
+    dealt = parts.select("a", "share", F.slice("items", F.col("begin"), PART).alias("bs")).repartition(tasks, "a").sortWithinPartitions("a")
+    counted = dealt.mapInArrow(_counted, "a int, b int, shared bigint, weight double")
+    found = counted.join(names.toDF("__a", "a"), "a").join(names.toDF("__b", "b"), "b")
+    return found.select(F.col("__a").alias("a"), F.col("__b").alias("b"), "shared", "weight")
+
+
+def projection(graph: Graph, side: str) -> DataFrame:
+    """The rows of ``PROJECTION``, no pair of one hub being shuffled by itself; ``side`` is a pattern of LIKE."""
+    graph.need(directed=False)
+    ties = graph.arcs.where(~F.col("src").like(side)).select(F.col("src").alias("hub"), F.col("dst").alias("item"))
+    return shared_hubs(ties).select("a", "b", "shared", F.round("weight", 6).alias("newman"))
+
+
 #: Sparse Laplacian: weighted degrees on the diagonal, negated weights beside it.
 laplacian = Declared("""SELECT n.id AS i, n.id AS j, coalesce(sum(CASE WHEN a.dst <> a.src THEN a.w END), 0e0) AS x FROM {nodes} n LEFT JOIN {arcs} a ON a.src = n.id GROUP BY n.id
 UNION ALL SELECT src, dst, -w FROM {arcs} WHERE src <> dst""", directed=False)
