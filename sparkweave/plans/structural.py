@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.operators import structure as s
+from sparkweave.operators.transforms import shared_hubs
 from sparkweave.plans.catalogue import declare, register, table
 from sparkweave.sources.tables import MARKETS, PURCHASES, TRADE, TRADE_TIES, TREE, USERS
 
@@ -24,11 +25,8 @@ def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-ten report: the feature is the limit."""
     lineitem, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     purchases = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("customer"), F.col("l_suppkey").alias("supplier")).distinct()
-    share = purchases.groupBy("customer").agg(F.when(F.count("*") > 1, 1.0 / (F.count("*") - 1)).alias("share")).where("share is not null")
-    left = purchases.join(share, "customer").withColumnRenamed("supplier", "a")
-    right = purchases.withColumnRenamed("supplier", "b")
-    pairs = left.join(right, "customer").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.round(F.sum("share"), 6).alias("w")).orderBy(F.desc("w"), "a", "b").limit(10)
+    pairs = shared_hubs(purchases.toDF("hub", "item"))
+    return pairs.select("a", "b", F.round("weight", 6).alias("w")).orderBy(F.desc("w"), "a", "b").limit(10)
 
 
 for name, operator, source in (
