@@ -1,8 +1,12 @@
-"""Readings of degrees, ties and small patterns, each one declarative plan."""
+"""Readings of degrees, ties and small patterns, nearly all of them one declarative plan."""
 
 from __future__ import annotations
 
-from sparkweave.model import Declared
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkweave.model import Declared, Graph
+from sparkweave.session import materialise, tidy
 
 _DEG = "deg AS (SELECT n.id, CAST(count(a.dst) AS BIGINT) AS d FROM {nodes} n LEFT JOIN {arcs} a ON a.src = n.id GROUP BY n.id)"
 #: Undirected simple edges, oriented from the end of smaller degree: work on hubs stays bounded.
@@ -36,6 +40,27 @@ assortativity = Declared(f"""WITH {_DEG}, p AS (SELECT CAST(x.d AS DOUBLE) AS a,
 m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(a * b) AS ab, var_pop(a) AS va, var_pop(b) AS vb FROM p)
 SELECT CASE WHEN va > 1e-12 AND vb > 1e-12 THEN round((ab - ma * mb) / sqrt(va * vb), 6) END AS assortativity FROM m""")
 
+
+@tidy
+def degree_correlation(graph: Graph) -> DataFrame:
+    """The row of ``assortativity`` on an undirected graph, by exact sums: edges meet the degrees of one end only, and what they add up to those of the other."""
+    edges = materialise(graph.need(directed=False).edges.select("src", "dst"), "edges")
+    ends = edges.select(F.col("src").alias("id")).union(edges.where("src <> dst").select("dst"))
+    degree = materialise(ends.groupBy("id").agg(F.count("*").alias("d")), "degrees")
+    # An edge is two arcs, a loop is one.
+    twice = F.when(F.col("src") == F.col("dst"), 1).otherwise(2)
+    beside = edges.join(degree.toDF("src", "ds"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(twice * F.col("ds")).alias("s"))
+    whole = F.col("d").cast("decimal(19,0)")
+    n, a, aa = degree.agg(F.sum("d"), F.sum(whole * F.col("d")), F.sum((whole * F.col("d")).cast("decimal(38,0)") * F.col("d"))).first()
+    ab = beside.join(degree, "id").agg(F.sum(whole * F.col("s"))).first()[0]
+    found = None
+    if n:
+        n, a, aa, ab = int(n), int(a), int(aa), int(ab)
+        spread = n * aa - a * a
+        found = round((n * ab - a * a) / spread, 6) if spread / n**2 > 1e-12 else None
+    return graph.spark.createDataFrame([(found,)], "assortativity double")
+
+
 #: Entropies in bits: of the degrees, of a random step, and of the stationary walk.
 entropy = Declared("""WITH s AS (SELECT n.id, count(a.dst) AS d, coalesce(sum(a.w), 0.0e0) AS s FROM {nodes} n LEFT JOIN {arcs} a ON a.src = n.id GROUP BY n.id),
 t AS (SELECT sum(s) AS total, count(*) AS n FROM s),

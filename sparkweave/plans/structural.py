@@ -29,11 +29,11 @@ def _ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round("weight", 6).alias("w")).orderBy(F.desc("w"), "a", "b").limit(10)
 
 
+register("assortativity_purchases", f"WITH {PURCHASES.sql()} SELECT * FROM ({s.assortativity.sql()}) AS result")(lambda k, d: s.degree_correlation(PURCHASES.graph(k, d)))
 for name, operator, source in (
     ("graph_degrees", s.degrees, PURCHASES),
     ("graph_degrees_directed", s.degrees, USERS),
     ("degreedistribution_histogram", s.degree_histogram, PURCHASES),
-    ("assortativity_purchases", s.assortativity, PURCHASES),
     ("assortativity_directed", s.assortativity, USERS),
     ("entropy_readings", s.entropy, PURCHASES),
     ("triangles_nodes", s.triangles, TRADE_TIES),
